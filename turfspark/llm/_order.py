@@ -1,0 +1,22 @@
+"""Whole tables in global key order, without a single-task sort."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ROWS_PER_PART = 4000
+
+
+def key_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
+    """Approximate ``parts``-quantiles of an integer key: at most ``parts`` numbers come to the driver."""
+    if parts < 2:
+        return []
+    ranks = [i / parts for i in range(1, parts)]
+    return sorted({int(x) for x in df.select(F.col(key).cast("double")).approxQuantile(key, ranks, 0.2 / parts) or []})
+
+
+def part_of(key: str, cuts: list[int]):
+    """Number of the range that a key falls in; null keys come first, in range 0."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
+    return F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(key))), F.lit(0))
