@@ -1,20 +1,35 @@
 """The registered queries of the training-data operators, each over its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontam, digest, simhash, tokenbin
+from ._store import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenbin.round_trip(spark, table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), path)
+
+
+def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op7_simhash": op7_simhash}
+    return {"op1_decontam": op1_decontam, "op7_simhash": op7_simhash, "op9_token_files": op9_token_files, "op10_digest": op10_digest}
 
 
 def oracle_sql() -> dict[str, str]:
