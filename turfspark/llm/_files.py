@@ -20,7 +20,7 @@ def create(uri: str):
     """Output stream of a new file; its folder is made."""
     store, path = resolve(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def opened(uri: str, offset: int = 0) -> Callable[[int], bytes]:
