@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, digest, simhash, tokenbin
+from . import decontam, digest, langid, licenses, sharding, simhash, tokenbin, toxicity, warc
 from ._store import scratch_path
 
 
@@ -15,10 +15,30 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(table(spark, sf_dir, "documents"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokenbin.round_trip(spark, table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), path)
@@ -29,8 +49,8 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontam": op1_decontam, "op7_simhash": op7_simhash, "op9_token_files": op9_token_files, "op10_digest": op10_digest}
+    return {f.__name__: f for f in (op1_decontam, op2_sharding, op4_langid, op5_warc, op6_licenses, op7_simhash, op8_toxicity, op9_token_files, op10_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licenses": licenses.ORACLE_SQL}
