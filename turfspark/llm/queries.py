@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, digest, langid, licenses, sharding, simhash, tokenbin, toxicity, warc
+from . import decontam, digest, langid, licenses, sentencepiece_fst, sharding, simhash, tokenbin, toxicity, warc
 from ._store import scratch_path
 
 
@@ -19,6 +19,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontam, op2_sharding, op4_langid, op5_warc, op6_licenses, op7_simhash, op8_toxicity, op9_token_files, op10_digest)}
+    return {f.__name__: f for f in (op1_decontam, op2_sharding, op3_sentencepiece, op4_langid, op5_warc, op6_licenses, op7_simhash, op8_toxicity, op9_token_files, op10_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
