@@ -10,7 +10,7 @@ prefix sum of the token counts before it; ``read`` memory-maps the files.
 Encoding equals the tokenizers library on the whole text: byte-level BPE never merges across its
 pre-tokens, and a single space between two other characters starts one, so a text is cut there, and each
 distinct piece is encoded once per worker (the library gets the pieces joined, and says which token
-belongs to which). The cache of pieces is bounded by ``CACHE``.
+belongs to which). A worker keeps the pieces of two generations of ``CACHE`` each.
 
 Edge cases: a null or empty text is only its end id; documents without an id come first; documents with one
 id are ordered by text; an empty table gives no files and no rows. Other columns are ignored.
@@ -31,57 +31,86 @@ from ._files import create, exact, mapped
 from ._store import materialise
 from ._text import sliced
 
-END_ID, DOCS_PER_FILE, CACHE = 2, 4000, 400_000
+END_ID, DOCS_PER_FILE, CACHE = 2, 4000, 600_000
 NO_ID = np.int64(-(1 << 63))
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _RUN = re.compile(r"\s\s")
+_MARKS = ".,;:!?\"()[]{}*#%&$@/-_=+'"
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """Encodes by distinct pieces. ``words`` holds the ids of a space and the word after it, by the word;
+    ``old`` is the generation before, from which words still in use return; ``others`` the other pieces."""
+
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.largest = max(self.tokenizer.get_vocab_size(True) - 1, 0)
-        self.cache: dict[str, bytes] = {}
-        self.cuts = '"ByteLevel"' in str(self.tokenizer.pre_tokenizer) or "ByteLevel" in repr(self.tokenizer.pre_tokenizer)
-        self.cuts = self.cuts and self.tokenizer.normalizer is None
-
-    def pieces(self, text: str) -> list[str]:
+        self.limit = cache
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.cuts = "ByteLevel" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+
+    def pieces(self, text: str) -> tuple[list[str], list[str]]:
+        """Pieces, and after them words that a single space precedes."""
         if not self.cuts:
-            return [text]
+            return [text], []
         if _RUN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if rest else [first]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces that the cache lacks. Those that start at a cut and hold no other white space go
-        in together; the rest one by one."""
-        simple = [x for x in pieces if len(x) > 1 and x[0] == " " and len(x.split()) == 1 and not x[-1].isspace() and "<|" not in x]
-        chosen = set(simple)
-        for at in range(0, len(simple), 2000):
-            part = simple[at : at + 2000]
-            got = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            return _CUT.split(text), []
+        words = text.split(" ")
+        return words[:1], words[1:]
+
+    def encode(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def other(self, piece: str) -> bytes:
+        if piece not in self.others:
+            if len(self.others) >= self.limit:
+                self.others.clear()
+            self.others[piece] = self.encode(piece)
+        return self.others[piece]
+
+    def learn(self, words: set[str]) -> None:
+        """Punctuation after a letter or digit is a pre-token of its own, so it's split off first; words
+        without white space go to the library joined, and offsets tell whose a token is."""
+        cores = {}
+        for x in words:
+            core = x.rstrip(_MARKS)
+            cores[x] = core if core != x and core and core[-1].isalnum() else x
+        known = lambda x: self.old.get(x) or self.words.get(x)
+        wanted = sorted({c for c in cores.values() if not known(c)})
+        found = {}
+        simple = [c for c in wanted if c and len(c.split()) == 1 and not c[0].isspace() and not c[-1].isspace() and "<|" not in c]
+        for at in range(0, len(simple), 4000):
+            part = simple[at : at + 4000]
+            got = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
             ids = np.array(got.ids, np.uint32)
-            starts = np.array([x for x, _ in got.offsets], np.int64)
-            begins = np.cumsum([0, *map(len, part)])
-            where = np.searchsorted(starts, begins)
-            for k, x in enumerate(part):
-                self.cache[x] = ids[where[k] : where[k + 1]].tobytes()
-        for x in pieces:
-            if x not in chosen:
-                self.cache[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32).tobytes()
+            begins = np.cumsum([0, *(len(x) + 1 for x in part)])
+            where = np.searchsorted(np.array(got.offsets, np.int64)[:, 0], begins)
+            raw = ids.tobytes()
+            for x, i, j in zip(part, where[:-1].tolist(), where[1:].tolist(), strict=True):
+                found[x] = raw[4 * i : 4 * j]
+        for c in wanted:
+            if c not in found:
+                found[c] = self.encode(" " + c)
+        for x, c in cores.items():
+            ids = found.get(c) or known(c)
+            self.words[x] = ids if c == x else ids + self.other(x[len(c) :])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
         cut = [self.pieces(t or "") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if missing := set().union(*cut) - self.cache.keys():
-            self.learn(sorted(missing))
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, x)), np.uint32) for x in cut]
+        if len(self.words) > self.limit:
+            self.words, self.old = {}, self.words
+        if missing := set().union(*(w for _, w in cut)) - self.words.keys():
+            back = missing & self.old.keys()
+            self.words.update((x, self.old[x]) for x in back)
+            self.learn(missing - back)
+        word = self.words.__getitem__
+        return [np.frombuffer(b"".join([*map(self.other, o), *map(word, w)]), np.uint32) for o, w in cut]
 
 
 def encoder(path: str) -> Encoder:
