@@ -104,7 +104,7 @@ def axis_sweep(scores: DataFrame, payouts: DataFrame, grid: list[tuple[float, fl
     wins = payouts.filter("ticket_type = 'umatan'").groupBy("race_id").agg(F.collect_list(F.struct("win", "payout")).alias("won"))
     points = F.array(*[F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2")) for a, b in grid])
     rows = races.join(wins, "race_id", "left").select("runners", "won", F.explode(points).alias("t"))
-    score_of = lambda n: F.element_at(F.filter("runners", lambda r: r["umaban"] == n), 1)["score"]
+    score_of = lambda n: F.get(F.filter("runners", lambda r: r["umaban"] == n), F.lit(0))["score"]
     a = F.size(F.filter("runners", lambda r: r["score"] >= F.col("t.t1"))).cast("long")
     p = F.size(F.filter("runners", lambda r: r["score"] >= F.col("t.t2"))).cast("long")
     both = F.size(F.filter("runners", lambda r: (r["score"] >= F.col("t.t1")) & (r["score"] >= F.col("t.t2")))).cast("long")
