@@ -1,27 +1,10 @@
-"""Shared scratch space: the one folder that driver and executors of a cluster have in common."""
+"""Results written to the shared folder."""
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.scratch import scratch_path, shared_root
 
-KEY = "spark.checkpoint.dir"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary one of this machine, which becomes the checkpoint folder too."""
-    root = spark.conf.get(KEY, None)
-    if not root:
-        root = getattr(shared_root, "own", None)
-        if root is None:
-            root = shared_root.own = "file://" + tempfile.mkdtemp(prefix="turfspark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "materialise", "scratch_path"]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -128,8 +128,9 @@ def edited_pairs(docs: DataFrame, docs_per_part: int = DOCS_PER_PART, id_col: st
         rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(_stream, f"{RESULT}, part long, is_first boolean, text string"), "digests"
     )
     firsts = done.filter("is_first").select("part", F.col("text").alias("following"))
-    chain = firsts.select("part").withColumn("next", F.lead("part").over(Window.orderBy("part")))  # a row per partition
-    chain = chain.crossJoin(firsts.agg(F.min("part").alias("head"))).select("part", F.coalesce("next", "head").alias("next"))
+    by_part = Window.orderBy("part")  # a row per partition
+    head = F.first("part").over(by_part.rowsBetween(Window.unboundedPreceding, 0))
+    chain = firsts.select("part", F.coalesce(F.lead("part").over(by_part), head).alias("next"))
     lasts = done.filter("not is_first").select("doc_id", "text", "part")
     ends = lasts.join(chain, "part").join(firsts.withColumnRenamed("part", "next"), "next")
     finished = ends.select("doc_id", "text", "following").mapInArrow(_finish, RESULT)
