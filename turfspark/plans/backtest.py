@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import payouts, policies, scoring, settlement
+from ..operators.joins import union_batches
 from ..streaming import raceday
-from .mapping import PAY, RUN, SCORED, payout_texts, query, runners, table
+from .mapping import PAY, RUN, SCORED, day_rows, payout_texts, query, races, runners, table
 
 THRESHOLD = 0.3
 
@@ -90,6 +91,21 @@ def _register(ticket: str) -> None:
 for _ticket in POLICIES:
     _register(_ticket)
 
+# Ticket types that settle alike, together
+for _name, _alike in {
+    "settle_single": ("tansho", "fukusho"), "settle_frame_box": ("wakuren",), "settle_pair_box": ("umaren", "wide"), "settle_exacta_box": ("umatan",),
+    "settle_trio_box": ("sanrenpuku",), "settle_trifecta_box": ("sanrentan",),
+}.items():
+
+    def _family(spark, sf, alike=_alike):
+        scores, paid = _scores(spark, sf), _payouts(spark, sf)
+        bets = union_batches(*[POLICIES[t](scores, THRESHOLD) for t in alike])
+        return settlement.settle(bets, paid).groupBy("ticket_type").agg(F.count("*").alias("races"), F.sum("n_bets").alias("n_bets"), F.sum("return_amount").alias("return_amount"))
+
+    _family.__name__ = _name
+    _settled = " UNION ALL ".join(_settled_sql(t) for t in _alike)
+    query(f"WITH {PAY}, {SCORED} SELECT ticket_type, count(*) AS races, sum(n_bets)::BIGINT AS n_bets, sum(return_amount) AS return_amount FROM ({_settled}) GROUP BY ticket_type")(_family)
+
 _PAIRS = f"SELECT a.race_id, a.umaban AS x, b.umaban AS y FROM score a JOIN score b ON a.race_id = b.race_id AND a.umaban <> b.umaban WHERE a.score >= 0.97 AND b.score >= {THRESHOLD}"
 
 
@@ -203,9 +219,7 @@ def schedule_order(spark, sf):
 
 @query()
 def day_of_scoring(spark, sf):
-    """The newest order day's lines as race cards, scored by their history features."""
-    from .mapping import day_rows, races
-
+    """All order lines as race cards, scored by their history features."""
     days = races(spark, sf).select("race_id", "date")
     cards = runners(spark, sf).join(days, "race_id").select(
         "race_id", F.col("wakuban").cast("string").alias("wakuban"), F.col("umaban").cast("string").alias("umaban"), F.lit("牡3").alias("sex_age"), F.lit(55.0).alias("carried"), F.lit("2.5").alias("odds"),

@@ -52,6 +52,42 @@ def history_group_supplier(spark, sf):
     return _rounded(history.history_features(_keys(rows), rows, ["quantity", "discount"], ["flag"], path="linear"))
 
 
+_ASOF = f"""WITH {day_sql('l_partkey')}, key AS ({_KEY}), joined AS (SELECT k.horse_id AS e, k.date AS d, k.flag AS f, h.*,
+  row_number() OVER (PARTITION BY k.horse_id, k.date, k.flag ORDER BY h.date DESC, h.R DESC) AS rn FROM key k JOIN hist h ON h.horse_id = k.horse_id AND h.date < k.date)
+  SELECT k.horse_id, k.date, k.flag, {{}} FROM key k LEFT JOIN joined h ON h.e = k.horse_id AND h.d = k.date AND h.f = k.flag GROUP BY k.horse_id, k.date, k.flag"""
+
+
+def _one(spark, sf, *columns, groups=(), windows=(5, 9)):
+    rows = day_rows(spark, sf, "l_partkey")
+    found = history.history_features(_keys(rows), rows, ["quantity"], list(groups), windows)
+    return _rounded(found.select("horse_id", "date", "flag", *columns))
+
+
+@query(_ASOF.format('round(avg(h.quantity) FILTER (WHERE rn <= 5), 9) AS "quantity_5R", round(avg(h.quantity) FILTER (WHERE rn <= 9), 9) AS "quantity_9R"'))
+def mean_lastn(spark, sf):
+    return _one(spark, sf, "quantity_5R", "quantity_9R")
+
+
+@query(_ASOF.format('round(avg(h.quantity) FILTER (WHERE rn <= 5 AND h.flag = k.flag), 9) AS "quantity_flag_5R", round(avg(h.quantity) FILTER (WHERE rn <= 9 AND h.flag = k.flag), 9) AS "quantity_flag_9R"'))
+def mean_lastn_by_group(spark, sf):
+    return _one(spark, sf, "quantity_flag_5R", "quantity_flag_9R", groups=["flag"])
+
+
+@query(_ASOF.format('round(avg(h.quantity), 9) AS "quantity_allR"'))
+def mean_all(spark, sf):
+    return _one(spark, sf, "quantity_allR", windows=())
+
+
+@query(_ASOF.format('round(avg(h.quantity) FILTER (WHERE h.flag = k.flag), 9) AS "quantity_flag_allR"'))
+def mean_all_by_group(spark, sf):
+    return _one(spark, sf, "quantity_flag_allR", groups=["flag"], windows=())
+
+
+@query(_ASOF.format("max(h.date) AS latest"))
+def latest_date(spark, sf):
+    return _one(spark, sf, "latest", windows=())
+
+
 _EVENT = """hist AS (SELECT user_id AS horse_id, ts::DATE AS date, event_type AS flag, event_id AS R, round(value * 100) AS value FROM events), key AS (SELECT DISTINCT horse_id, date, flag FROM hist)"""
 
 
@@ -224,17 +260,39 @@ def _learning(spark, sf):
     return splitting.split_by_time(rows)
 
 
+def _trained(spark, sf):
+    rows = _learning(spark, sf)
+    return rows, ml.train_classifier(rows.filter("fold = 'train'"), _X, trees=5, depth=3)
+
+
+@query(f"WITH {RUN} SELECT umaban, horse_id, jockey_id, quantity, discount, price, wakuban, (quantity > 25)::INTEGER AS rank FROM run")
+def xy_columns(spark, sf):
+    rows = runners(spark, sf).withColumn("rank", (F.col("quantity") > 25).cast("int"))
+    x, y = splitting.xy_columns(rows)
+    return rows.select(*x, y)
+
+
 @query()
 def train_classifier(spark, sf):
-    rows = _learning(spark, sf)
-    model = ml.train_classifier(rows.filter("fold = 'train'"), _X, trees=5, depth=3)
+    """Area under the curve on each fold."""
+    rows, model = _trained(spark, sf)
+    return scoring.auc(ml.score_runners(model, rows, _X), "score", "rank", by="fold")
+
+
+@query()
+def score_runners(spark, sf):
+    rows, model = _trained(spark, sf)
     return ml.score_runners(model, rows.filter("fold = 'test'"), _X).select("race_id", "umaban", "score", "rank")
 
 
+@query()
+def top_features(spark, sf):
+    return ml.top_features(_trained(spark, sf)[1], _X, spark, 3)
+
+
 @query()
 def feature_importance(spark, sf):
-    model = ml.train_classifier(_learning(spark, sf).filter("fold = 'train'"), _X, trees=5, depth=3)
-    return ml.top_features(model, _X, spark)
+    return ml.feature_importance(_trained(spark, sf)[1], _X, spark)
 
 
 @query()
