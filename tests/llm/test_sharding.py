@@ -37,9 +37,9 @@ def test_table():
 
 
 def test_assign(spark, tmp_path):
-    df = spark.createDataFrame([(1, "x", 0), (1, "x", 0), (None, "y", 0), (2, None, 9)], "doc_id long, shard string, slot int")
+    df = spark.createDataFrame([(1, "x", 0, 1), (1, "x", 0, 1), (None, "y", 0, 1), (2, None, 9, 1)], "doc_id long, shard string, slot int, _at int")
     got = S.assign(df, ["doc_id"], S.shard_names(5), 101)
-    assert sorted(got.columns) == ["doc_id", "shard", "slot"] and got.count() == 4
+    assert sorted(got.columns) == ["_at", "doc_id", "shard", "slot"] and got.count() == 4
     assert got.filter("doc_id = 1").distinct().count() == 1
     names, table = S.shard_names(5), S.lookup_table(S.shard_names(5), 101)
     assert all(names[table[r.slot]] == r.shard for r in got.collect())

@@ -83,7 +83,7 @@ def test_components_match_brute_force(spark):
 def test_edge_cases(spark):
     docs = spark.createDataFrame(
         [(3, "a b c d", 1), (1, "a b c d", 2), (1, "a b c d", 2), (None, "a b c d", 0), (7, None, 0), (8, "", 0), (None, "lone text here now", 4)],
-        "doc_id long, text string, fp int",
+        "doc_id long, text string, _nth int",
     )
     got = {(r.doc_id, r.fingerprint): r.component_id for r in S.near_duplicates(docs).collect()}
     assert got[7, "0" * 16] == got[8, "0" * 16] == 7

@@ -33,7 +33,7 @@ def test_held_out_quality_and_edge_cases(spark):
 
 
 def test_without_labels(spark):
-    docs = spark.createDataFrame([(1, "a b", 2.0), (2, None, 1.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(1, "a b", 2.0), (2, None, 1.0)], "doc_id long, text string, _features double")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {(r.doc_id, r.score, r.predicted) for r in T.score(docs, labels).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
     kept = T.keep_clean(docs, labels)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 
 from ..sources.scratch import scratch_path, shared_root
 
-__all__ = ["cut", "materialise", "scratch_path"]
+__all__ = ["cut", "fresh", "materialise", "scratch_path"]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -19,3 +19,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (removed with its last reference where the cluster cleans checkpoints)."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import fresh
 from ._text import LETTERS, SpanHasher, buffers, mix, sliced, word_spans
 
 PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 250, 50_000, 64
@@ -258,4 +259,4 @@ def keep_identified(docs: DataFrame, threshold: float = MIN_SHARE) -> DataFrame:
                 keep = (score >= threshold) & (np.array(lang) != UNDETERMINED)
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], names).filter(pa.array(keep))
 
-    return docs.withColumn("_letters", _letters("text")).mapInArrow(run, docs.schema)
+    return docs.withColumn(fresh(docs, "_letters"), _letters("text")).mapInArrow(run, docs.schema)

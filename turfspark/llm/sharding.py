@@ -16,6 +16,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import fresh
+
 SIZE = 65537
 SHARDS = 64
 
@@ -49,12 +51,12 @@ def lookup_table(shards: list[str], size: int = SIZE) -> list[int]:
 
 def assign(df: DataFrame, keys: list[str], shards: list[str], size: int = SIZE, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """``df`` with the slot and the name of each row's shard."""
+    rest = [c for c in df.columns if c.lower() not in (shard_col.lower(), slot_col.lower())]
+    at, key, name = (fresh(df, c) for c in ("_at", "_slot", "_shard"))
     rows = [(slot, shards[i]) for slot, i in enumerate(lookup_table(shards, size))]
-    table = df.sparkSession.createDataFrame(rows, "_slot int, _shard string")  # as large as the parameter says
-    slot = F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")
-    rest = [c for c in df.columns if c not in (shard_col, slot_col)]
-    placed = df.withColumn("_at", slot).join(F.broadcast(table), F.col("_at") == F.col("_slot"))
-    return placed.select(*rest, F.col("_at").alias(slot_col), F.col("_shard").alias(shard_col))
+    table = df.sparkSession.createDataFrame(rows, f"`{key}` int, `{name}` string")  # as large as the parameter says
+    placed = df.withColumn(at, F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")).join(F.broadcast(table), F.col(at) == F.col(key))
+    return placed.select(*[F.col(f"`{c}`") for c in rest], F.col(at).alias(slot_col), F.col(name).alias(shard_col))
 
 
 def write(df: DataFrame, to: str, keys: list[str], shards: list[str], files_per_shard: int = 8, size: int = SIZE) -> None:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut, materialise
+from ._store import cut, fresh, materialise
 
 SEED, SHINGLE, MAX_BITS, BLOCK = 42, 3, 3, 16384
 _CHUNK = 1 << 15
@@ -298,16 +298,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     component has one; then one such row stays."""
     fp = materialise(fingerprints(docs, id_col, text_col), "simhash")
     classes = cut(_classes(fp))
-    heads = classes.filter("component_id is not null").select(F.col("component_id").alias("_head")).distinct()
-    first = docs.join(heads, docs[id_col].cast("long") == F.col("_head"), "left_semi")
+    head, nth, text, print_ = (fresh(docs, c) for c in ("_head", "_nth", "_text", "_fp"))
+    heads = classes.filter("component_id is not null").select(F.col("component_id").alias(head)).distinct()
+    first = docs.join(heads, docs[id_col].cast("long") == F.col(head), "left_semi")
     once = Window.partitionBy(id_col).orderBy(text_col)
-    kept = first.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth")
-    nameless = classes.filter("component_id is null and fp = root").select(F.col("fp").alias("_fp"))
+    kept = first.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).drop(nth)
+    nameless = classes.filter("component_id is null and fp = root").select(F.col("fp").alias(print_))
     if nameless.isEmpty():
         return kept
     lost = docs.filter(F.col(id_col).cast("long").isNull())
-    texts = lost.select(F.col(text_col).alias("_text")).distinct()
-    prints = fingerprints(texts.withColumn("id", F.xxhash64("_text")), "id", "_text").withColumnRenamed("fp", "_fp")
-    one = texts.join(prints.join(nameless, "_fp"), F.xxhash64("_text") == F.col("id")).groupBy("_fp").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
-    found = lost.join(one, F.coalesce(lost[text_col], F.lit("")) == F.col("_text"), "left_semi")
+    texts = lost.select(F.col(text_col).alias(text)).distinct()
+    prints = fingerprints(texts.withColumn("id", F.xxhash64(text)), "id", text).withColumnRenamed("fp", print_)
+    one = texts.join(prints.join(nameless, print_), F.xxhash64(text) == F.col("id")).groupBy(print_).agg(F.min(F.coalesce(text, F.lit(""))).alias(text))
+    found = lost.join(one, F.coalesce(lost[text_col], F.lit("")) == F.col(text), "left_semi")
     return kept.unionByName(found.dropDuplicates([text_col]))

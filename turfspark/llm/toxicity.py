@@ -30,7 +30,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, fresh
 from ._text import LETTERS, SpanHasher, buffers, hash_words, sliced, word_spans
 
 SAMPLE, MAX_TERMS, TREES, DEPTH, NEAR = 20_000, 2000, 20, 4, 3
@@ -279,17 +279,17 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     model = fit(labelled_rows(docs, labels))
     text = "text"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = docs.columns
+    names, added = docs.columns, fresh(docs, "_features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in sliced(whole, text):
                 x = features(b.column(text).cast(pa.string()), model_lexicon)
                 lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, "_features"])
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, added])
 
     model_lexicon = model.lexicon
-    featured = docs.mapInArrow(run, f"{schema}, _features array<double>")
-    packed = featured.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("_features").alias("features"))
+    featured = docs.mapInArrow(run, f"{schema}, `{added}` array<double>")
+    packed = featured.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(added).alias("features"))
     kept = model.score(packed).filter(F.col("score") < threshold)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
