@@ -76,9 +76,10 @@ def upsert_by_key(spark, sf):
     return tables.upsert_by_key(old, new, "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def new_keys_only(spark, sf):
-    return tables.new_keys_only(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    done = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.new_keys_only(table(spark, sf, "customer").select("c_custkey"), done, "c_custkey")
 
 
 TOUCHED = """(SELECT coalesce(m.id, b.id) AS id, coalesce(b.stamp, m.updated_at) AS updated_at FROM (SELECT o_custkey AS id, max(o_orderdate) AS updated_at FROM orders
