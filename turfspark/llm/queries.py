@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, digest, langid, licenses, sentencepiece_fst, sharding, simhash, tokenbin, toxicity, warc
+from . import decontam, digest, langid, licenses, oracles, sentencepiece_fst, sharding, simhash, tokenbin, toxicity, warc
 from ._store import scratch_path
 
 
@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.ORACLE_SQL}
+    return dict(oracles.SQL)
