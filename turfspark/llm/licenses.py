@@ -5,7 +5,9 @@ on one line, run over several, or be all there is. Units and templates are norma
 run of other characters than a-z and 0-9 a space. The Dice coefficient of two sets of word bigrams is twice
 the shared number over the sum of the sizes; it reaches ``threshold`` t only if the unit's size lies between
 t / (2 - t) and (2 - t) / t times the template's, which prunes units by a count of their words before any
-bigram is made, and templates at the join. The join is with the templates' bigrams (broadcast while they
+bigram is made, and templates at the join. Before that, texts go that can't match: a like unit has at least
+t / (2 - t) of a template's bigrams, so it holds one of any set of more than the rest; such a set is chosen
+for each template so that few words cover it, and a text without any of these words is out. The join is with the templates' bigrams (broadcast while they
 number at most ``MAX_BROADCAST``, else Spark chooses) by a 64-bit hash with the bigram compared as well.
 
 Edge cases: null, empty and word-less texts match nothing; a unit or template of one word has no bigram and
@@ -13,6 +15,10 @@ matches nothing; repeated rows and equal units of a document count once; a docum
 templates, each a row with its best unit; an empty table gives no rows. Other columns are ignored.
 """
 
+import re
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +63,26 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it's used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def anchors(templates: list[tuple[str, str, str]], threshold: float) -> list[str]:
+    """Words of which every text with a unit like some template has one."""
+    chosen: set[str] = set()
+    for _, _, template in templates:
+        words = re.sub("[^a-z0-9]+", " ", template.lower()).strip().split(" ")
+        pairs = set(zip(words, words[1:], strict=False))
+        wanted = len(pairs) - ceil(threshold / (2 - threshold) * len(pairs) - 1e-9) + 1
+        covered = {p for p in pairs if chosen & {*p}}
+        while pairs and len(covered) < wanted:
+            word = max({w for p in pairs - covered for w in p}, key=lambda w: (min(len(w), 7), sum(w in p for p in pairs - covered), w))
+            chosen.add(word)
+            covered |= {p for p in pairs if word in p}
+    return sorted(chosen)
+
+
 def template_bigrams(spark, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
     rows = spark.createDataFrame(templates or TEMPLATES, "license string, part string, template string")
     rows = rows.withColumn("grams", bigrams(F.split(normalised(F.col("template")), " ")))
@@ -75,17 +101,16 @@ def scan(
     if not sizes:
         return spark.createDataFrame([], f"`{id_col}` long, license string, part string, dice double, unit_bigrams int")
     text = F.col(text_col).cast("string")
+    words = anchors(templates or TEMPLATES, threshold)
+    possible = let(F.lower(text), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words]))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.explode(units).alias("unit"))
-    # a bigram takes 4 characters at least with its space, and a unit has no more bigrams than pairs of words
-    rows = rows.filter(F.length("unit") >= 3).select("id", F.split(normalised(F.col("unit")), " ").alias("words"))
-    rows = rows.filter(F.size("words") - 1 >= least * sizes[0] - 1e-9)
-    rows = rows.select("id", bigrams(F.col("words")).alias("grams")).withColumn("unit_bigrams", F.size("grams"))
-    fits = F.lit(False)
-    for n in sizes:
-        fits = fits | F.col("unit_bigrams").between(least * n - 1e-9, most * n + 1e-9)
-    rows = rows.filter(fits).withColumn("unit_key", F.xxhash64(F.concat_ws("\n", "grams")))
-    grams = rows.select("id", "unit_key", "unit_bigrams", F.explode("grams").alias("gram"))
+    rows = docs.filter(possible).select(F.col(id_col).cast("long").alias("id"), F.explode_outer(units).alias("unit"))
+    fits = lambda n: reduce(lambda a, b: a | b, [n.between(least * k - 1e-9, most * k + 1e-9) for k in sizes])
+    # outer: Spark would put a filter on an array before an inner explode, and work it out twice
+    split = F.split(normalised(F.col("unit")), " ")
+    grams = let(split, lambda w: F.when(F.size(w) - 1 >= least * sizes[0] - 1e-9, let(bigrams(w), lambda g: F.when(fits(F.size(g)), g))))
+    rows = rows.select("id", let(grams, lambda g: F.struct(g.alias("grams"), F.size(g).alias("n"), F.xxhash64(F.concat_ws("\n", g)).alias("key"))).alias("u"))
+    grams = rows.select("id", F.col("u.key").alias("unit_key"), F.col("u.n").alias("unit_bigrams"), F.explode_outer("u.grams").alias("gram"))
     grams = grams.withColumn("gram_hash", F.xxhash64("gram"))
     known = known.withColumn("gram_hash", F.xxhash64("gram")).withColumnRenamed("gram", "known_gram")
     few = len(templates or TEMPLATES) and known.count() <= MAX_BROADCAST
