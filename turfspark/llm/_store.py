@@ -4,7 +4,10 @@ from pyspark.sql import DataFrame
 
 from ..sources.scratch import scratch_path, shared_root
 
-__all__ = ["cut", "fresh", "materialise", "scratch_path"]
+__all__ = ["cut", "fresh", "map_batches", "materialise", "scratch_path"]
+
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -27,3 +30,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, since texts may be long: where the session leaves the
+    bound at Spark's own 64 MB, it's lowered, so that what a task holds stays small beside its heap."""
+    conf = df.sparkSession.conf
+    if conf.get(_LIMIT, "64MB").lower() in ("64mb", "64m", "67108864b", "67108864"):
+        conf.set(_LIMIT, BATCH_BYTES)
+    return df.mapInArrow(run, schema)

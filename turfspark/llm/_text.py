@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -66,14 +66,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
+    """Powers of the base, n at least; the table is kept up to a slice's size."""
     key = str(base)
     if len(_powers.get(key, ())) < n:
-        x = np.full(max(n, SLICE_BYTES + (1 << 16)), base, np.uint64)
+        x = np.full(max(n + n // 8, SLICE_BYTES + (64 << 10)), base, np.uint64)
         x[0] = 1
         table = np.cumprod(x, dtype=np.uint64)
-        if n > len(x):
-            raise AssertionError
-        if len(table) > 4 * SLICE_BYTES:  # one huge text: use it, don't keep it
+        if n > 4 * SLICE_BYTES:  # one huge text
             return table
         _powers[key] = table
     return _powers[key]

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import map_batches, materialise
 from ._text import ALNUM, SpanHasher, buffers, shingle_hashes, sliced, word_spans
 
 SIZE, THRESHOLD, MAX_INDEX_BYTES = 5, 0.8, 32 << 20
@@ -144,7 +144,7 @@ def contained(
                     columns = [ids, pa.array(item, pa.int64()), pa.array(shared, pa.int32()), pa.array(of, pa.int32()), pa.array(share, pa.float64())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
-        return rows.mapInArrow(run, PAIRS)
+        return rows.transform(map_batches, run, PAIRS)
 
     blocks = _blocks(_items(benchmark, item_col, item_text_col), max_index_bytes)
     if len(blocks) == 1:
@@ -170,5 +170,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: fl
                     keep[[h[0] for h in index.value.search(b.column(text_col))]] = False
                     yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(map_batches, run, docs.schema)
     return docs

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import map_batches, materialise
 from ._text import sliced
 
 BUCKETS, WINDOW, DOCS_PER_PART = 256, 1 << 20, 4000
@@ -94,7 +94,7 @@ _PARTIAL = pa.schema([*_RESULT, ("part", pa.int64()), ("is_first", pa.bool_()),
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held = TaskContext.get().partitionId(), None
     for whole in batches:
-        for b in sliced(whole, "text", 8 << 20):
+        for b in sliced(whole, "text"):
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 text = text or ""
@@ -125,7 +125,7 @@ def edited_pairs(docs: DataFrame, docs_per_part: int = DOCS_PER_PART, id_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
     done = materialise(
-        rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(_stream, f"{RESULT}, part long, is_first boolean, text string"), "digests"
+        rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).transform(map_batches, _stream, f"{RESULT}, part long, is_first boolean, text string"), "digests"
     )
     firsts = done.filter("is_first").select("part", F.col("text").alias("following"))
     by_part = Window.orderBy("part")  # a row per partition
@@ -133,5 +133,5 @@ def edited_pairs(docs: DataFrame, docs_per_part: int = DOCS_PER_PART, id_col: st
     chain = firsts.select("part", F.coalesce(F.lead("part").over(by_part), head).alias("next"))
     lasts = done.filter("not is_first").select("doc_id", "text", "part")
     ends = lasts.join(chain, "part").join(firsts.withColumnRenamed("part", "next"), "next")
-    finished = ends.select("doc_id", "text", "following").mapInArrow(_finish, RESULT)
+    finished = ends.select("doc_id", "text", "following").transform(map_batches, _finish, RESULT)
     return done.filter("part is null").select(*_RESULT.names).unionByName(finished)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import fresh
+from ._store import fresh, map_batches
 from ._text import LETTERS, SpanHasher, buffers, mix, sliced, word_spans
 
 PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 250, 50_000, 64
@@ -233,13 +233,13 @@ def predict(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in sliced(whole, "text", 2 << 20):
+            for b in sliced(whole, "text"):
                 lang, score, n = model.value.predict(b.column("text"), b.column("letters").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang), pa.array(score), pa.array(n)], ["doc_id", "held_out", "lang_pred", "score", "n_words"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"), _letters("text").alias("letters"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long")
+    return rows.transform(map_batches, run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long")
 
 
 def _letters(text: str):
@@ -254,9 +254,9 @@ def keep_identified(docs: DataFrame, threshold: float = MIN_SHARE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in sliced(whole, "text", 2 << 20):
+            for b in sliced(whole, "text"):
                 lang, score, _ = model.value.predict(b.column("text").cast(pa.string()), b.column(len(names)).to_numpy(zero_copy_only=False))
                 keep = (score >= threshold) & (np.array(lang) != UNDETERMINED)
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], names).filter(pa.array(keep))
 
-    return docs.withColumn(fresh(docs, "_letters"), _letters("text")).mapInArrow(run, docs.schema)
+    return docs.withColumn(fresh(docs, "_letters"), _letters("text")).transform(map_batches, run, docs.schema)

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import map_batches
 from ._text import sliced
 
-SPACE, CACHE = "▁", 500_000
+SPACE, CACHE = "▁", 200_000
 _BPE, _UNIGRAM = 2, 1
 
 
@@ -102,7 +103,7 @@ class Transducer:
     def allowed(self, left: int, right: int) -> bool:
         known = self.stable.get((left, right))
         if known is None:
-            if len(self.stable) > 4 * self.limit:
+            if len(self.stable) > 2 * self.limit:
                 self.stable.clear()
             known = self.stable[left, right] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
         return known
@@ -231,7 +232,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, "<u2"), *found]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), ids], [*kept, ids_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_batches, run, schema)
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -245,7 +246,7 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "t
                 texts = [transducer(model).decode(x or ()) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, text_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_batches, run, schema)
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,4 +263,4 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_crc32", "decodes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_crc32 long, decodes boolean").withColumnRenamed("id", id_col)
+    return rows.transform(map_batches, run, "id long, n_tokens long, ids_crc32 long, decodes boolean").withColumnRenamed("id", id_col)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut, fresh, materialise
+from ._store import cut, fresh, map_batches, materialise
 
 SEED, SHINGLE, MAX_BITS, BLOCK = 42, 3, 3, 16384
 _CHUNK = 1 << 15
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.transform(map_batches, run, "id long, fp long")
 
 
 @lru_cache(1)
@@ -232,13 +232,13 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def links(distinct_fp: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints of column ``fp``: enough of the pairs at most three
     bits apart to connect all that those pairs connect."""
-    keyed = distinct_fp.select("fp").mapInArrow(_emit_keys, "key long, fp long")
+    keyed = distinct_fp.select("fp").transform(map_batches, _emit_keys, "key long, fp long")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     hot = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / (block // 2)).cast("int")))
     if hot.isEmpty():
-        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
+        return keyed.repartition("key").sortWithinPartitions("key").transform(map_batches, _verify, "a long, b long")
     plain = keyed.join(hot.select("key"), "key", "left_anti")
-    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
+    found = plain.repartition("key").sortWithinPartitions("key").transform(map_batches, _verify, "a long, b long")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     spread = keyed.join(hot, "key").withColumn("mine", mine).select(
         "key", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -246,7 +246,7 @@ def links(distinct_fp: DataFrame, block: int = BLOCK) -> DataFrame:
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2)
     tasks = spread.select(F.xxhash64("key", low, high).alias("task"), "fp", side.alias("side"))
-    blocks = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_verify_blocks, "a long, b long")
+    blocks = tasks.repartition("task").sortWithinPartitions("task").transform(map_batches, _verify_blocks, "a long, b long")
     return found.unionByName(blocks)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._files import create, exact, mapped
-from ._store import materialise
+from ._store import map_batches, materialise
 from ._text import sliced
 
 END_ID, DOCS_PER_FILE, CACHE = 2, 4000, 600_000
@@ -156,7 +156,7 @@ def write(
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(parts, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text")
-    manifest = materialise(ordered.mapInArrow(run, "part long, stem string, dtype string, docs long, tokens long"), "tokens-manifest")
+    manifest = materialise(ordered.transform(map_batches, run, "part long, stem string, dtype string, docs long, tokens long"), "tokens-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -178,7 +178,7 @@ def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     files = manifest.count()
     spread = manifest.repartition(max(1, files))
-    return spread.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return spread.transform(map_batches, run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def document_ids(manifest_row: dict, number: int) -> np.ndarray:

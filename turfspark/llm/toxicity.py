@@ -30,7 +30,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, fresh
+from ._store import cut, fresh, map_batches
 from ._text import LETTERS, SpanHasher, buffers, hash_words, sliced, word_spans
 
 SAMPLE, MAX_TERMS, TREES, DEPTH, NEAR = 20_000, 2000, 20, 4, 3
@@ -191,7 +191,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     if not total.n or not total.pos or total.pos == total.n:
         return Lexicon()
     share = total.pos / total.n
-    counts = cut(rows.select("text", "label").mapInArrow(run, "term long, label long").groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).filter("n >= 3"))
+    counts = cut(rows.select("text", "label").transform(map_batches, run, "term long, label long").groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).filter("n >= 3"))
     tested = counts.count()
     pos, n = F.col("pos"), F.col("n")
     neg = n - pos
@@ -216,7 +216,7 @@ def featurise(docs: DataFrame, lexicon: Lexicon, carried: list[str]) -> DataFram
                 lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), lists], [*carried, "features"])
 
-    return docs.select(*carried, "text").mapInArrow(run, schema)
+    return docs.select(*carried, "text").transform(map_batches, run, schema)
 
 
 @dataclass
@@ -289,7 +289,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, added])
 
     model_lexicon = model.lexicon
-    featured = docs.mapInArrow(run, f"{schema}, `{added}` array<double>")
+    featured = docs.transform(map_batches, run, f"{schema}, `{added}` array<double>")
     packed = featured.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(added).alias("features"))
     kept = model.score(packed).filter(F.col("score") < threshold)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])

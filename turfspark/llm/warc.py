@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import create, opened
-from ._store import materialise
+from ._store import map_batches, materialise
 
 CHUNK, LEAST, SPLIT, FILE, READ = 256 << 10, 1000, 16 << 20, 1 << 30, 64 << 10
 DATE = "1970-01-01T00:00:00Z"
@@ -121,7 +121,7 @@ def write(pages: DataFrame, to: str, split: int = SPLIT, file_bytes: int = FILE,
         yield pa.RecordBatch.from_pylist(splits, _MANIFEST)
 
     rows = chunks(pages, chunk=chunk, **columns)
-    return materialise(rows.mapInArrow(run, "file string, offset long, length long, records long"), "warc-manifest")
+    return materialise(rows.transform(map_batches, run, "file string, offset long, length long, records long"), "warc-manifest")
 
 
 def members(read, length: int, size: int = READ) -> Iterator[Iterator[bytes]]:
@@ -229,7 +229,7 @@ def read(manifest: DataFrame, chunk: int = CHUNK, payload: bool = True) -> DataF
                         held, size = [], 0
         yield pa.RecordBatch.from_pylist(held, _ROWS)
 
-    return manifest.repartition(max(1, manifest.count())).mapInArrow(run, ROWS)
+    return manifest.repartition(max(1, manifest.count())).transform(map_batches, run, ROWS)
 
 
 def round_trip(pages: DataFrame, to: str) -> DataFrame:
