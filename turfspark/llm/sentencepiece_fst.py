@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ._store import map_batches
 from ._text import sliced
 
-SPACE, CACHE = "▁", 200_000
+SPACE, CACHE, PAIRS = "▁", 300_000, 1_000_000
 _BPE, _UNIGRAM = 2, 1
 
 
@@ -81,7 +81,7 @@ class Transducer:
         self.joins = {piece[k : k + 2] for piece in self.number for k in range(len(piece) - 1)}
         self.cuts_at_space = not any(x[1] == SPACE != x[0] for x in self.joins)
         self.penalty = -min(self.score.values(), default=0) + 10
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.segments: dict[str, tuple[int, ...]] = {}
         self.limit, self.words, self.old = cache, {}, {}
         self.dtype = "<u2" if len(self.pieces) < 1 << 16 else "<u4"
@@ -101,11 +101,12 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def allowed(self, left: int, right: int) -> bool:
-        known = self.stable.get((left, right))
+        key = left << 32 | right
+        known = self.stable.get(key)
         if known is None:
-            if len(self.stable) > 2 * self.limit:
+            if len(self.stable) > PAIRS:
                 self.stable.clear()
-            known = self.stable[left, right] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
+            known = self.stable[key] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
         return known
 
     def fallback(self, character: str) -> tuple[int, ...]:
