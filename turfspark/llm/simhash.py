@@ -24,6 +24,9 @@ Edge cases: null and word-less texts have fingerprint zero and link like any oth
 equal texts share a fingerprint; rows with a null id get a fingerprint, take part in links, and never
 name a component (a component of null ids alone has a null ``component_id``). An empty table gives an
 empty result. Other columns are ignored; ``near_duplicates`` reads only the id and the text.
+
+``keep_one`` drops near copies by the likeness of five-word shingles (see ``shingle_sets``), not by these
+fingerprints.
 """
 
 from collections.abc import Iterator
@@ -37,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from ._store import cut, fresh, map_batches, materialise
 
 SEED, SHINGLE, MAX_BITS, BLOCK = 42, 3, 3, 16384
@@ -273,10 +277,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
-def _classes(fp: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint of (id, fp)."""
+def _classes(fp: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of (id, fp), linked by ``edges`` if given."""
     classes = fp.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(classes.select("fp")))
+    roots = components(links(classes.select("fp")) if edges is None else edges)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.select("fp", "root").join(named, "root")
@@ -293,11 +297,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without their near-duplicates: of each component, the row with the smallest id (of
-    repeated rows with that id, the first by text). A row without an id stays only where none of its
-    component has one; then one such row stays."""
-    fp = materialise(fingerprints(docs, id_col, text_col), "simhash")
-    classes = cut(_classes(fp))
+    """The documents without their near copies: texts with 0.8 or more of their five-word shingles in common
+    are linked, and of each component the row with the smallest id stays (of repeated rows with that id, the
+    first by text). A row without an id stays only where none of its component has one; then one such row
+    stays."""
+    fp = materialise(shingle_sets.keyed(docs, id_col, text_col), "shingles")
+    classes = cut(_classes(fp, shingle_sets.links(fp, docs, components, text_col)))
     head, nth, text, print_ = (fresh(docs, c) for c in ("_head", "_nth", "_text", "_fp"))
     heads = classes.filter("component_id is not null").select(F.col("component_id").alias(head)).distinct()
     first = docs.join(heads, docs[id_col].cast("long") == F.col(head), "left_semi")
@@ -308,7 +313,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return kept
     lost = docs.filter(F.col(id_col).cast("long").isNull())
     texts = lost.select(F.col(text_col).alias(text)).distinct()
-    prints = fingerprints(texts.withColumn("id", F.xxhash64(text)), "id", text).withColumnRenamed("fp", print_)
+    prints = shingle_sets.keyed(texts.withColumn("id", F.xxhash64(text)), "id", text).select("id", F.col("fp").alias(print_))
     one = texts.join(prints.join(nameless, print_), F.xxhash64(text) == F.col("id")).groupBy(print_).agg(F.min(F.coalesce(text, F.lit(""))).alias(text))
     found = lost.join(one, F.coalesce(lost[text_col], F.lit("")) == F.col(text), "left_semi")
     return kept.unionByName(found.dropDuplicates([text_col]))
