@@ -52,6 +52,22 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
 
+# Names by which one-line notices call a licence: its usual name and its SPDX identifier.
+_NAMES = [
+    ("Apache-2.0", "the Apache License 2.0"), ("Apache-2.0", "Apache-2.0"), ("MIT", "the MIT License"), ("MIT", "MIT"), ("BSD-2-Clause", "the BSD 2-Clause License"),
+    ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "the BSD 3-Clause License"), ("BSD-3-Clause", "BSD-3-Clause"), ("ISC", "the ISC License"), ("ISC", "ISC"),
+    ("GPL-2.0-or-later", "GPL-2.0-or-later"), ("GPL-3.0-or-later", "GPL-3.0-or-later"), ("GPL-3.0-only", "the GNU General Public License, version 3"),
+    ("GPL-3.0-only", "GPL-3.0-only"), ("LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("MPL-2.0", "the Mozilla Public License 2.0"),
+    ("MPL-2.0", "MPL-2.0"), ("EPL-2.0", "the Eclipse Public License 2.0"), ("EPL-2.0", "EPL-2.0"), ("Unlicense", "the Unlicense"), ("BSL-1.0", "the Boost Software License, Version 1.0"),
+    ("BSL-1.0", "BSL-1.0"), ("CC0-1.0", "CC0 1.0"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+]
+_FORMS = ["Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "SPDX-License-Identifier: {}"]
+# "This work is licensed under" alone would make any other short name 0.8 alike, so there the name has three words.
+TEMPLATES += [
+    (x, f"line {form.split(' {')[0].lower()} {name}", form.format(name))
+    for x, name in _NAMES for form in _FORMS if form[:4] != "This" or len(re.findall("[a-z0-9]+", name.lower())) > 2
+]
+
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
