@@ -31,15 +31,15 @@ def opened(uri: str, offset: int = 0) -> Callable[[int], bytes]:
     return source.read
 
 
-def mapped(uri: str, dtype: str) -> np.ndarray:
-    """A flat file as an array: memory-mapped where the store is a mounted file system."""
+def spans(uri: str, dtype: str) -> Callable[[int, int], np.ndarray]:
+    """Reader of elements a to b of a flat file: memory-mapped where the store is a mounted file system, else by
+    ranged reads."""
     store, path = resolve(uri)
-    if store.get_file_info(path).size == 0:
-        return np.zeros(0, dtype)
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with store.open_input_file(path) as source:
-        return np.frombuffer(source.read_buffer(), dtype)
+        whole = np.memmap(path, dtype, "r") if store.get_file_info(path).size else np.zeros(0, dtype)
+        return lambda a, b: np.array(whole[a:b])
+    source, size = store.open_input_file(path), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(source.read_at((b - a) * size, a * size), dtype)
 
 
 def exact(array: np.ndarray) -> pa.Buffer:

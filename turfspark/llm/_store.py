@@ -1,10 +1,13 @@
 """Results written to the shared folder."""
 
+from math import ceil
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path, shared_root
 
-__all__ = ["cut", "fresh", "map_batches", "materialise", "scratch_path"]
+__all__ = ["byte_parts", "cut", "fresh", "map_batches", "materialise", "scratch_path"]
 
 BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -24,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def byte_parts(df: DataFrame, text: str, part_bytes: int, least: int = 8 << 20) -> int:
+    """Number of partitions of ``part_bytes`` of text; on small tables of ``least`` bytes, up to four for each core."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, ceil(total / part_bytes), min(ceil(total / least), 4 * cores))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or one like it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
