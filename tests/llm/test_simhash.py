@@ -94,3 +94,21 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "lone text here now"), (1, "a b c d"), (7, None)]
     assert S.near_duplicates(docs.limit(0)).count() == 0
     assert S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_a_long_chain_is_one_component(spark):
+    """5,000 fingerprints, each two bits from the next and most far from the first: Gray codes in steps of two."""
+    gray = [i ^ i >> 1 for i in range(5000)]
+    spread = [sum((g >> b & 1) * (1 << 4 * b) for b in range(13)) for g in gray]
+    rows = list(enumerate(spread))
+    random.Random(2).shuffle(rows)
+    edges = spark.createDataFrame([(spread[i], spread[i + 1]) for i in range(4999)], "a long, b long").repartition(4)
+    roots = {r.node: r.root for r in S.components(edges).collect()}
+    assert set(roots) | {min(spread)} == set(spread) and set(roots.values()) == {min(spread)}
+    out = S._classes(spark.createDataFrame(rows, "id long, fp long")).select("component_id").distinct().collect()
+    assert [r.component_id for r in out] == [0]
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = " ".join(f"w{i * i % 977}" for i in range(70_000))
+    assert S.fingerprint(text) == brute([text])[0]

@@ -23,7 +23,8 @@ spread as pairs of blocks over many tasks.
 Edge cases: null and word-less texts have fingerprint zero and link like any other; repeated rows and
 equal texts share a fingerprint; rows with a null id get a fingerprint, take part in links, and never
 name a component (a component of null ids alone has a null ``component_id``). An empty table gives an
-empty result. Other columns are ignored; ``near_duplicates`` reads only the id and the text.
+empty result. Other columns, whatever their names, are ignored; ``near_duplicates`` reads only the id and the
+text. Texts of any length are hashed in pieces. Ids must be numbers, or texts of numbers.
 
 ``keep_one`` drops near copies by the likeness of five-word shingles (see ``shingle_sets``), not by these
 fingerprints.
@@ -236,7 +237,7 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def links(distinct_fp: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints of column ``fp``: enough of the pairs at most three
     bits apart to connect all that those pairs connect."""
-    keyed = distinct_fp.select("fp").transform(map_batches, _emit_keys, "key long, fp long")
+    keyed = cut(distinct_fp.select("fp").transform(map_batches, _emit_keys, "key long, fp long"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     hot = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / (block // 2)).cast("int")))
     if hot.isEmpty():
@@ -254,12 +255,13 @@ def links(distinct_fp: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.unionByName(blocks)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node of each component, for the nodes of ``edges`` (a, b), by alternating
-    large-star and small-star steps; every round is checkpointed, and no node gathers its neighbours."""
+    large-star and small-star steps until nothing changes; every round is checkpointed, and no node gathers its
+    neighbours."""
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -274,12 +276,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def _classes(fp: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(fp, root, component_id) of every distinct fingerprint of (id, fp), linked by ``edges`` if given."""
-    classes = fp.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = cut(fp.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes.select("fp")) if edges is None else edges)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
