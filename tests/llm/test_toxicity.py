@@ -39,3 +39,87 @@ def test_without_labels(spark):
     kept = T.keep_clean(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 2
     assert T.score(docs.limit(0), labels).count() == 0
+
+
+def slow_features(text, words, prefixes):
+    """All features of one text from their definitions; ``words`` and ``prefixes`` give weights."""
+    import math
+    import re
+
+    raw, low = (text or ""), (text or "").lower()
+    run = rb"(?:[A-Za-z]|[\x80-\xff])+"
+    tokens, w = re.findall(rb"[^ \t\n\r\x0b\x0c]+", raw.encode()), re.findall(run, low.encode())
+    n = max(len(w), 1)
+    hit = [words.get(x, 0) for x in w]
+    pre = [max([prefixes.get(x[:k], 0) for k in T.PREFIXES if len(x) > k], default=0) for x in w]
+    any_hit = [bool(a or b) for a, b in zip(hit, pre, strict=True)]
+    you = [x.decode("utf-8", "replace") in T.SECOND_PERSON for x in w]
+    near = sum(h and any(you[max(0, i - T.NEAR) : i + T.NEAR + 1]) for i, h in enumerate(any_hit))
+    upper = lambda s: sum(len(c.encode()) for c in s if c.isupper() and len(c.encode()) < 3)
+    letters = [sum(65 <= b <= 90 or 97 <= b <= 122 or b > 127 for b in t) for t in tokens]
+    punct = set(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    shouted = sum(k > 2 and upper(t.decode()) == k for t, k in zip(tokens, letters, strict=True))
+    marked = sum(k > 0 and any(b in punct for b in t[1:-1]) for t, k in zip(tokens, letters, strict=True))
+    mixed = sum(k > 0 and any(48 <= b <= 57 for b in t) for t, k in zip(tokens, letters, strict=True))
+    leet = dict(zip(b"013457@$!|", b"oieastasil", strict=True))
+    plain = bytes(leet.get(b, b) for b in low.encode() if b not in b"*._-~^'`#%&+" or b in leet)
+    shown = sum(words.get(x, 0) > 0 for x in re.findall(run, plain))
+    hits, size, hidden = sum(x > 0 for x in hit), max(len(raw.encode()), 1), 0
+    hidden = max(shown - hits, 0)
+    return [
+        math.log1p(len(w)), sum(map(len, w)) / n, hits / n, math.log1p(hits), sum(hit) / n, max(hit, default=0), sum(x > 0 for x in pre) / n, max(pre, default=0),
+        sum(you) / n, math.log1p(near), near / max(sum(any_hit), 1), upper(raw) / size, shouted / max(len(tokens), 1), sum(b in punct for b in raw.encode()) / size,
+        raw.count("!") / size, marked / max(len(tokens), 1), mixed / max(len(tokens), 1), math.log1p(hidden), hidden / max(shown, 1),
+    ]
+
+
+def slow_lexicon(rows):
+    """Weights of words and beginnings from (text, label), by the likelihood-ratio test."""
+    import math
+    import re
+    from collections import Counter
+
+    n, pos, total_pos = Counter(), Counter(), sum(y for _, y in rows)
+    for t, y in rows:
+        w = re.findall(rb"(?:[a-z]|[\x80-\xff])+", (t or "").lower().encode())
+        seen = {("w", x) for x in w} | {("p", x[:k]) for x in w for k in T.PREFIXES if len(x) > k}
+        for x in seen:
+            n[x] += 1
+            pos[x] += y
+    tested = sum(c >= 3 for c in n.values())
+    share, out = total_pos / len(rows), {}
+    for x, c in n.items():
+        if c < 3:
+            continue
+        p, q = pos[x], c - pos[x]
+        ratio = 2 * ((p * math.log(p / (c * share)) if p else 0) + (q * math.log(q / (c * (1 - share))) if q else 0))
+        odds = math.log(((p + 0.5) / (total_pos - p + 0.5)) / ((q + 0.5) / (len(rows) - total_pos - q + 0.5)))
+        if ratio > 2 * math.log(max(tested, 2)) + 2 and odds > 1.5:
+            out[x] = odds
+    return out
+
+
+ODD = ["ESTÚPIDO eres TÚ", "ÀÉÎ ÑANDÚ ΩΜΕΓΑ", "", None, "m0r*on y0u a.s.s 1d1ot", " \n\t", "日本語 AB", "x" * 30, "you " * 5 + "I'm here!! #1"]
+
+
+def test_lexicon_and_features_match_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").selectExpr("text", "toxic label").collect()
+    lexicon = T.learn_lexicon(spark.createDataFrame(rows, "text string, label long"))
+    want = slow_lexicon([(r.text, r.label) for r in rows])
+    key = lambda x: int(hash_words([x[1]])[0]) ^ (0x5DEECE66D if x[0] == "p" else 0)
+    assert dict(zip(lexicon.words.tolist(), lexicon.weights.round(9).tolist(), strict=True)) == {key(x): round(v, 9) for x, v in want.items()} and len(want) > 5
+    words, prefixes = ({x: v for (k, x), v in want.items() if k == kind} for kind in "wp")
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ODD
+    got = T.features(pa.array(texts, pa.string()), lexicon)
+    assert np.allclose(got, [slow_features(t, words, prefixes) for t in texts])
+
+
+def test_long_repeated_and_clashing_rows(spark):
+    text = "You are kind, señor.\n" * 60_000  # over one slice
+    docs = spark.createDataFrame([(i, text if i == 1 else f"fine words {i % 3}", 1) for i in range(40)] + [(2, "fine words", 1)] * 30, "doc_id long, text string, features int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int")
+    assert T.labelled_rows(docs, labels).groupBy("id").count().filter("count > 1").count() == 0
+    got = T.score(docs, labels).collect()
+    assert len(got) == 70 and all(0 <= r.score <= 1 for r in got)
+    assert T.keep_clean(docs, labels).columns == docs.columns

@@ -4,17 +4,19 @@ Features of a whole text, computed in one pass over its bytes: densities and wei
 word beginnings, how many hits stand near a second-person pronoun, rates of capitals, shouted words and
 punctuation, and how much of the lexicon shows only after undoing character substitutions and in-word
 punctuation. The lexicon is learned: words, and beginnings of 5 to 8 bytes, whose presence a likelihood-
-ratio test ties to label 1 (the critical value grows with the number of words tested).
+ratio test ties to label 1 (the critical value grows with the number of words tested); all of them are kept.
+Capitals count in every script of two-byte characters, such as accented Latin, Greek and Cyrillic.
 
-Learning uses at most ``SAMPLE`` labelled rows (chosen by a hash of the id, each with its whole text); one
+Learning uses at most about ``SAMPLE`` labelled ids (chosen by a hash of the id, each with one whole text); one
 half of them gives the lexicon, the other the trees and the calibration, so lexicon features are as good on
 the rows that the trees see as on new ones. Counts of words are a Spark aggregate; trees and calibration are
-Spark ML's. Scoring is a scan: no shuffle.
+Spark ML's. Equal scores are pooled, with their weight, before the calibration. Scoring is a scan: no shuffle.
 
 Edge cases: null, empty and word-less texts get the score of a text without any feature; without labelled
 rows of both classes every score is the share of label 1 (0 where there is none); documents repeated or
-without an id are scored like others and never learned from if the id is null; a document with several
-labels counts as toxic if one says so; an empty table gives no rows. Other columns are ignored.
+without an id are scored like others and never learned from if the id is null; of rows with one id the first
+by text is learned from; a document with several labels counts as toxic if one says so; an empty table gives no
+rows. Other columns, whatever their names, are ignored. Ids must be numbers, or texts of numbers.
 """
 
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from ._store import cut, fresh, map_batches
 from ._text import LETTERS, SpanHasher, buffers, hash_words, sliced, word_spans
 
-SAMPLE, MAX_TERMS, TREES, DEPTH, NEAR = 20_000, 2000, 20, 4, 3
+SAMPLE, TREES, DEPTH, NEAR = 20_000, 20, 4, 3
 PREFIXES = (5, 6, 7, 8)
 SECOND_PERSON = (
     "you your yours yourself yourselves u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos "
@@ -54,6 +56,7 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+_UPPER_TWO = np.array([chr(c).isupper() for c in range(2048)])  # characters of two bytes
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
 _ALPHA[128:] = True
@@ -141,8 +144,12 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     hits, near_hits = _sums(any_hit, per_row), _sums(near & any_hit, per_row)
     # words as written
     s, e, pr = word_spans(raw, raw_offsets, _TOKEN)
-    count = lambda table: np.concatenate([[0], np.cumsum(table[raw])])
-    capital, alpha, punct, digit = count(_UPPER), count(_ALPHA), count(_PUNCT), count(_DIGIT)
+    upper = _UPPER[raw]
+    lead = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] <= 0xDF))
+    lead = lead[_UPPER_TWO[(raw[lead].astype(np.int64) & 31) << 6 | raw[lead + 1] & 63]]
+    upper[lead] = upper[lead + 1] = True
+    count = lambda of: np.concatenate([[0], np.cumsum(of)])
+    capital, alpha, punct, digit = count(upper), count(_ALPHA[raw]), count(_PUNCT[raw]), count(_DIGIT[raw])
     tokens = np.maximum(np.diff(pr), 1)
     inner = np.maximum(e - 1, s)
     letters = alpha[e] - alpha[s]
@@ -173,10 +180,10 @@ def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
     n = labelled.count()
     if n <= sample:
         return labelled
-    return labelled.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    return labelled.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 60)) < int((1 << 60) * (sample / n)))
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
+def learn_lexicon(rows: DataFrame) -> Lexicon:
     """From (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +207,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     odds = F.log(((pos + 0.5) / (total.pos - pos + 0.5)) / ((neg + 0.5) / (total.n - total.pos - neg + 0.5)))
     scored = counts.withColumn("ratio", ratio).withColumn("odds", odds)
     chosen = scored.filter((F.col("ratio") > 2 * log(max(tested, 2)) + 2) & (F.col("odds") > 1.5))
-    best = chosen.orderBy(F.desc("ratio"), "term").limit(max_terms).select("term", "odds").collect()
+    best = chosen.select("term", "odds").collect()  # of the sample's terms
     words, weights = np.array([r.term for r in best], np.int64).view(np.uint64), np.array([r.odds for r in best], float)
     return Lexicon(np.sort(words), weights[np.argsort(words)])
 
@@ -253,7 +260,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
         first = second = rest
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=4, seed=1, subsamplingRate=1.0).fit(first.coalesce(2))
     raw = model.transform(second).select("label", vector_to_array("probability")[1].alias("raw"))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(raw)
+    raw = raw.groupBy("raw").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("rows"))
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="rows", predictionCol="calibrated").fit(raw)
     return Model(lexicon, share, model, calibration)
 
 
@@ -261,8 +269,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held
     """(id, text, label) of the rows to learn from: crc32 of the id as text mod ``held_out_of`` isn't ``held_out``."""
     known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("long")).alias("label"))
     known = known.filter(F.crc32(F.col("id").cast("string")) % held_out_of != held_out)
-    known = _sampled(known, SAMPLE)  # before the join: only these rows' texts are moved
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(known, "id")
+    known = _sampled(known, SAMPLE)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # about SAMPLE ids
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
