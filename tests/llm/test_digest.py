@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+
 from turfspark.llm import digest as D
 
 
@@ -15,7 +17,9 @@ def brute_counts(data):
 def test_counts_match_brute_force(monkeypatch):
     monkeypatch.setattr(D, "WINDOW", 16)
     for data in (b"", b"a", b"abc", b"abcd", bytes(range(200)) * 2, b"x" * 16, b"xy" * 17):
-        assert D.counts(data).tolist() == brute_counts(data)
+        assert D.counts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist() == brute_counts(data)
+    both = D.counts(np.frombuffer(b"abcdxyz" * 9, np.uint8), np.array([0, 5, 5, 63]))
+    assert both.tolist() == [brute_counts(b"abcdx"), brute_counts(b""), brute_counts((b"abcdxyz" * 9)[5:])]
 
 
 def test_likeness():
@@ -27,15 +31,23 @@ def test_likeness():
 def test_edited_pairs_match_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(None, "no id é"), (10**7, None), (10**7, ""), (10**8, "日本語の文書です")], docs.schema))
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    rows = sorted(docs.selectExpr("*", "xxhash64(text) tie").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
     want = []
     for r, n in zip(rows, rows[1:] + rows[:1], strict=True):
         t, u = r.text or "", n.text or ""
         e = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
         x, y, z = (D.digest(s.encode()) for s in (t, e, u))
         want.append((r.doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), x.hex(), y.hex(), D.likeness(x, y), D.likeness(x, z)))
-    for size in (30, 10_000):
-        got = D.edited_pairs(docs.withColumn("part", docs.doc_id), size).collect()
+    for size in (30_000, 1 << 40):
+        got = D.edited_pairs(docs.withColumns({c: docs.doc_id for c in ("part", "tie", "following")}), size).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert D.edited_pairs(docs.limit(0)).count() == 0
     assert D.edited_pairs(docs.limit(1)).first().near_next == 1
+
+
+def test_long_and_repeated_texts(spark):
+    text = "Some wörds, again and again: 日本 x1\n" * 50_000  # over one slice
+    docs = spark.createDataFrame([(1, text), (2, text), (2, text), (3, None)], "doc_id long, text string")
+    got = sorted(D.edited_pairs(docs).collect(), key=lambda r: r.doc_id)
+    assert {r.fingerprint for r in got[:3]} == {D.digest(text.encode()).hex()} and [r.near_next for r in got[:2]] == [1, 1]
+    assert got[0].edited_sha256 == hashlib.sha256(D.edit(text, text).encode()).hexdigest() and got[3].n_chars == 0
