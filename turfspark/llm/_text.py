@@ -98,6 +98,19 @@ class SpanHasher:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 4 * SLICE_BYTES) -> np.ndarray:
+    """The same for ascending spans that don't overlap, in blocks, so that one huge text takes no more than they."""
+    if len(data) <= block or not len(starts):
+        return SpanHasher(data)(starts, ends)
+    out, at = [], 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + block, "right")))
+        a, b = starts[at], ends[to - 1]
+        out.append(SpanHasher(data[a:b])(starts[at:to] - a, ends[at:to] - a))
+        at = to
+    return np.concatenate(out)
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """The same hashes for separate words."""
     sizes = np.array([len(w) for w in words], np.int64)
