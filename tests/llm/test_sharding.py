@@ -51,3 +51,25 @@ def test_assign(spark, tmp_path):
     assert stay.filter("shard <> rehomed").count() < 0.1 * stay.count()
     S.write(df.drop("shard", "slot"), str(tmp_path / "o"), ["doc_id"], names, 2)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 4
+
+
+def test_slots_match_an_independent_hash(spark):
+    """Spark's hash of a long is XXH64 of its eight bytes, seed 42."""
+    import struct
+
+    import xxhash
+
+    rows = S.placements(spark.range(-50, 300).withColumnRenamed("id", "doc_id"), 8, 251).collect()
+    names, now, later = S.shard_names(8), S.lookup_table(S.shard_names(8), 251), S.lookup_table(S.shard_names(7), 251)
+    for r in rows:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+        slot = (h - (1 << 64) if h >> 63 else h) % 251
+        assert (r.slot, r.shard, r.rehomed) == (slot, names[now[slot]], names[later[slot]])
+
+
+def test_one_key_is_dealt_to_several_files(spark, tmp_path):
+    df = spark.range(4000).selectExpr("1 key", "id x", "repeat('t', 100) text")
+    S.write(df, str(tmp_path / "o"), ["key"], S.shard_names(3), 4)
+    back = spark.read.parquet(str(tmp_path / "o"))
+    assert back.select("shard").distinct().count() == 1 and back.selectExpr("input_file_name() f").distinct().count() > 1
+    assert sorted(r.x for r in back.collect()) == list(range(4000))

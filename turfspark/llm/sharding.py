@@ -8,7 +8,8 @@ one look-up. Placement takes no shuffle and doesn't depend on how often a key oc
 together unless ``write`` salts them over several files.
 
 Edge cases: a null key has a hash too and is placed like any other; repeated rows go to one shard; an empty
-table gives no rows; columns named like the results are replaced.
+table gives no rows; columns named like the results are replaced. A single shard can't be lost, so ``placements``
+needs two.
 """
 
 import hashlib
@@ -49,20 +50,28 @@ def lookup_table(shards: list[str], size: int = SIZE) -> list[int]:
     return table
 
 
+def _placed(df: DataFrame, keys: list[str], size: int, slot_col: str, tables: dict[str, list[str]]) -> DataFrame:
+    """``df`` with its rows' slots and what each of the tables, slot by slot, says of them. What is broadcast is as
+    large as the table size parameter says."""
+    replaced = {c.lower() for c in (slot_col, *tables)}
+    rest = [c for c in df.columns if c.lower() not in replaced]
+    at, key, names = fresh(df, "_at"), fresh(df, "_slot"), {c: fresh(df, f"_{c}") for c in tables}
+    schema = f"`{key}` int, " + ", ".join(f"`{n}` string" for n in names.values())
+    table = df.sparkSession.createDataFrame(list(zip(range(size), *tables.values(), strict=True)), schema)
+    placed = df.withColumn(at, F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(size)).cast("int")).join(F.broadcast(table), F.col(at) == F.col(key))
+    return placed.select(*[F.col(f"`{c}`") for c in rest], F.col(at).alias(slot_col), *[F.col(n).alias(c) for c, n in names.items()])
+
+
 def assign(df: DataFrame, keys: list[str], shards: list[str], size: int = SIZE, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """``df`` with the slot and the name of each row's shard."""
-    rest = [c for c in df.columns if c.lower() not in (shard_col.lower(), slot_col.lower())]
-    at, key, name = (fresh(df, c) for c in ("_at", "_slot", "_shard"))
-    rows = [(slot, shards[i]) for slot, i in enumerate(lookup_table(shards, size))]
-    table = df.sparkSession.createDataFrame(rows, f"`{key}` int, `{name}` string")  # as large as the parameter says
-    placed = df.withColumn(at, F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")).join(F.broadcast(table), F.col(at) == F.col(key))
-    return placed.select(*[F.col(f"`{c}`") for c in rest], F.col(at).alias(slot_col), F.col(name).alias(shard_col))
+    return _placed(df, keys, size, slot_col, {shard_col: [shards[i] for i in lookup_table(shards, size)]})
 
 
 def write(df: DataFrame, to: str, keys: list[str], shards: list[str], files_per_shard: int = 8, size: int = SIZE) -> None:
-    """Parquet under ``shard=name``; a shard's rows are dealt to several tasks, so a large one isn't one task's."""
+    """Parquet under ``shard=name``; a shard's rows are dealt to several tasks by a hash of the whole row, so a large
+    one isn't one task's, and a task that runs again deals alike."""
     placed = assign(df, keys, shards, size)
-    salt = F.pmod(F.xxhash64(*keys, F.rand(7)), F.lit(files_per_shard))
+    salt = F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), F.lit(files_per_shard))
     placed.repartition(len(shards) * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(to)
 
 
@@ -73,7 +82,5 @@ def shard_names(n: int = SHARDS) -> list[str]:
 def placements(docs: DataFrame, n: int = SHARDS, size: int = SIZE, id_col: str = "doc_id") -> DataFrame:
     """Per row: id, slot, shard, and the shard that it would go to if the last one were lost."""
     names = shard_names(n)
-    now = assign(docs.select(id_col), [id_col], names, size)
-    later = lookup_table(names[:-1], size)
-    moved = docs.sparkSession.createDataFrame([(s, names[i]) for s, i in enumerate(later)], "_slot int, rehomed string")
-    return now.join(F.broadcast(moved), F.col("slot") == F.col("_slot")).drop("_slot")
+    now, later = lookup_table(names, size), lookup_table(names[:-1], size)
+    return _placed(docs.select(id_col), [id_col], size, "slot", {"shard": [names[i] for i in now], "rehomed": [names[i] for i in later]})
