@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 
+import pytest
+
 from turfspark.llm import warc as W
 from turfspark.llm._files import resolve
 from turfspark.llm._store import scratch_path
@@ -50,3 +52,62 @@ def test_empty_and_whole_table(spark, sf_dir):
     rows = [(r.page_id, r.url, r.html, "") for r in pages.collect()]
     got = W.round_trip(pages, scratch_path(spark, "warc")).drop("url").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_records_are_named_once_and_revisits_name_their_response(spark):
+    long, to = "x" * 2000, scratch_path(spark, "warc")
+    rows = [(1, "http://a", long, "n"), (5, "http://é b", long, "n"), (3, None, long, "n"), (3, None, long, "n"), (7, "u", "y" * 1500, "n"), (7, "u", "y" * 1500, "n"), (6, "v", "y" * 1500, "n"), (None, "u", long, "n")]
+    manifest = W.write(spark.createDataFrame(rows, SCHEMA).repartition(3), to)
+    raw = b""
+    for f in {r.file for r in manifest.collect()}:
+        with open(resolve(f)[1], "rb") as source:
+            raw += gzip.decompress(source.read())
+    heads = [W._fields(x.decode().split("\r\n")) for x in raw.split(b"WARC/1.1\r\n")[1:] for x in [b"\r\n" + x.partition(b"\r\n\r\n")[0]]]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == len(ids) and all(i.startswith("<urn:uuid:") for i in ids)
+    assert sum(h["warc-type"] == "warcinfo" for h in heads) == len({r.file for r in manifest.collect()})
+    named = {h["warc-record-id"]: h.get("x-page-id") for h in heads}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 4 and all(h["warc-refers-to-date"] == W.DATE for h in revisits)
+    for h in revisits:
+        assert h["x-refers-to-page-id"] == ("7" if h["x-page-id"] == "6" else "5")
+        assert h["warc-refers-to-target-uri"] == ("u" if h["x-page-id"] == "6" else "http://é%20b")
+        assert named.get(h.get("warc-refers-to")) == (None if h["x-page-id"] == "6" else "5")  # 7 is there twice
+    assert sorted(map(tuple, W.verified(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == brute(rows)
+
+
+def test_a_revisit_without_its_response_is_an_error(spark):
+    pages = spark.createDataFrame([(1, "u", "z" * 2000, "n"), (9, "u", "z" * 2000, "n")], SCHEMA)
+    manifest = W.write(pages, scratch_path(spark, "warc"), split=1)
+    assert W.verified(manifest).count() == 2
+    rest = [s for s in manifest.collect() if all(r["page_id"] != 9 for r in W.records(W.opened(s.file, s.offset), s.length, payload=False))]
+    with pytest.raises(OSError, match="page 9"):
+        W.verified(spark.createDataFrame(rest, manifest.schema))
+
+
+def test_a_huge_payload_is_never_held_again():
+    """200 MB: what digests and chunks take beside the scanned batch is a few chunks."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"page_id": [1], "url": ["u"], "payload": pa.array(["é" * (100 << 20)], pa.string())})
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    sizes = [r for x in W.summaries(iter([b])) for r in x.to_pylist()]
+    total, most = 0, 0
+    for x in W.cuts(iter([b]), part=0):
+        total += sum(len(d.as_buffer()) for d in x.column("data"))
+        most = max(most, pa.total_allocated_bytes() - before)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 200 << 20 and sizes[0]["payload_bytes"] == total and len(sizes) == 1
+    assert peak < 16 << 20 and most < 16 << 20
+    for z in list(W.cuts(iter([b]), part=0))[-1:]:
+        assert z.column("last").to_pylist()[-1] and z.column("payload_digest")[0].as_py() == sizes[0]["payload_digest"]
+
+
+def test_tasks_read_several_splits(spark, monkeypatch):
+    pages = spark.range(300).selectExpr("id page_id", "'u' url", "repeat(cast(id AS string), 300) html")
+    manifest = W.write(pages, scratch_path(spark, "warc"), split=1)
+    assert manifest.count() == 300 and W.read(manifest).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism

@@ -1,25 +1,38 @@
 """WARC archives as chunked record tables.
 
-A payload travels as rows (record, chunk number, bytes) of at most ``CHUNK`` bytes, both ways, so no task
-holds a whole oversized record; digests are carried from chunk to chunk. ``write`` gives every page a
-record in gzip members, one member per record, in files of the shared folder; ``read`` streams members
-back into chunk rows. Files are named by task attempt and only those in the manifest (a small table
-written from the finished tasks) count, so lost or repeated attempts leave nothing that is read. The
-manifest has the offset of every ``SPLIT`` bytes of records: large files are read by many tasks.
-
-Records with equal payloads of at least ``LEAST`` bytes are stored once: the one with the largest page id
-is the response, the others revisit it and hold no payload, only the HTTP header with its length.
+A payload travels as rows (record, chunk number, bytes) of at most ``CHUNK`` bytes, both ways: payloads are cut
+where they are scanned, the cuts shuffled, sorted within partitions and streamed into gzip members, so that no
+task but the scan's holds a whole record, and that one once. Digests are carried from chunk to chunk. ``write``
+gives every page a record, one gzip member each, in files of the shared folder that begin with a ``warcinfo``
+record; ``read`` streams members back into chunk rows. Files are named by task attempt and only those in the
+manifest (a small table written from the finished tasks) count, so lost or repeated attempts leave nothing that
+is read. The manifest has the offset of every ``SPLIT`` bytes of records: large files are read by many tasks, and
+a task reads splits of about ``PART_BYTES`` together.
+
+Records with equal payloads of at least ``LEAST`` bytes are stored once: the one with the largest page id is the
+response, the others revisit it and hold no payload, only the HTTP header with its length. That is decided on
+narrow rows of a first pass: page id, url, length and digest. Reading checks lengths and digests of payloads, and
+``verified`` that every revisit's response is there with the length and digest that the revisit states.
+
+Record ids are UUIDs by name, of the page id, the digest and, where rows are repeated, the row's place in the scan;
+the page id is in a field of its own. A revisit of a response whose row is repeated names it by page id, URI and
+date only.
 
 Edge cases: a null payload is empty; pages without an id are responses and are never referred to; repeated
 rows of one page id and payload are all responses; control characters in a url are percent-encoded, a null
-url gives no target header; an empty table gives no files and no rows. Other columns are ignored.
+url gives no target header; an empty table gives no files and no rows. Other columns, whatever their names, are
+ignored. Ids must be numbers, or texts of numbers.
 """
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,55 +40,128 @@ from pyspark.sql import functions as F
 
 from ._files import create, opened
 from ._store import map_batches, materialise
+from ._text import buffers, sliced
 
-CHUNK, LEAST, SPLIT, FILE, READ = 256 << 10, 1000, 16 << 20, 1 << 30, 64 << 10
+CHUNK, LEAST, SPLIT, FILE, READ, PART_BYTES = 256 << 10, 1000, 16 << 20, 1 << 30, 64 << 10, 256 << 20
 DATE = "1970-01-01T00:00:00Z"
+PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
 _END = b"\r\n\r\n"
+_NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:page-records")
+_KEYS = ["page_id", "payload_bytes", "payload_digest"]
+
+
+def _payloads(b: pa.RecordBatch, chunk: int) -> Iterator[tuple[int, memoryview, str]]:
+    """(row, payload, digest) of a batch's rows; the digest is carried over pieces of the buffer, none is copied."""
+    data, offsets = buffers(b.column("payload"))
+    view = memoryview(np.ascontiguousarray(data))
+    for i, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        digest = hashlib.sha1()
+        for at in range(begin, end, chunk):
+            digest.update(view[at : min(at + chunk, end)])
+        yield i, view[begin:end], digest.hexdigest()
+
+
+def summaries(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Length and digest of every payload, and nothing of the payload itself."""
+    for whole in batches:
+        for b in sliced(whole, "payload"):
+            found = [(len(p), d) for _, p, d in _payloads(b, chunk)]
+            sizes, digests = pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), sizes, digests], ["page_id", "url", "payload_bytes", "payload_digest"])
+
+
+_CUTS = pa.schema([
+    ("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("chunk_no", pa.int64()), ("last", pa.bool_()), ("data", pa.binary()),
+])
+CUTS = "row long, page_id long, url string, payload_bytes long, payload_digest string, chunk_no long, last boolean, data binary"
+
+
+def cuts(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK, part: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of chunks; those of a record follow each other. ``row`` tells records apart."""
+    part = TaskContext.get().partitionId() if part is None else part
+    row, held, size = part << 33, [], 0
+    for whole in batches:
+        for b in sliced(whole, "payload"):
+            ids, urls = b.column("page_id").to_pylist(), b.column("url").to_pylist()
+            for i, payload, digest in _payloads(b, chunk):
+                row += 1
+                for number, at in enumerate(range(0, max(len(payload), 1), chunk)):
+                    data = payload[at : at + chunk].tobytes()
+                    held.append((row, ids[i], urls[i], len(payload), digest, number, at + chunk >= len(payload), data))
+                    size += len(data)
+                    if size >= 8 * chunk or len(held) >= 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _CUTS, strict=True)], schema=_CUTS)
+                        held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _CUTS, strict=True)], schema=_CUTS)
 
 
 def chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK, least: int = LEAST) -> DataFrame:
     """The chunked record table to write: record fields, ``chunk_no``, ``last`` and ``data``; the chunks
     of a record follow each other in one partition."""
-    payload = F.coalesce(F.encode(F.col(payload_col).cast("string"), "utf-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    large = rows.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest", "payload_bytes")
-    kept = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
-    kept = kept.filter("least < refers_to").drop("least")
-    again = large.join(kept, ["payload_digest", "payload_bytes"]).filter("page_id < refers_to").distinct()
-    rows = rows.join(again, ["page_id", "payload_digest", "payload_bytes"], "left")
-    data = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    n = F.greatest(F.ceil(F.octet_length("data") / chunk), F.lit(1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("data", i * chunk + 1, F.lit(chunk)))
-    rows = rows.withColumn("data", data).withColumn("parts", parts)
-    fields = ["page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
-    cut = rows.select(*fields, F.size("parts").alias("n"), F.posexplode("parts").alias("chunk_no", "data"))
-    return cut.select(*fields, "chunk_no", (F.col("chunk_no") == F.col("n") - 1).alias("last"), "data")
-
-
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
+    narrow = rows.transform(map_batches, partial(summaries, chunk=chunk), "page_id long, url string, payload_bytes long, payload_digest string")
+    known = narrow.filter("page_id is not null").groupBy(*_KEYS).agg(F.count("*").alias("copies"), F.min("url").alias("target"))
+    known = materialise(known, "warc-payloads")
+    kept = known.filter(F.col("payload_bytes") >= least).groupBy("payload_bytes", "payload_digest")
+    kept = kept.agg(F.max(F.struct("page_id", "target", "copies")).alias("kept"), F.min("page_id").alias("least")).filter("least < kept.page_id")
+    again = known.join(kept, ["payload_bytes", "payload_digest"], "left").withColumn("is_again", F.coalesce(F.col("page_id") < F.col("kept.page_id"), F.lit(False)))
+    refers = [F.when(F.col("is_again"), F.col(f"kept.{c}")).alias(n) for c, n in (("page_id", "refers_to"), ("target", "refers_url"), ("copies", "refers_copies"))]
+    again = again.filter("is_again or copies > 1").select(*[F.col(c).alias(f"_{c}") for c in _KEYS], *refers, "copies")
+    cut = rows.transform(map_batches, partial(cuts, chunk=chunk), CUTS)
+    same = [F.col(c) == F.col(f"_{c}") for c in _KEYS]
+    out = cut.join(again, same[0] & same[1] & same[2], "left").drop(*[f"_{c}" for c in _KEYS])
+    # a revisit's first chunk stands for its record, which has no payload
+    out = out.filter("refers_to is null or chunk_no = 0").withColumns({
+        "last": F.col("last") | F.col("refers_to").isNotNull(), "data": F.when(F.col("refers_to").isNull(), F.col("data")).otherwise(F.lit(b"")),
+    })
+    return out.sortWithinPartitions("row", "chunk_no")
+
+
+def record_id(page_id: int | None, digest: str, row: int | None = None) -> str:
+    """``row`` only where the page's row is repeated, or has no page id."""
+    return f"<{uuid.uuid5(_NAMES, f'{page_id} {digest} {row}').urn}>"
 
 
 def _target(url: str) -> str:
     return "".join(c if " " < c and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
+def _digest(hexadecimal: str) -> str:
+    return "sha1:" + base64.b32encode(bytes.fromhex(hexadecimal)).decode()
+
+
 def head(r: dict, date: str = DATE) -> bytes:
     """WARC header, and the HTTP header that begins the block."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r['payload_bytes']}\r\n\r\n".encode()
-    revisit = r["refers_to"] is not None
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(r['page_id'])}", f"WARC-Date: {date}"]
+    revisit, digest = r["refers_to"] is not None, r["payload_digest"]
+    alone = r["page_id"] is not None and (r["copies"] or 1) == 1
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(r['page_id'], digest, None if alone else r['row'])}", f"WARC-Date: {date}"]
     if r["url"] is not None:
         lines.append(f"WARC-Target-URI: {_target(r['url'])}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(r['refers_to'])}"]
-    digest = base64.b32encode(bytes.fromhex(r["payload_digest"])).decode()
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {date}", f"{REFERS}: {r['refers_to']}"]
+        if r["refers_url"] is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_target(r['refers_url'])}")
+        if r["refers_copies"] == 1:
+            lines.append(f"WARC-Refers-To: {record_id(r['refers_to'], digest)}")
+    if r["page_id"] is not None:
+        lines.append(f"{PAGE}: {r['page_id']}")
     length = len(http) + (0 if revisit else r["payload_bytes"])
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
+    lines += [f"WARC-Payload-Digest: {_digest(digest)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
     return "\r\n".join(lines).encode() + _END + http
 
 
+def info(name: str, date: str = DATE) -> bytes:
+    """A gzip member with the record that describes a file."""
+    block = b"software: turfspark\r\nformat: WARC File Format 1.1\r\n"
+    name = name.rpartition("/")[2]
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{uuid.uuid5(_NAMES, name).urn}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    member = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return member.compress("\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + _END + block + _END) + member.flush()
+
+
 _MANIFEST = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("records", pa.int64())])
 
 
@@ -95,8 +181,7 @@ def write(pages: DataFrame, to: str, split: int = SPLIT, file_bytes: int = FILE,
             begun, records = offset, 0
 
         for b in batches:
-            for i in range(b.num_rows):
-                r = {k: b.column(k)[i].as_py() for k in b.schema.names}
+            for r in b.to_pylist():  # of bounded bytes, as chunks are
                 if r["chunk_no"] == 0:
                     if out is None or offset >= file_bytes:
                         if out is not None:
@@ -104,6 +189,7 @@ def write(pages: DataFrame, to: str, split: int = SPLIT, file_bytes: int = FILE,
                             out.close()
                         name, number, offset, begun = f"{to}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz", number + 1, 0, 0
                         out = create(name)
+                        offset += out.write(info(name, date))
                     member, digest, fields = zlib.compressobj(4, zlib.DEFLATED, 31), hashlib.sha1(), r
                     offset += out.write(member.compress(head(r, date)))
                 digest.update(r["data"])
@@ -170,8 +256,8 @@ _ROWS = pa.schema([
 ROWS = "page_id long, url string, record_type string, refers_to long, chunk_no long, last boolean, data binary, payload_bytes long, payload_digest string"
 
 
-def _page(uri: str | None) -> int | None:
-    return int(uri[len("<urn:page:") : -1]) if uri and uri != "<urn:page:>" else None
+def _number(value: str | None) -> int | None:
+    return None if value is None else int(value)
 
 
 def records(read, length: int, chunk: int = CHUNK, payload: bool = True) -> Iterator[dict]:
@@ -180,6 +266,10 @@ def records(read, length: int, chunk: int = CHUNK, payload: bool = True) -> Iter
         lines, rest = _head(member)
         warc = _fields(lines)
         left = int(warc["content-length"])
+        if warc["warc-type"] == "warcinfo":
+            for _ in member:
+                pass
+            continue
 
         def block(rest=rest, member=member):
             nonlocal left
@@ -192,7 +282,7 @@ def records(read, length: int, chunk: int = CHUNK, payload: bool = True) -> Iter
         http, rest = _head(body)
         size = int(_fields(http)["content-length"])
         declared = base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
-        row = {"page_id": _page(warc["warc-record-id"]), "url": warc.get("warc-target-uri"), "record_type": warc["warc-type"], "refers_to": _page(warc.get("warc-refers-to"))}
+        row = {"page_id": _number(warc.get(PAGE.lower())), "url": warc.get("warc-target-uri"), "record_type": warc["warc-type"], "refers_to": _number(warc.get(REFERS.lower()))}
         if row["record_type"] == "revisit":
             for _ in body:
                 pass
@@ -229,9 +319,22 @@ def read(manifest: DataFrame, chunk: int = CHUNK, payload: bool = True) -> DataF
                         held, size = [], 0
         yield pa.RecordBatch.from_pylist(held, _ROWS)
 
-    return manifest.repartition(max(1, manifest.count())).transform(map_batches, run, ROWS)
+    splits, total = manifest.agg(F.count("*"), F.sum("length")).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    return manifest.repartition(max(1, min(splits, max(4 * cores, ceil((total or 0) / PART_BYTES))))).transform(map_batches, run, ROWS)
+
+
+def verified(manifest: DataFrame) -> DataFrame:
+    """A row for each record of the archives, its payload streamed for length and digest; an error if a revisit's
+    response isn't there, or isn't as the revisit says."""
+    rows = materialise(read(manifest, payload=False), "warc-records")
+    said = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_bytes", "payload_digest").distinct()
+    lost = said.join(rows.filter("record_type = 'response'").select(*_KEYS), _KEYS, "left_anti").first()
+    if lost:
+        raise OSError(f"page {lost.page_id} isn't stored as its revisits say")
+    return rows
 
 
 def round_trip(pages: DataFrame, to: str) -> DataFrame:
     """Per page, from the archives: payload bytes and digest, record type and what a revisit refers to."""
-    return read(write(pages, to), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return verified(write(pages, to)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
