@@ -10,16 +10,20 @@ size (powers of two); a partition has its own k, its own largest sketch hash, ab
 are dropped unseen, and its own least document size. Candidates are verified by exact shingle containment:
 the shingles' strings are compared.
 
-Documents are scanned once, in place, without a shuffle. The items' index is broadcast only if their text
-has at most ``max_index_bytes``; larger sets are searched in blocks of that size, each over all documents.
+Documents are scanned once, in place, without a shuffle. The items' index is broadcast only if distinct items
+have at most ``max_shingles`` words, and so no more shingles; larger sets are searched in blocks of that size, by
+a hash of the item, each over all documents. The index holds some 20 bytes for a shingle, hashes and the items'
+texts; the strings of an item are made when a candidate for it is verified, those of the last ``VERIFIED`` items
+are kept. An item that is larger than a block by itself is a block of its own.
 
 Edge cases: null, empty and word-less documents or items match nothing; an item of fewer than five words is
 one shingle of its own length; benchmark rows repeated in id and text count once; repeated document rows
-give repeated results; equal texts under two item ids are two items. Other columns are kept out.
+give repeated results; equal texts under two item ids are two items. Other columns, whatever their names, are
+kept out of ``contained`` and kept as they are by ``clean``. Ids must be numbers, or texts of numbers.
 """
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from math import ceil
 
 import numpy as np
@@ -28,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import map_batches, materialise
-from ._text import ALNUM, SpanHasher, buffers, shingle_hashes, sliced, word_spans
+from ._store import fresh, map_batches, materialise
+from ._text import ALNUM, buffers, hash_spans, shingle_hashes, sliced, word_spans
 
-SIZE, THRESHOLD, MAX_INDEX_BYTES = 5, 0.8, 32 << 20
+SIZE, THRESHOLD, MAX_SHINGLES, VERIFIED = 5, 0.8, 1_000_000, 200
 PAIRS = "doc_id long, item_id long, shared int, item_shingles int, containment double"
 
 
@@ -41,7 +45,7 @@ class Texts:
     def __init__(self, column: pa.Array):
         self.data, offsets = buffers(pc.utf8_lower(column))
         self.starts, self.ends, self.per_row = word_spans(self.data, offsets, ALNUM)
-        self.words = SpanHasher(self.data)(self.starts, self.ends)
+        self.words = hash_spans(self.data, self.starts, self.ends)
 
     def strings(self, at: np.ndarray, size: int) -> set[bytes]:
         raw = self.data
@@ -52,28 +56,40 @@ class Index:
     def __init__(self, items: list[tuple], size: int = SIZE, threshold: float = THRESHOLD):
         self.threshold = threshold
         items = sorted({(i, t) for i, t in items if t}, key=str)
-        texts = Texts(pa.array([t for _, t in items], pa.string()))
         self.items, parts = [], {}
-        for row, (item, _) in enumerate(items):
-            a, b = texts.per_row[row], texts.per_row[row + 1]
-            n = min(size, b - a)
+        for item, text in items:  # one at a time: no more in memory than the index and an item
+            texts = Texts(pa.array([text], pa.string()))
+            n = min(size, len(texts.words))
             if not n:
                 continue
-            hashes, _ = shingle_hashes(texts.words[a:b], np.array([0, b - a]), n)
-            hashes = np.unique(hashes[: b - a - n + 1])
+            hashes = np.unique(shingle_hashes(texts.words, texts.per_row, n)[0][: len(texts.words) - n + 1])
             need = ceil(threshold * len(hashes) - 1e-9)
             number = len(self.items)
-            self.items.append((item, n, hashes, texts.strings(np.arange(a, b - n + 1), n)))
+            self.items.append((item, n, hashes, text))
             part = parts.setdefault((n, len(hashes).bit_length()), [[], need])
             part[0].append((number, hashes[: len(hashes) - need + 1]))
             part[1] = min(part[1], need)
         self.parts = []
         for (n, _), (sketches, least) in sorted(parts.items()):
-            owner = np.concatenate([np.full(len(h), i) for i, h in sketches])
+            owner = np.concatenate([np.full(len(h), i, np.int32) for i, h in sketches])
             probes = np.concatenate([h for _, h in sketches])
             order = np.argsort(probes, kind="stable")
             self.parts.append((n, least, probes[order], owner[order]))
 
+    def strings(self, number: int) -> set[bytes]:
+        """The shingles of an item."""
+        if "verified" not in self.__dict__:
+            self.verified = lru_cache(VERIFIED)(self._strings)
+        return self.verified(number)
+
+    def _strings(self, number: int) -> set[bytes]:
+        _, n, _, text = self.items[number]
+        texts = Texts(pa.array([text], pa.string()))
+        return texts.strings(np.arange(len(texts.words) - n + 1), n)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "verified"}
+
     def search(self, column: pa.Array) -> Iterator[tuple[int, object, int, int]]:
         """(row, item id, shared, item's shingles) of every contained item."""
         if not self.parts:
@@ -100,33 +116,47 @@ class Index:
                         more = probes[first] == hashes[few]
                         few, first = few[more], first[more]
             for r, i in sorted(found):
-                item, _, wanted, strings = self.items[i]
+                item, _, wanted, _ = self.items[i]
                 a, b = np.searchsorted(row, [r, r + 1])
                 near = np.flatnonzero(np.isin(hashes[a:b], wanted))
-                need = ceil(self.threshold * len(strings) - 1e-9)
-                if len(near) >= need:
+                if len(np.unique(hashes[a:b][near])) >= ceil(self.threshold * len(wanted) - 1e-9):
+                    strings = self.strings(i)
                     shared = len(texts.strings(at[a:b][near], size) & strings)
-                    if shared >= need:
+                    if shared >= ceil(self.threshold * len(strings) - 1e-9):
                         yield r, item, shared, len(strings)
 
 
-def _blocks(items: DataFrame, max_bytes: int) -> list[DataFrame]:
-    """Blocks of at most about ``max_bytes`` of text by hash of the item, from a count of the bytes."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = ceil(2 * total / max_bytes) if total > max_bytes else 1
-    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Distinct items with their number of words; copies of one, however many, are gone."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:[a-z0-9]|[^\x00-\x7f])+"), 0))
+    return materialise(rows.distinct().withColumn("words", words).filter("words > 0"), "items")
+
+
+def _blocks(items: DataFrame, max_shingles: int) -> list[DataFrame]:
+    """Blocks of at most ``max_shingles`` words, but for an item with more."""
+    total = items.agg(F.sum("words")).first()[0] or 0
+    if total <= max_shingles:
+        return [items]
+    n = ceil(4 * total / max_shingles)  # parts by hash, of which as many make a block as fit
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    sizes = items.groupBy(part.alias("part")).agg(F.sum("words").alias("words")).orderBy("part").collect()
+    blocks, room = [], 0
+    for r in sizes:
+        if r.words > room:
+            blocks.append([])
+            room = max_shingles
+        blocks[-1].append(r.part)
+        room -= r.words
+    return [items.filter(part.isin(b)) for b in blocks]
 
 
 def _index(spark, block: DataFrame, size: int, threshold: float):
-    return spark.sparkContext.broadcast(Index([tuple(r) for r in block.collect()], size, threshold))
-
-
-def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    return spark.sparkContext.broadcast(Index([tuple(r) for r in block.select("item_id", "text").collect()], size, threshold))
 
 
 def contained(
-    docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, max_index_bytes: int = MAX_INDEX_BYTES,
+    docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, max_shingles: int = MAX_SHINGLES,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """A row for each document and item that it contains."""
@@ -146,7 +176,7 @@ def contained(
 
         return rows.transform(map_batches, run, PAIRS)
 
-    blocks = _blocks(_items(benchmark, item_col, item_text_col), max_index_bytes)
+    blocks = _blocks(_items(benchmark, item_col, item_text_col), max_shingles)
     if len(blocks) == 1:
         return scan(_index(spark, blocks[0], size, threshold))
     found = []
@@ -157,18 +187,34 @@ def contained(
     return reduce(DataFrame.unionByName, found)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, max_index_bytes: int = MAX_INDEX_BYTES, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that contain no item; with several blocks of items the documents go
-    through one filter for each."""
-    for block in _blocks(_items(benchmark, "item_id", "text"), max_index_bytes):
-        index = _index(docs.sparkSession, block, size, threshold)
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, max_shingles: int = MAX_SHINGLES, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that contain no item. With several blocks of items each is a pass that writes the
+    hashes of the texts found, with their lengths; those texts go at the end."""
+    spark = docs.sparkSession
+    blocks = _blocks(_items(benchmark, "item_id", "text"), max_shingles)
+    if len(blocks) == 1:
+        index = _index(spark, blocks[0], size, threshold)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in sliced(whole, text_col):
                     keep = np.ones(b.num_rows, bool)
                     keep[[h[0] for h in index.value.search(b.column(text_col))]] = False
                     yield b.filter(pa.array(keep))
 
-        docs = docs.transform(map_batches, run, docs.schema)
-    return docs
+        return docs.transform(map_batches, run, docs.schema)
+    text, key, length = F.col(f"`{text_col}`").cast("string"), fresh(docs, "_key"), fresh(docs, "_length")
+    rows, found = docs.select(text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("length")), []
+    for block in blocks:
+        index = _index(spark, block, size, threshold)
+
+        def note(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in sliced(whole, "text"):
+                    at = pa.array(sorted({h[0] for h in index.value.search(b.column(0))}), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at)], ["key", "length"])
+
+        found.append(materialise(rows.transform(map_batches, note, "key long, length int"), "contaminated"))
+        index.destroy()
+    bad = reduce(DataFrame.unionByName, found).distinct().select(F.col("key").alias(key), F.col("length").alias(length))
+    return docs.join(bad, (F.xxhash64(text) == F.col(key)) & (F.octet_length(text) == F.col(length)), "left_anti")
