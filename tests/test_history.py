@@ -53,3 +53,21 @@ def test_no_same_day_or_later_row_counts(spark):
     for path in ("fanout", "linear"):
         x = H.history_features(r, h, ["t"], path=path).first()
         assert x.t_5R == x.t_allR == 2.0 and x.latest == d - dt.timedelta(1)
+
+
+@pytest.mark.parametrize("path", ["fanout", "linear", "auto"])
+def test_instants_of_one_day_never_count(spark, path):
+    at = lambda d, h: dt.datetime(2023, 5, d, h)
+    r = spark.createDataFrame([(1, 1, at(6, 12)), (2, 1, at(6, 7)), (3, 1, at(7, 0))], "race_id int, horse_id int, date timestamp")
+    h = spark.createDataFrame([(1, at(6, 8), 1, 9.0), (1, at(5, 23), 1, 2.0), (1, at(7, 5), 1, 4.0)], "horse_id int, date timestamp, R int, t double")
+    got = {x.race_id: x for x in H.history_features(r, h, ["t"], path=path).collect()}
+    assert [got[i].t_5R for i in (1, 2, 3)] == [2.0, 2.0, 5.5] and [got[i].t_allR for i in (1, 2, 3)] == [2.0, 2.0, 5.5]
+    assert got[1].latest == dt.date(2023, 5, 5) and got[1].date == at(6, 12)
+    assert {(x.race_id, x.h_t) for x in H.asof_history(r, h, ["t"]).collect()} == {(1, 2.0), (2, 2.0), (3, 2.0), (3, 9.0)}
+
+
+def test_a_large_entity_takes_the_linear_path(spark):
+    r = spark.createDataFrame([(1, 1, dt.date(2030, 1, 1))], "race_id int, horse_id int, date date")
+    h = spark.range(H.FANOUT_ROWS + 1).selectExpr("1 horse_id", "date_add(date '2020-01-01', cast(id AS int)) date", "id R", "cast(id AS double) t")
+    plan = lambda rows: H.history_features(r, rows, ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan(h) and "collect_list" not in plan(h.limit(50))

@@ -2,10 +2,11 @@
 
 For every target column the mean over the last n earlier rows, over those of them whose category equals the
 runner's, and over all earlier rows, plain and by category; and the date of the latest. Rows of the same day
-never count. Ties within a day are ordered by ``order`` columns, the larger the newer. A mean skips nulls
-and NaN, and is null without a row.
+never count, also where both tables have instants: days are compared. Ties within a day are ordered by ``order``
+columns, the larger the newer. A mean skips nulls and NaN, and is null without a row.
 
-Two physical paths with equal results:
+Two physical paths with equal results, of which ``auto`` takes ``fanout`` if no entity has more than
+``FANOUT_ROWS`` rows of history, by a count of them all, and else ``linear``:
 
 * ``fanout``: one join on the entity with the date condition, one row number, one grouped aggregate. Its
   rows grow with the square of the rows per entity; good for entities with a hundred rows or so.
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOWS = (5, 9)
+FANOUT_ROWS = 200
 
 
 def _value(df: DataFrame, c: str) -> Column:
@@ -31,9 +33,9 @@ def pruned_history(history: DataFrame, runners: DataFrame, entity: str = "horse_
 
 
 def asof_history(runners: DataFrame, history: DataFrame, carried: list[str], entity: str = "horse_id", when: str = "date", prefix: str = "h_") -> DataFrame:
-    """Every runner with each strictly earlier history row of its entity: the day and the carried columns."""
+    """Every runner with each history row of its entity of an earlier day: when it was, and the carried columns."""
     h = history.select(F.col(entity).alias("_e"), *[F.col(c).alias(prefix + c) for c in dict.fromkeys([when, *carried])])
-    return runners.join(h, (runners[entity] == F.col("_e")) & (F.col(prefix + when) < runners[when])).drop("_e")
+    return runners.join(h, (runners[entity] == F.col("_e")) & (F.to_date(prefix + when) < F.to_date(runners[when]))).drop("_e")
 
 
 def recent_rank(partition: list[str], when: Column, order: list[Column]) -> Column:
@@ -49,22 +51,27 @@ def lastn_history(history: DataFrame, n: int, entity: str = "horse_id", when: st
 
 def history_features(
     runners: DataFrame, history: DataFrame, targets: list[str], groups: list[str] = (), windows: tuple[int, ...] = WINDOWS, entity: str = "horse_id",
-    when: str = "date", order: tuple[str, ...] = ("R",), latest: str | None = "latest", path: str = "fanout",
+    when: str = "date", order: tuple[str, ...] = ("R",), latest: str | None = "latest", path: str = "auto",
 ) -> DataFrame:
     """Runners with ``{target}_{n}R``, ``{target}_allR``, ``{target}_{group}_{n}R``, ``{target}_{group}_allR``
     and the latest earlier date. ``groups`` are columns of both tables."""
     groups = list(groups)
-    keys = runners.select(entity, when, *groups).filter(F.col(when).isNotNull() & F.col(entity).isNotNull()).distinct()
+    history = history.withColumn(when, F.to_date(when))
+    keys = runners.select(entity, F.to_date(when).alias(when), *groups).filter(F.col(when).isNotNull() & F.col(entity).isNotNull()).distinct()
+    if path == "auto":
+        most = history.groupBy(entity).count().agg(F.max("count")).first()[0] or 0  # one number
+        path = "fanout" if most <= FANOUT_ROWS else "linear"
     features = {"fanout": _fanout, "linear": _linear}[path](keys, history, list(targets), groups, windows, entity, when, list(order), latest)
-    return _attached(runners, features, [entity, when], groups)
+    return _attached(runners, features, [entity, when], groups, {when: F.to_date(when)})
 
 
-def _attached(rows: DataFrame, found: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
-    """Left join on the keys, null-safe on the groups; the key columns stay once."""
+def _attached(rows: DataFrame, found: DataFrame, keys: list[str], groups: list[str], of: dict[str, Column] | None = None) -> DataFrame:
+    """Left join on the keys (of ``rows`` by the expression in ``of``, if any), null-safe on the groups; the key
+    columns stay once."""
     right = found.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, *groups)})
     condition = F.lit(True)
     for c in keys:
-        condition = condition & (F.col(c) == F.col(f"_k_{c}"))
+        condition = condition & ((of or {}).get(c, F.col(c)) == F.col(f"_k_{c}"))
     for c in groups:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     return rows.join(right, condition, "left").drop(*[f"_k_{c}" for c in (*keys, *groups)])
