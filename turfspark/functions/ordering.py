@@ -1,37 +1,41 @@
-"""Global numbering and running sums without a single-task window: a few ranges of the leading key are
-numbered apart, and the ranges' totals, a handful of rows, are added up."""
+"""Global numbering and running sums without a single-task window: rows are range-partitioned on the whole order,
+numbered within partitions, and the partitions' totals, a row each, are added up. The number of partitions follows
+the number of rows, and equal values of the leading key may lie in several."""
+
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
-
-
-def key_range(df: DataFrame, key: str, parts: int = PARTS) -> Column:
-    """Range number of a key from approximate quantiles: the same for equal keys, ascending with them."""
-    kind = dict(df.dtypes)[key]
-    value = F.unix_date(key) if kind == "date" else F.unix_micros(key) if kind.startswith("timestamp") else F.col(key)
-    cuts = df.select(value.cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.25 / parts)
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value.cast("double"))), F.lit(0))
-
-
-def running_totals(df: DataFrame, key: str, ties: list[str], values: dict[str, Column], parts: int = PARTS) -> DataFrame:
-    """Adds for each of ``values`` its sum over all rows strictly before the row in the order (key, *ties);
-    nulls of the key first. The order must be total for a defined result."""
-    ranged = df.withColumn("_range", key_range(df, key, parts)).withColumns({f"_v_{n}": v for n, v in values.items()})
-    within = Window.partitionBy("_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    totals = ranged.groupBy("_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    totals = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in values])
-    out = ranged.join(F.broadcast(totals), "_range")  # at most ``parts`` rows
+from ..sources.scratch import scratch_path
+
+PART_ROWS = 1_000_000
+
+
+def ranged(df: DataFrame, order: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """``df`` with ``_part``, ascending with the order (nulls first). It's written to the shared folder, since ranges are
+    sampled and must be the same wherever they are used."""
+    parts = max(1, ceil(df.count() / part_rows))
+    rows = df.repartitionByRange(parts, *[F.asc_nulls_first(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "ranged")
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def running_totals(df: DataFrame, order: list[str], values: dict[str, Column], part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds for each of ``values`` its sum over all rows strictly before the row in the order; nulls come first. The
+    order must be total for a defined result."""
+    rows = ranged(df.withColumns({f"_v_{n}": v for n, v in values.items()}), order, part_rows)
+    within = Window.partitionBy("_part").orderBy(*[F.asc_nulls_first(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    totals = rows.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in values])
+    out = rows.join(totals, "_part")  # Spark broadcasts it while it's small
     sums = {n: F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) + F.col(f"_t_{n}") for n in values}
-    return out.withColumns(sums).drop("_range", *[f"_{k}_{n}" for n in values for k in "vt"])
+    return out.withColumns(sums).drop("_part", *[f"_{k}_{n}" for n in values for k in "vt"])
 
 
-def numbered(df: DataFrame, key: str, ties: list[str], name: str, start: int | Column = 0, parts: int = PARTS) -> DataFrame:
-    """Row number from ``start`` on in the order (key, *ties)."""
-    out = running_totals(df, key, ties, {name: F.lit(1).cast("long")}, parts)
+def numbered(df: DataFrame, order: list[str], name: str, start: int | Column = 0, part_rows: int = PART_ROWS) -> DataFrame:
+    """Row number from ``start`` on in the order."""
+    out = running_totals(df, order, {name: F.lit(1).cast("long")}, part_rows)
     return out.withColumn(name, F.col(name) + start)

@@ -1,9 +1,12 @@
 """Encoders and date features."""
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import numbered
+from ..functions.ordering import PART_ROWS, numbered
+from ..sources.scratch import scratch_path
 from ..vocab import CLASSES, DIRECTIONS, GROUND, PLACES, RACE_TYPES, SEXES, WEATHER
 
 #: column -> (categories, columns that go with it)
@@ -18,6 +21,8 @@ ONE_HOT = {
     "race_class": (list(CLASSES), ["race_class"]),
 }
 
+IDS = ("horse_id", "jockey_id", "trainer_id", "owner_id", "breeder_id")
+
 
 def add_interval(df: DataFrame, date: str = "date", latest: str = "latest") -> DataFrame:
     return df.withColumn("interval", F.datediff(date, latest)).drop(latest)
@@ -41,31 +46,53 @@ def one_hot_fixed(df: DataFrame, specs: dict[str, tuple[list[str], list[str]]] |
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in gone], *new)
 
 
+def label_encode_masters(
+    df: DataFrame, columns: list[str], order: list[str], masters: dict[str, DataFrame | None] | None = None, part_rows: int = PART_ROWS
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(rows with ``{column}_code`` for every column, new masters (id, encoded_id)). Known ids keep their code; new ones
+    get the following numbers in order of first appearance by ``order``, then by id. A null id has no code. The first
+    appearances of all columns come from one aggregate, and are numbered together."""
+    spark, masters = df.sparkSession, masters or {}
+    known = [m.select(F.lit(c).alias("column"), F.col("id").cast("string").alias("id"), F.col("encoded_id").cast("long").alias("encoded_id")) for c, m in masters.items() if m is not None and c in columns]
+    known = reduce(DataFrame.unionByName, known) if known else spark.createDataFrame([], "column string, id string, encoded_id long")
+    ids = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("id")) for c in columns]))
+    first = df.select(F.struct(*order).alias("_f"), ids.alias("_i")).select("_f", "_i.*").filter("id is not null")
+    first = first.groupBy("column", "id").agg(F.min("_f").alias("_f")).join(known, ["column", "id"], "left_anti")
+    first = first.select("column", "id", *[F.col(f"_f.{c}").alias(f"_o_{c}") for c in order])
+    numbers = numbered(first, ["column", *[f"_o_{c}" for c in order], "id"], "_n", 0, part_rows).select("column", "id", "_n")
+    # a column's numbers follow each other; each begins after its largest known code: a row for each column
+    begin = numbers.groupBy("column").agg(F.min("_n").alias("_least"))
+    after = known.groupBy("column").agg((F.max("encoded_id") + 1).alias("_after"))
+    offset = begin.join(after, "column", "left").select("column", (F.coalesce("_after", F.lit(0)) - F.col("_least")).alias("_offset"))
+    codes = numbers.join(F.broadcast(offset), "column").select("column", "id", (F.col("_n") + F.col("_offset")).alias("encoded_id"))
+    path = scratch_path(spark, "masters")
+    known.unionByName(codes).write.partitionBy("column").parquet(path)
+    every = spark.read.schema("id string, encoded_id long, column string").parquet(path)
+    out, updated = df, {c: every.filter(F.col("column") == c).select("id", "encoded_id") for c in columns}
+    for c in columns:
+        named = updated[c].select(F.col("id").alias("_id"), F.col("encoded_id").alias(f"{c}_code"))
+        out = out.join(named, F.col(c).cast("string") == F.col("_id"), "left").drop("_id")
+    return out, updated
+
+
 def label_encode_master(df: DataFrame, column: str, order: list[str], master: DataFrame | None = None, drop: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``{column}_code``, new master (id, encoded_id)). Known ids keep their code; new ones get
-    the following numbers in order of first appearance (``order``: a number or date first, then ties).
-    A null id has no code."""
-    spark = df.sparkSession
-    if master is None:
-        master = spark.createDataFrame([], "id string, encoded_id long")
-    master = master.select(F.col("id").cast("string").alias("id"), F.col("encoded_id").cast("long").alias("encoded_id"))
-    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("id")).agg(F.min(F.struct(*order)).alias("_f"))
-    new = first.join(master, "id", "left_anti").select("id", *[F.col(f"_f.{c}").alias(c) for c in order])
-    start = master.agg(F.coalesce(F.max("encoded_id") + 1, F.lit(0))).first()[0]  # one number
-    codes = numbered(new, order[0], [*order[1:], "id"], "encoded_id", start).select("id", "encoded_id")
-    updated = master.unionByName(codes)
-    named = updated.select(F.col("id").alias("_id"), F.col("encoded_id").alias(f"{column}_code"))
-    out = df.join(named, F.col(column).cast("string") == F.col("_id"), "left").drop("_id")
-    return (out.drop(column) if drop else out), updated
-
-
-def clean_peds(peds: DataFrame, columns: list[str], key: str = "horse_id") -> DataFrame:
-    """Each column's values as codes in sorted order; null is the value "Na". One unpivot, one distinct
-    set of values per position, one pivot."""
-    long = peds.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("Na")).alias(c) for c in columns]).unpivot([key], columns, "pos", "value")
-    values = long.select("pos", "value").distinct()
-    codes = values.withColumn("code", (F.row_number().over(Window.partitionBy("pos").orderBy("value")) - 1).cast("int"))
-    return long.join(codes, ["pos", "value"]).groupBy(key).pivot("pos", columns).agg(F.first("code"))
+    """The same for one column."""
+    out, updated = label_encode_masters(df, [column], order, {column: master})
+    return (out.drop(column) if drop else out), updated[column]
+
+
+def clean_peds(peds: DataFrame, columns: list[str], key: str = "horse_id", part_rows: int = PART_ROWS) -> DataFrame:
+    """Each column's values as codes in sorted order; null is the value "Na". One unpivot, one numbering of the distinct
+    values of all positions, one pivot; nulls, which may be most of a column, get their code without a shuffle."""
+    long = peds.select(key, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot([key], columns, "pos", "value")
+    values = long.select("pos", F.coalesce("value", F.lit("Na")).alias("value")).distinct()
+    numbers = numbered(values, ["pos", "value"], "_n", 0, part_rows)
+    least = numbers.groupBy("pos").agg(F.min("_n").alias("_least"))  # a row for each column
+    codes = numbers.join(F.broadcast(least), "pos").select("pos", "value", (F.col("_n") - F.col("_least")).cast("int").alias("code"))
+    named = long.filter("value is not null").join(codes, ["pos", "value"]).select(key, "pos", "code")
+    none = codes.filter("value = 'Na'").select("pos", "code")
+    unnamed = long.filter("value is null").join(F.broadcast(none), "pos").select(key, "pos", "code")
+    return named.unionByName(unnamed).groupBy(key).pivot("pos", columns).agg(F.first("code"))
 
 
 def pivot_peds(pages: DataFrame, html: str = "html", key: str = "horse_id", width: int = 62, pattern: str = r"/horse/(?:ped/)?(\w{10})") -> DataFrame:
@@ -82,8 +109,5 @@ def featurize(df: DataFrame, masters: dict[str, DataFrame | None] | None = None,
     if "birthday" in df.columns:
         df = add_agedays(df)
     df = one_hot_fixed(df)
-    out = {}
-    for c in ("horse_id", "jockey_id", "trainer_id", "owner_id", "breeder_id"):
-        if c in df.columns:
-            df, out[c] = label_encode_master(df, c, list(order), (masters or {}).get(c))
-    return df, out
+    ids = [c for c in IDS if c in df.columns]
+    return label_encode_masters(df, ids, list(order), masters) if ids else (df, {})

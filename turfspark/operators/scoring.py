@@ -58,6 +58,6 @@ def auc(df: DataFrame, score: str = "score", label: str = "label", by: str | Non
         below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("below", below)
     else:
-        counts = running_totals(counts, score, [], {"below": F.col("neg")})
+        counts = running_totals(counts, [score], {"below": F.col("neg")})
     area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return counts.groupBy(*keys).agg(F.try_divide(area, F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
