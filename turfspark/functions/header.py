@@ -33,13 +33,13 @@ def ground_states(field: Column) -> tuple[Column, Column]:
 
 def condition_flags(df: DataFrame, text: str = "condition", rest: str | None = None) -> DataFrame:
     """A 0/1 column for each condition word; a word found is taken out before the next is looked for, so
-    ``指`` hides ``特指``. ``rest`` names a column for what is left of the text."""
-    taken = F.coalesce(F.col(text), F.lit(""))
-    flags = {}
-    for word, name in CONDITIONS.items():
-        flags[name] = taken.contains(word).cast("int")
-        taken = F.replace(taken, F.lit(word), F.lit(""))
-    return df.withColumns(flags | ({rest: F.trim(taken)} if rest else {}))
+    ``指`` hides ``特指``. ``rest`` names a column for what is left of the text. One pass over the words, which carries
+    the rest of the text and the flags so far."""
+    begin = F.struct(F.coalesce(F.col(text), F.lit("")).alias("rest"), F.array().cast("array<int>").alias("flags"))
+    taken = lambda x, w: F.struct(F.replace(x["rest"], w, F.lit("")).alias("rest"), F.concat(x["flags"], F.array(x["rest"].contains(w).cast("int"))).alias("flags"))
+    done = df.withColumn("_words", F.aggregate(F.array(*map(F.lit, CONDITIONS)), begin, taken))
+    flags = {name: F.get("_words.flags", F.lit(i)) for i, name in enumerate(CONDITIONS.values())}
+    return done.withColumns(flags | ({rest: F.trim("_words.rest")} if rest else {})).drop("_words")
 
 
 def race_class(text: Column, grade: Column | None = None, hurdle: Column | None = None) -> Column:

@@ -3,9 +3,10 @@
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LINKS = {
     "horse": r"/horse/(\d+)", "jockey": r"/jockey/result/recent/(\w+)", "trainer": r"/trainer/result/recent/(\w+)", "owner": r"/owner/result/recent/(\w+)",
@@ -82,17 +83,24 @@ def table_rows(html: str | None) -> list[tuple[int, int, list[str]]]:
     return sorted(parser.finish(), key=lambda r: r[:2])
 
 
-def pages_to_tables(pages: DataFrame, key: str = "page_id", html: str = "html", parse=table_rows) -> DataFrame:
+def pages_to_tables(pages: DataFrame, key: str = "page_id", html: str = "html", parse=table_rows, rows: int = 1000) -> DataFrame:
     """(key, table_no, row_no, cells) of every table row; ``parse`` may be any function of one page's text
-    that yields (table, row, cells)."""
-    kind = pages.schema[key].dataType.simpleString()
+    that yields (table, row, cells). Pages are parsed one at a time, and their rows leave the task ``rows`` at a time."""
+    schema = T.StructType([
+        T.StructField(key, pages.schema[key].dataType), T.StructField("table_no", T.IntegerType()), T.StructField("row_no", T.IntegerType()),
+        T.StructField("cells", T.ArrayType(T.StringType())),
+    ])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *r) for k, h in zip(b[key], b[html], strict=True) for r in parse(h)]
-            yield pd.DataFrame(rows, columns=[key, "table_no", "row_no", "cells"])
-
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, table_no int, row_no int, cells array<string>")
+            for i in range(b.num_rows):
+                found = list(parse(b.column(1)[i].as_py()))
+                for at in range(0, len(found), rows):
+                    table, row, cells = zip(*found[at : at + rows], strict=True)
+                    keys = pa.concat_arrays([b.column(0).slice(i, 1)] * len(cells))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(table, pa.int32()), pa.array(row, pa.int32()), pa.array(cells, pa.list_(pa.string()))], schema.names)
+
+    return pages.select(key, html).mapInArrow(run, schema)
 
 
 def main_table(rows: DataFrame, columns: list[str], key: str = "page_id", table_no: int = 0, header: bool = True) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 KEY = "spark.checkpoint.dir"
@@ -22,3 +24,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in uri and not uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), unquote(urlparse(uri).path) if uri.startswith("file:") else uri

@@ -1,9 +1,13 @@
 """Reading and writing of tables, and keyed updates. Every function works on any store that Spark reads."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEDULE, TEXT_IDS
+from .scratch import store_of
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, names: list[str] | None = None) -> DataFrame:
@@ -29,9 +33,28 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, folder: str, glob: str = "*.bin", encoding: str = "UTF-8") -> DataFrame:
-    """(page_id, html) of a folder of pages; the key is in the file's name, not its path."""
+    """(page_id, html) of a folder of pages; the key is all of the file's name before its ending.
+    Spark skips empty files, so empty pages aren't among them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_extract("path", r"(\d+)[^/]*$", 1).alias("page_id"), F.decode("content", encoding).alias("html"))
+    return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("page_id"), F.decode("content", encoding).alias("html"))
+
+
+def write_pages(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html", ending: str = "bin") -> int:
+    """A file ``<key>.<ending>`` for each page, written by the tasks; returns the number of files. A task that runs again
+    writes the same files; of several rows of a key one is kept."""
+    store, base = store_of(folder)
+    store.create_dir(base, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = store_of(folder)
+        for b in batches:
+            for k, content in zip(b.column(0), b.column(1), strict=True):
+                with store.open_output_stream(f"{base}/{k.as_py()}.{ending}", compression=None) as out:
+                    out.write(content.as_buffer() if content.is_valid else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows = pages.select(F.col(key).cast("string"), F.encode(F.col(html), "UTF-8"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -49,14 +72,28 @@ def upsert_by_key(old: DataFrame, new: DataFrame, key: str = "race_id") -> DataF
 
 
 def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, key: str = "race_id", partition: str = "year", staging: str | None = None) -> None:
-    """The same for a partitioned table: only partitions that the batch touches are read and rewritten."""
-    touched = [r[0] for r in new.select(partition).distinct().collect()]  # partition values
-    old = spark.read.parquet(path).filter(F.col(partition).isin(touched))
-    merged = upsert_by_key(old, new, key)
+    """The same for a partitioned table: only partitions that the batch touches, or that hold an older row of its keys,
+    are rewritten, and only those that lose or gain rows. The new partitions are written to ``staging`` first; should
+    the swap fail, they're complete there, and running it again gives the same table."""
+    stored = spark.read.parquet(path)
+    touched = new.select(partition).unionByName(stored.join(new.select(key).distinct(), key, "left_semi").select(partition))
+    touched = [r[0] for r in touched.distinct().collect()]  # partition values
+    kept = F.lit(False)
+    for value in touched:
+        kept = kept | F.col(partition).eqNullSafe(F.lit(value))
+    merged = upsert_by_key(stored.filter(kept), new, key)
     staging = staging or path.rstrip("/") + "_staging"
-    merged.write.mode("overwrite").parquet(staging)  # what is rewritten must not be read meanwhile
+    merged.write.mode("overwrite").partitionBy(partition).parquet(staging)  # what is rewritten must not be read meanwhile
     fresh = spark.read.schema(merged.schema).parquet(staging)
+    emptied = [v for v in touched if fresh.filter(F.col(partition).eqNullSafe(F.lit(v))).isEmpty()]
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for value in emptied:  # dynamic overwriting leaves partitions without new rows as they were
+        _drop_partition(spark, path, partition, value)
+
+
+def _drop_partition(spark: SparkSession, path: str, partition: str, value) -> None:
+    store, base = store_of(path)
+    store.delete_dir(f"{base.rstrip('/')}/{partition}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
 
 
 def new_keys_only(wanted: DataFrame, done: DataFrame, key: str = "race_id") -> DataFrame:
