@@ -2,8 +2,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from turfspark.functions.ordering import numbered, running_totals
-from turfspark.operators import features, splitting
+from turfspark.functions.ordering import numbered, ranged, running_totals
+from turfspark.operators import features, ml, policies, splitting
 from turfspark.sources import pages, tables
 from turfspark.streaming import raceday
 
@@ -55,9 +55,9 @@ def test_master_dates(spark):
 
 def test_numbering(spark):
     df = spark.createDataFrame([(v, i) for i, v in enumerate([5.0, 1.0, None, 5.0, 2.0, 1.0] * 40)], "v double, i int")
-    got = [r.n for r in numbered(df, "v", ["i"], "n", 10, 8).orderBy(F.asc_nulls_first("v"), "i").collect()]
+    got = [r.n for r in numbered(df, ["v", "i"], "n", 10, 8).orderBy(F.asc_nulls_first("v"), "i").collect()]
     assert got == list(range(10, 250))
-    rows = running_totals(df, "v", ["i"], {"s": F.col("i")}, 8).orderBy(F.asc_nulls_first("v"), "i").collect()
+    rows = running_totals(df, ["v", "i"], {"s": F.col("i")}, 8).orderBy(F.asc_nulls_first("v"), "i").collect()
     total = 0
     for r in rows:
         assert r.s == total
@@ -116,3 +116,57 @@ def test_stream_scores_new_cards_once(spark, tmp_path):
         q.awaitTermination(60)
     out = spark.read.parquet(str(tmp_path / "out")).orderBy("score_rank").collect()
     assert [(r.umaban, r.score, r.score_rank) for r in out] == [(3, 1.0, 1), (1, -1.0, 2)]
+
+
+def test_pages_are_files_named_by_their_key(spark, tmp_path):
+    df = spark.createDataFrame([(12, "<p>é</p>"), (13, None), (14, "x\ny")], "page_id long, html string").repartition(2)
+    to = str(tmp_path / "a folder" / "pages")
+    assert tables.write_pages(df, to) == 3 == tables.write_pages(df, to)
+    assert sorted(map(tuple, tables.read_pages(spark, to).collect())) == [("12", "<p>é</p>"), ("14", "x\ny")]  # Spark skips empty files
+
+
+def test_a_key_that_changes_its_partition_is_moved(spark, tmp_path):
+    path, schema = str(tmp_path / "p"), "race_id string, v string, year int"
+    spark.createDataFrame([("1", "a", 2022), ("2", "c", 2023), ("3", "d", 2024), ("5", "e", None)], schema).write.partitionBy("year").parquet(path)
+    tables.upsert_partitions(spark, path, spark.createDataFrame([("1", "x", 2023), ("3", "y", 2025), ("5", "z", 2024)], schema))
+    assert {(r.race_id, r.v, r.year) for r in spark.read.parquet(path).collect()} == {("1", "x", 2023), ("2", "c", 2023), ("3", "y", 2025), ("5", "z", 2024)}
+
+
+def test_one_value_of_the_leading_key_is_numbered_by_several_tasks(spark):
+    df = spark.range(3000).selectExpr("if(id < 2700, 0, id % 7 - 3) d", "id i")
+    parts = {(r["_part"], r.d) for r in ranged(df, ["d", "i"], 300).select("_part", "d").distinct().collect()}
+    assert sum(d == 0 for _, d in parts) > 5
+    got = numbered(df, ["d", "i"], "n", 0, 300).orderBy("d", "i").collect()
+    assert [r.n for r in got] == list(range(3000))
+    rows, master = features.label_encode_masters(df.selectExpr("d", "i", "cast(i AS string) k", "cast(i % 5 AS string) m"), ["k", "m"], ["d", "i"], part_rows=300)
+    assert {r.i: r.k_code for r in rows.collect()} == {r.i: r.n for r in got}
+    assert master["m"].count() == 5 and {r.encoded_id for r in master["m"].collect()} == set(range(5))
+
+
+def test_masters_go_on_where_they_ended(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "c", "y")], "o int, k string, m string")
+    old = {"k": spark.createDataFrame([("b", 7)], "id string, encoded_id long"), "m": None}
+    rows, masters = features.label_encode_masters(df, ["k", "m"], ["o"], old)
+    assert {r.o: (r.k_code, r.m_code) for r in rows.collect()} == {1: (8, 0), 2: (7, None), 3: (9, 1)}
+    again, same = features.label_encode_masters(df, ["k", "m"], ["o"], masters)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert {c: sorted(map(tuple, m.collect())) for c, m in same.items()} == {"k": [("a", 8), ("b", 7), ("c", 9)], "m": [("x", 0), ("y", 1)]}
+    assert features.label_encode_masters(df.limit(0), ["k", "m"], ["o"])[0].count() == 0
+
+
+def test_a_model_is_loaded_with_its_masters(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id", "cast(id % 10 AS double) a", "cast(id % 7 AS double) b", "cast(id % 10 > 5 AS int) rank", "cast(id % 3 AS string) k")
+    rows, masters = features.label_encode_masters(rows, ["k"], ["id"])
+    x = ["a", "b", "k_code"]
+    model = ml.train_classifier(rows, x, trees=2, depth=2)
+    ml.save(model, masters, x, str(tmp_path / "m"))
+    model2, masters2, x2 = ml.load(spark, str(tmp_path / "m"))
+    fresh = features.label_encode_masters(rows.drop("k_code"), ["k"], ["id"], masters2)[0]
+    want = {r.id: r.score for r in ml.score_runners(model, rows, x).collect()}
+    assert x2 == x and {r.id: r.score for r in ml.score_runners(model2, fresh, x2).collect()} == want
+
+
+def test_thresholds_come_from_the_scores(spark):
+    s = spark.createDataFrame([(1.0,), (3.0,), (None,)], "score double")
+    assert [r.threshold for r in policies.thresholds_of(s, 4).orderBy("i").collect()] == [1.0, 1.5, 2.0, 2.5]
+    assert policies.thresholds_of(s.filter("score > 9"), 4).count() == 0

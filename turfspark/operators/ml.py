@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scoring import auc
@@ -29,6 +29,22 @@ def score_runners(model: PipelineModel, df: DataFrame, features: list[str], name
     return scored.select(*df.columns, name)
 
 
+def save(model: PipelineModel, masters: dict[str, DataFrame], features: list[str], path: str) -> None:
+    """The trained pipeline with the label masters and feature columns that go with it, under one path."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame(list(enumerate(features)), "i int, feature string").write.mode("overwrite").parquet(f"{path}/features")
+    for column, master in masters.items():
+        master.write.mode("overwrite").parquet(f"{path}/masters/{column}")
+    spark.createDataFrame([(c,) for c in masters], "column string").write.mode("overwrite").parquet(f"{path}/columns")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict[str, DataFrame], list[str]]:
+    columns = [r.column for r in spark.read.parquet(f"{path}/columns").collect()]
+    features = [r.feature for r in spark.read.parquet(f"{path}/features").orderBy("i").collect()]
+    return PipelineModel.load(f"{path}/model"), {c: spark.read.parquet(f"{path}/masters/{c}") for c in columns}, features
+
+
 def feature_importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -12,6 +12,14 @@ def threshold_grid(low: float = 0.5, high: float = 3.5, n: int = 100) -> list[fl
     return [high * i / n + low * (1 - i / n) for i in range(n)]
 
 
+def thresholds_of(scores: DataFrame, n: int = 100, score: str = "score") -> DataFrame:
+    """(i, threshold): ``n`` evenly spaced thresholds from the least score on, the greatest not among them; none without
+    a score."""
+    ends = scores.agg(F.min(score).cast("double").alias("low"), F.max(score).cast("double").alias("high")).filter("low is not null")
+    i = F.col("i")
+    return ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("i", (F.col("high") * i / n + F.col("low") * (1 - i / n)).alias("threshold"))
+
+
 def threshold_grid_2d(low: float, high: float, n: int, low2: float, n2: int) -> list[tuple[float, float]]:
     """Pairs (t1, t2): for each t1, ``n2`` thresholds from ``low2`` up to it."""
     return [(t1, t1 * j / n2 + low2 * (1 - j / n2)) for t1 in threshold_grid(low, high, n) for j in range(n2)]

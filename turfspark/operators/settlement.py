@@ -1,7 +1,7 @@
 """Settlement of picks against payouts. Combinations are counted in closed form; only the few winning
 combinations are tested against the picks."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .policies import LEAST, picks_from, threshold_grid
@@ -74,27 +74,47 @@ def return_band(portfolio: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(scores: DataFrame, payouts: DataFrame, thresholds: list[float] | None = None, tickets: tuple[str, ...] = tuple(LEAST), amount: int = 100) -> DataFrame:
-    """A portfolio row for every threshold and ticket type, in one job: runners and winners of a race meet
-    once, in one row; thresholds and ticket types are laid out beside them, so only the final sums move."""
-    thresholds = threshold_grid() if thresholds is None else thresholds
+    """A portfolio row for every threshold and ticket type, in one job. A race's picks change only at its runners'
+    scores: each such step is settled once, against the winners of one ticket type, and adds to a run of thresholds.
+    Of a run only its two ends move, as a gain and a loss; the sums over thresholds are taken at the end, over a row for
+    each threshold and ticket type. The deviation comes from sums of squares."""
+    thresholds = sorted(threshold_grid() if thresholds is None else thresholds)
+    grid, n_grid = F.array(*map(F.lit, thresholds)), len(thresholds)
     runner = F.struct("umaban", "wakuban", F.col("score").cast("double").alias("score"))
     races = scores.filter(F.col("score").isNotNull()).groupBy("race_id").agg(F.collect_list(runner).alias("runners"), F.max("wakuban_flag").alias("flag"))
-    races = races.filter(F.array_max(F.transform("runners", lambda r: r["score"])) >= min(thresholds))
-    wins = payouts.groupBy("race_id").agg(F.collect_list(F.struct("ticket_type", "win", "payout")).alias("all_won"))
-    both = races.join(wins, "race_id", "left")
-    both = both.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.exists("runners", lambda r: r["score"] >= t))))
-    tables = []
+    levels = F.array_sort(F.filter(F.array_distinct(F.transform("runners", lambda r: r["score"])), lambda s: s >= min(thresholds)))
+    reached = F.transform(levels, lambda s: F.size(F.filter(grid, lambda t: t <= s)))  # thresholds up to each level
+    races = races.withColumns({"levels": levels, "reached": reached}).filter(F.size("levels") > 0)
+    wins = payouts.groupBy("race_id", "ticket_type").agg(F.collect_list(F.struct("win", "payout")).alias("won"))
+    wins = wins.groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct("ticket_type", "won"))).alias("all_won"))
+    none = F.array().cast(wins.schema["all_won"].dataType.valueType)
+    step = F.explode(F.sequence(F.lit(0), F.size("levels") - 1))
+    steps = races.join(wins, "race_id", "left").select("runners", "flag", "all_won", "levels", "reached", step.alias("k"))
+    from_, to = F.when(F.col("k") == 0, 0).otherwise(F.get("reached", F.col("k") - 1)), F.get("reached", F.col("k"))
+    steps = steps.select("runners", "flag", "all_won", F.get("levels", F.col("k")).alias("level"), from_.alias("begin"), to.alias("end")).filter("begin < end")
+    settled = []
     for t in tickets:
-        picks = picks_from(F.col("runners"), F.col("threshold"), t)
+        picks = picks_from(F.col("runners"), F.col("level"), t)
+        won = F.coalesce(F.get(F.array(F.element_at("all_won", F.lit(t))), F.lit(0)), none)
+        n = n_tickets(F.lit(t), picks)
+        back = (returned(won, lambda win, picks=picks: covers(picks, win)) * amount / 100).cast("double")
         enough = F.size(picks) >= LEAST[t]
-        tables.append(F.when(enough & (F.col("flag") == 1) if t == "wakuren" else enough, F.struct(F.lit(t).alias("ticket_type"), picks.alias("picks"))))
-    bets = both.select("race_id", "threshold", "all_won", F.explode(F.array_compact(F.array(*tables))).alias("b")).select("race_id", "threshold", "all_won", "b.*")
-    mine = F.filter(F.coalesce("all_won", F.array().cast(wins.schema["all_won"].dataType)), lambda w: w["ticket_type"] == F.col("ticket_type"))
-    n = n_tickets(F.col("ticket_type"), F.col("picks"))
-    back = (returned(mine, lambda win: covers(F.col("picks"), win)) * amount / 100).cast("double")
-    settled = bets.select("threshold", "ticket_type", n.alias("n_bets"), (n * amount).alias("bet_amount"), back.alias("return_amount"))
-    settled = settled.withColumn("hit_or_not", (F.col("return_amount") > 0).cast("int"))
-    return portfolio_returns(settled, ("threshold", "ticket_type"))
+        settled.append(F.when(enough & (F.col("flag") == 1) if t == "wakuren" else enough, F.struct(F.lit(t).alias("ticket_type"), n.alias("n"), back.alias("back"))))
+    bets = steps.select("begin", "end", F.explode(F.array_compact(F.array(*settled))).alias("b")).select("begin", "end", "b.*")
+    ends = F.explode(F.array(F.struct(F.col("begin").alias("i"), F.lit(1).alias("sign")), F.struct(F.col("end").alias("i"), F.lit(-1).alias("sign"))))
+    moved = bets.select("ticket_type", "n", "back", ends.alias("e")).select("ticket_type", "e.i", "e.sign", "n", "back")
+    sign, values = F.col("sign"), {"n_bets": F.col("n"), "n_races": F.lit(1), "n_hits": (F.col("back") > 0).cast("int"), "_back": F.col("back"), "_squares": F.col("back") * F.col("back")}
+    moved = moved.groupBy("ticket_type", "i").agg(*[F.sum(sign * v).alias(c) for c, v in values.items()])
+    every = scores.sparkSession.createDataFrame([(t, i, thresholds[i]) for t in tickets for i in range(n_grid)], "ticket_type string, i int, threshold double")
+    upto = Window.partitionBy("ticket_type").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # a row for each threshold
+    sums = every.join(moved, ["ticket_type", "i"], "left").select("ticket_type", "threshold", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in values])
+    total, n = F.col("n_bets") * amount, F.col("n_races")
+    variance = F.try_divide(F.col("_squares") - F.try_divide(F.col("_back") * F.col("_back"), n), n - 1)
+    deviation = F.sqrt(F.when(variance < 0, 0.0).otherwise(variance))
+    return sums.filter(n > 0).select(
+        "threshold", "ticket_type", "n_bets", F.col("n_races").cast("long").alias("n_races"), F.col("n_hits").cast("long").alias("n_hits"), total.alias("total_bet_amount"),
+        F.try_divide(F.col("_back"), total).alias("return_rate"), F.try_divide(deviation * F.sqrt(n), total).alias("std"),
+    )
 
 
 def axis_sweep(scores: DataFrame, payouts: DataFrame, grid: list[tuple[float, float]], amount: int = 100) -> DataFrame:

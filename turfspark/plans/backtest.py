@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import payouts, policies, scoring, settlement
+from ..operators import features, payouts, policies, scoring, settlement
 from ..operators.joins import union_batches
 from ..streaming import raceday
-from .mapping import PAY, RUN, SCORED, day_rows, payout_texts, query, races, runners, table
+from ..sources.scratch import scratch_path
+from ..vocab import DIRECTIONS, WEATHER
+from .mapping import PAY, RUN, SCORED, day_rows, day_sql, payout_texts, query, races, runners, table
 
 THRESHOLD = 0.3
 
@@ -34,13 +36,13 @@ def max_winners(spark, sf):
 
 
 GRID = policies.threshold_grid()
-_GRID = f"grid AS (SELECT unnest({GRID}::DOUBLE[]) AS threshold)"
+_GRID = "grid AS (SELECT 3.5::DOUBLE * i / 100 + 0.5::DOUBLE * (1 - i / 100::DOUBLE) AS threshold FROM range(100) t(i))"
 
 
-@query(f"SELECT i::INTEGER AS i, round(3.5 * i / 100 + 0.5 * (1 - i / 100), 6) AS threshold FROM range(100) t(i), (SELECT count(*) FROM region)")
+@query(f"""WITH {RUN}, {SCORED}, e AS (SELECT min(score) AS low, max(score) AS high FROM score)
+  SELECT i::INTEGER AS i, round(high * i / 100 + low * (1 - i / 100::DOUBLE), 6) AS threshold FROM range(100) t(i), e""")
 def threshold_grid(spark, sf):
-    rows = table(spark, sf, "region").agg(F.count("*").alias("n")).select(F.posexplode(F.array(*map(F.lit, GRID))).alias("i", "threshold"))
-    return rows.select("i", F.round("threshold", 6).alias("threshold"))
+    return policies.thresholds_of(_scores(spark, sf)).select("i", F.round("threshold", 6).alias("threshold"))
 
 
 @query(f"WITH {RUN}, {SCORED}, {_GRID} SELECT race_id, umaban, round(threshold, 6) AS threshold FROM score JOIN grid ON score >= threshold")
@@ -181,8 +183,9 @@ def threshold_sweep(spark, sf):
     return _rounded(settlement.threshold_sweep(_scores(spark, sf), _payouts(spark, sf))).withColumn("threshold", F.round("threshold", 6))
 
 
-GRID_2D = policies.threshold_grid_2d(0.8, 1.6, 4, 0.2, 4)
-_POINTS = "grid2 AS (SELECT unnest([" + ", ".join(f"{{'t1': {a}::DOUBLE, 't2': {b}::DOUBLE}}" for a, b in GRID_2D) + "]) AS t)"
+GRID_2D = policies.threshold_grid_2d(0.8, 1.6, 10, 0.2, 10)
+_POINTS = """grid2 AS (SELECT {'t1': t1, 't2': t1 * j / 10 + 0.2::DOUBLE * (1 - j / 10::DOUBLE)} AS t
+  FROM (SELECT 1.6::DOUBLE * i / 10 + 0.8::DOUBLE * (1 - i / 10::DOUBLE) AS t1 FROM range(10) x(i)), range(10) y(j))"""
 
 
 @query(f"""WITH {PAY}, {SCORED}, {_POINTS}, pair AS (SELECT t.t1 AS t1, t.t2 AS t2, a.race_id, [a.umaban, b.umaban] AS picks FROM grid2 JOIN score a ON a.score >= t.t1 JOIN score b ON b.race_id = a.race_id AND b.umaban <> a.umaban AND b.score >= t.t2),
@@ -217,13 +220,55 @@ def schedule_order(spark, sf):
     return raceday.schedule_order(_posts(spark, sf), "date", "post_time").select("race_id", "date")
 
 
-@query()
-def day_of_scoring(spark, sf):
-    """All order lines as race cards, scored by their history features."""
-    days = races(spark, sf).select("race_id", "date")
-    cards = runners(spark, sf).join(days, "race_id").select(
-        "race_id", F.col("wakuban").cast("string").alias("wakuban"), F.col("umaban").cast("string").alias("umaban"), F.lit("牡3").alias("sex_age"), F.lit(55.0).alias("carried"), F.lit("2.5").alias("odds"),
-        F.lit("1").alias("popularity"), F.lit("480(+4)").alias("weight_text"), "horse_id", F.lit(1650).alias("course_len"), F.lit("良").alias("ground_state"), "date",
+_DAY = f"""{RUN}, {day_sql('l_partkey')}, card AS (SELECT run.*, o_orderdate::DATE AS date, umaban % 3 AS s, count(*) OVER (PARTITION BY race_id) AS n_horses FROM run JOIN orders ON o_orderkey = race_id WHERE flag <> 'N'),
+  seen AS (SELECT horse_id AS id, row_number() OVER (ORDER BY min((o_orderdate::DATE, race_id, umaban))) - 1 AS code FROM run JOIN orders ON o_orderkey = race_id WHERE race_id % 2 = 0 GROUP BY 1),
+  new AS (SELECT horse_id AS id, (SELECT count(*) FROM seen) + row_number() OVER (ORDER BY min((date, race_id, umaban))) - 1 AS code FROM card WHERE horse_id NOT IN (SELECT id FROM seen) GROUP BY 1),
+  code AS (SELECT * FROM seen UNION ALL SELECT * FROM new),
+  past AS (SELECT c.race_id, c.umaban, avg(h.quantity) AS m FROM card c JOIN hist h ON h.horse_id = c.horse_id AND h.date < c.date GROUP BY 1, 2),
+  raw AS (SELECT c.race_id, c.umaban, c.wakuban, coalesce(m, 0) + 3 * (s = 0)::INTEGER + (quantity::INTEGER % 9) + (umaban % 5 - 2) * 0.5 + (code % 11) * 0.25 + (race_id % 4 = 0)::INTEGER AS x
+    FROM card c LEFT JOIN past USING (race_id, umaban) JOIN code ON id = c.horse_id),
+  z AS (SELECT *, round((x - avg(x) OVER (PARTITION BY race_id)) / nullif(CASE WHEN max(x) OVER (PARTITION BY race_id) > min(x) OVER (PARTITION BY race_id) THEN stddev_pop(x) OVER (PARTITION BY race_id) END, 0), 6) AS score FROM raw)"""
+_DAY_SQL = f"WITH {_DAY} SELECT race_id, umaban, score FROM z"
+
+
+def _cards(spark, sf):
+    """All order lines as race cards; lines with flag N are scratched."""
+    days, u, q = races(spark, sf).select("race_id", F.date_format("date", "yyyy年M月d日").alias("date")), F.col("umaban"), F.col("quantity").cast("int")
+    weather, around = (F.get(F.array(*map(F.lit, v)), (F.col("race_id") % len(v)).cast("int")) for v in (WEATHER, DIRECTIONS))
+    return runners(spark, sf).join(days, "race_id").select(
+        "race_id", F.col("wakuban").cast("string").alias("wakuban"), u.cast("string").alias("umaban"),
+        F.concat(F.when(u % 3 == 0, "牡").when(u % 3 == 1, "牝").otherwise("セ"), (q % 9).cast("string")).alias("sex_age"), (F.lit(50.0) + u).alias("carried"),
+        F.when(u % 4 == 0, "---").otherwise(F.format_string("%.1f", u + 1.5)).alias("odds"), u.cast("string").alias("popularity"),
+        F.when(F.col("flag") == "N", "--").otherwise(F.concat((q + 440).cast("string"), F.lit("("), F.format_string("%+d", u % 5 - 2), F.lit(")"))).alias("weight_text"), "horse_id",
+        (F.lit(1000) + F.col("race_id") % 26 * 100).cast("int").alias("course_len"), F.when(F.col("race_id") % 4 == 0, "良").otherwise("重").alias("ground_state"), "date",
+        weather.alias("weather"), around.alias("around"), F.lit("芝").alias("race_type"), F.lit("未勝利").alias("race_class"),
     )
-    score = lambda df: df.withColumn("score", F.coalesce("quantity_allR", F.lit(0.0)))
-    return raceday.day_of_scoring(cards, day_rows(spark, sf, "l_partkey"), score, ["quantity"])
+
+
+def _scorer(spark, sf):
+    """Cards to scored cards: history, all features with the codes of a former run, score, rank."""
+    former = runners(spark, sf).join(races(spark, sf).select("race_id", "date"), "race_id").filter("race_id % 2 = 0")
+    masters = features.label_encode_masters(former.select("horse_id", "date", "race_id", "umaban"), ["horse_id"], ["date", "race_id", "umaban"])[1]
+    x = F.coalesce("quantity_allR", F.lit(0.0)) + 3 * F.col("sex__牡") + F.col("age") + F.col("weight_change") * 0.5 + F.col("horse_id_code") % 11 * 0.25 + F.col("ground_state1__良")
+    more = lambda df: features.featurize(df, masters)[0]
+    return lambda cards: raceday.day_of_scoring(cards, day_rows(spark, sf, "l_partkey"), lambda df: df.withColumn("score", x), ["quantity"], features=more)
+
+
+def _rounded_day(df):
+    """A race whose scores are all equal has no deviation."""
+    return df.select("race_id", "umaban", F.round("score", 6).alias("score"))
+
+
+@query(_DAY_SQL)
+def day_of_scoring(spark, sf):
+    return _rounded_day(_scorer(spark, sf)(_cards(spark, sf)))
+
+
+@query(_DAY_SQL)
+def score_stream(spark, sf):
+    """The same as a stream: cards arrive as files, races whole."""
+    arriving, to, checkpoint = (scratch_path(spark, x) for x in ("cards", "scored", "stream"))
+    _cards(spark, sf).repartition(2, "race_id").write.parquet(arriving)
+    stream = spark.readStream.schema(spark.read.parquet(arriving).schema).parquet(arriving)
+    raceday.score_stream(stream, _scorer(spark, sf), to, checkpoint).awaitTermination()
+    return _rounded_day(spark.read.parquet(to))

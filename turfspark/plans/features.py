@@ -98,6 +98,18 @@ def history_events(spark, sf):
     return _rounded(history.history_features(_keys(rows), rows, ["value"], ["flag"], windows=(), path="linear"))
 
 
+@query("""WITH key AS (SELECT DISTINCT user_id, ts, event_type FROM events),
+  joined AS (SELECT k.user_id AS e, k.ts AS t, k.event_type AS f, h.*, row_number() OVER (PARTITION BY k.user_id, k.ts, k.event_type ORDER BY h.ts::DATE DESC, h.event_id DESC) AS rn
+    FROM key k JOIN events h ON h.user_id = k.user_id AND h.ts::DATE < k.ts::DATE)
+  SELECT k.user_id AS horse_id, epoch_us(k.ts) AS at, k.event_type AS flag, round(avg(round(h.value * 100)) FILTER (WHERE rn <= 5), 9) AS "value_5R", round(avg(round(h.value * 100)), 9) AS "value_allR", max(h.ts::DATE) AS latest
+  FROM key k LEFT JOIN joined h ON h.e = k.user_id AND h.t = k.ts AND h.f = k.event_type GROUP BY 1, 2, 3""")
+def history_of_instants(spark, sf):
+    """Times, not days, in both tables: rows of the same day don't count."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("horse_id"), F.col("ts").alias("date"), F.col("event_type").alias("flag"), F.col("event_id").alias("R"), F.round(F.col("value") * 100).alias("value"))
+    found = _rounded(history.history_features(_keys(rows), rows, ["value"], windows=(5,)))
+    return found.withColumn("at", F.unix_micros(F.col("date").cast("timestamp"))).drop("date")
+
+
 @query("""SELECT l.l_partkey AS horse_id, l.l_orderkey AS race_id, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey, l_shipdate::DATE AS d FROM lineitem) l
   JOIN (SELECT DISTINCT l_partkey, l_shipdate::DATE AS d FROM lineitem) h ON h.l_partkey = l.l_partkey AND h.d < l.d GROUP BY 1, 2""")
 def asof_history(spark, sf):
@@ -170,18 +182,50 @@ def pivot_peds(spark, sf):
     return features.pivot_peds(table(spark, sf, "pages").withColumnRenamed("page_id", "horse_id"), width=3, pattern=r'href="/([^"/]+)"')
 
 
-def _feature_rows(spark, sf):
-    rows = runners(spark, sf).join(races(spark, sf), "race_id")
-    return rows.select("race_id", "umaban", "date", "horse_id", F.when(F.col("umaban") % 2 == 0, "牡").otherwise("牝").alias("sex"), F.date_sub("date", 9).alias("latest"), F.date_sub("date", 900).alias("birthday"))
+# Every category cycles through its values and one that is unknown; the ids come from several tables.
+_CATEGORIES = {c: values for c, (values, _) in features.ONE_HOT.items()}
+_ID_SQL = {
+    "horse_id": "horse_id", "jockey_id": "jockey_id", "trainer_id": "nullif(horse_id % 97, 0)", "owner_id": "'o' || (jockey_id * 7 % 53)", "breeder_id": "'b' || (race_id % 31)",
+}
+
+
+def _category(k: int, values: list[str]) -> str:
+    return f"(race_id // 3 + umaban * {k + 1}) % {len(values) + 1}"
+
+
+def feature_rows(spark, sf):
+    rows = runners(spark, sf).join(races(spark, sf).select("race_id", "date"), "race_id")
+    named = {c: F.get(F.array(*map(F.lit, v)), F.expr(_category(k, v).replace("//", "div")).cast("int")) for k, (c, v) in enumerate(_CATEGORIES.items())}
+    ids = {c: F.expr(x) for c, x in _ID_SQL.items()}
+    days = {"latest": F.expr("date_sub(date, cast(umaban * 7 + race_id % 50 AS int))"), "birthday": F.expr("date_sub(date, cast(700 + horse_id % 900 AS int))")}
+    gone = {c: F.lit("x") for _, drops in features.ONE_HOT.values() for c in drops if c not in named}
+    return rows.withColumns(ids).select("race_id", "umaban", "date", *_ID_SQL, *[c.alias(n) for n, c in (named | days | gone).items()])
+
 
+def stored_masters(rows):
+    """Codes of a former run: those of the jockeys with an even number."""
+    return {"jockey_id": rows.filter("jockey_id % 2 = 0").select(F.col("jockey_id").cast("string").alias("id"), (F.col("jockey_id") + 3).alias("encoded_id")).distinct()}
 
-@query(f"""WITH {RUN}, j AS (SELECT run.*, o_orderdate::DATE AS date FROM run JOIN orders ON o_orderkey = race_id),
-  code AS (SELECT horse_id, row_number() OVER (ORDER BY d, r, u) - 1 AS c FROM (SELECT horse_id, min((date, race_id, umaban)) AS f, f[1] AS d, f[2] AS r, f[3] AS u FROM j GROUP BY horse_id))
-  SELECT race_id, umaban, j.horse_id, 9 AS interval, 900 AS age_days, (umaban % 2 = 0)::INTEGER AS "sex__牡", (umaban % 2 = 1)::INTEGER AS "sex__牝", 0 AS "sex__セ", c::BIGINT AS horse_id_code
-  FROM j JOIN code ON j.horse_id = code.horse_id""")
+
+def _feature_sql() -> str:
+    hot = ", ".join(f'coalesce(({_category(k, v)} = {i})::INTEGER, 0) AS "{c}__{x}"' for k, (c, v) in enumerate(_CATEGORIES.items()) for i, x in enumerate(v))
+    ctes, joins, codes = [], [], []
+    for c, expression in _ID_SQL.items():
+        known = "SELECT DISTINCT jockey_id::VARCHAR AS id, jockey_id + 3 AS code FROM j WHERE jockey_id % 2 = 0" if c == "jockey_id" else "SELECT NULL::VARCHAR AS id, NULL::BIGINT AS code WHERE false"
+        ctes.append(f"""known_{c} AS ({known}), code_{c} AS (SELECT * FROM known_{c} UNION ALL SELECT id, (SELECT coalesce(max(code) + 1, 0) FROM known_{c}) + row_number() OVER (ORDER BY f) - 1
+          FROM (SELECT {c}::VARCHAR AS id, min((date, race_id, umaban)) AS f FROM (SELECT date, race_id, umaban, {expression} AS {c} FROM j) WHERE {c} IS NOT NULL GROUP BY 1) WHERE id NOT IN (SELECT id FROM known_{c}))""")
+        joins.append(f"LEFT JOIN code_{c} ON code_{c}.id = ({expression})::VARCHAR")
+        codes.append(f"code_{c}.code::BIGINT AS {c}_code")
+    return f"""WITH {RUN}, j AS (SELECT run.*, o_orderdate::DATE AS date FROM run JOIN orders ON o_orderkey = race_id), {", ".join(ctes)}
+  SELECT race_id, umaban, {", ".join(f"{x} AS {c}" for c, x in _ID_SQL.items())}, (umaban * 7 + race_id % 50)::INTEGER AS interval, (700 + horse_id % 900)::INTEGER AS age_days, {hot}, {", ".join(codes)}
+  FROM j {" ".join(joins)}"""
+
+
+@query(_feature_sql())
 def featurize(spark, sf):
-    rows, _ = features.featurize(_feature_rows(spark, sf))
-    return rows.drop("date")
+    """All eight categories, five id columns, one of them with codes of a former run, interval and age."""
+    rows = feature_rows(spark, sf)
+    return features.featurize(rows, stored_masters(rows))[0].drop("date", "place_id")
 
 
 @query("""WITH n AS (SELECT o_orderkey AS race_id, row_number() OVER (ORDER BY o_orderdate::DATE, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
@@ -251,8 +295,11 @@ def auc(spark, sf):
     return scoring.auc(rows).select(F.round("auc", 6).alias("auc"))
 
 
-# ---- models: rows only -------------------------------------------------------------------------------
+# ---- models: what SQL can say of them ----------------------------------------------------------------
 _X = ["quantity", "discount", "price", "umaban", "wakuban"]
+_FOLD = f"""{RUN}, number AS (SELECT o_orderkey AS race_id, row_number() OVER (ORDER BY o_orderdate::DATE, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders WHERE o_orderkey IN (SELECT race_id FROM run)),
+  fold AS (SELECT run.*, CASE WHEN i >= round_even(n * 0.7, 0) THEN 'test' WHEN i >= round_even(round_even(n * 0.7, 0) * 0.7, 0) THEN 'valid' ELSE 'train' END AS fold,
+    (quantity > 25 AND discount < 0.08)::INTEGER AS rank FROM run JOIN number USING (race_id))"""
 
 
 def _learning(spark, sf):
@@ -272,30 +319,38 @@ def xy_columns(spark, sf):
     return rows.select(*x, y)
 
 
-@query()
+@query(f"WITH {_FOLD} SELECT fold, count(*) AS runners, sum(rank)::BIGINT AS positive, true AS learned FROM fold GROUP BY fold")
 def train_classifier(spark, sf):
-    """Area under the curve on each fold."""
+    """Runners and labels of each fold, and whether the area under the curve is above 0.9 there: the label is a rule."""
     rows, model = _trained(spark, sf)
-    return scoring.auc(ml.score_runners(model, rows, _X), "score", "rank", by="fold")
+    area = scoring.auc(ml.score_runners(model, rows, _X), "score", "rank", by="fold")
+    counts = rows.groupBy("fold").agg(F.count("*").alias("runners"), F.sum("rank").alias("positive"))
+    return counts.join(area, "fold").select("fold", "runners", "positive", (F.col("auc") > 0.9).alias("learned"))
 
 
-@query()
+@query(f"WITH {_FOLD} SELECT race_id, umaban, rank, true AS probable FROM fold WHERE fold = 'test'")
 def score_runners(spark, sf):
     rows, model = _trained(spark, sf)
-    return ml.score_runners(model, rows.filter("fold = 'test'"), _X).select("race_id", "umaban", "score", "rank")
+    return ml.score_runners(model, rows.filter("fold = 'test'"), _X).select("race_id", "umaban", "rank", F.col("score").between(0, 1).alias("probable"))
 
 
-@query()
-def top_features(spark, sf):
-    return ml.top_features(_trained(spark, sf)[1], _X, spark, 3)
+@query(f"SELECT x[1] AS feature, true AS fits, 1.0::DOUBLE AS total FROM (SELECT unnest([{', '.join(f"['{x}']" for x in _X)}]) AS x), (SELECT count(*) FROM lineitem)")
+def feature_importance(spark, sf):
+    """Every feature's importance is a share, they add up to one, and the two of the label's rule have most of it."""
+    found = ml.feature_importance(_trained(spark, sf)[1], _X, spark)
+    total = found.agg(F.sum("importance")).scalar()
+    of_rule = F.col("feature").isin("quantity", "discount")
+    return found.select("feature", F.when(of_rule, F.col("importance") > 0.2).otherwise(F.col("importance") < 0.2).alias("fits"), F.round(total, 9).alias("total"))
 
 
-@query()
-def feature_importance(spark, sf):
-    return ml.feature_importance(_trained(spark, sf)[1], _X, spark)
+@query("SELECT unnest(['discount', 'quantity']) AS feature FROM (SELECT count(*) FROM lineitem)")
+def top_features(spark, sf):
+    """The two features that the label's rule uses."""
+    return ml.top_features(_trained(spark, sf)[1], _X, spark, 2).select("feature")
 
 
-@query()
+@query("SELECT unnest([2, 3])::INTEGER AS depth, 3 AS trees, true AS learned FROM (SELECT count(*) FROM lineitem)")
 def tune(spark, sf):
     rows = _learning(spark, sf)
-    return ml.tune(rows.filter("fold = 'train'"), rows.filter("fold = 'valid'"), _X, depths=(2, 3), trees=(3,))[1]
+    found = ml.tune(rows.filter("fold = 'train'"), rows.filter("fold = 'valid'"), _X, depths=(2, 3), trees=(3,))[1]
+    return found.select("depth", "trees", (F.col("auc") > 0.75).alias("learned"))

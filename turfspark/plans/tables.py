@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, profile
+from ..operators import cleaning, joins, profile
 from ..sources import pages, tables
 from ..sources.scratch import scratch_path
 from .mapping import PAY, RACE, RUN, payout_texts, query, races, runners, table
@@ -49,20 +49,54 @@ def extract_links(spark, sf):
     return pages.extract_links(table(spark, sf, "pages"), r'href="/([^"/]+)"')
 
 
-@query()
+@query("""SELECT page_id, 0 AS table_no, (unnest(range(len(l))))::INTEGER AS row_no, unnest(l) || '|abrb' AS cells
+  FROM (SELECT page_id, regexp_extract_all(html, 'href="/([^"/]+)"', 1) AS l FROM pages)""")
 def pages_to_tables(spark, sf):
     """The pages hold no tables: each page's links become one first, built by Spark."""
     rows = F.transform(F.regexp_extract_all("html", F.lit(r'href="/([^"/]+)"'), 1), lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td>a<br />b</td></tr>")))
     built = table(spark, sf, "pages").select("page_id", F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
-    return pages.pages_to_tables(built)
+    return pages.pages_to_tables(built).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query()
+@query("SELECT page_id::VARCHAR AS page_id, html FROM pages WHERE html <> ''")
 def read_pages(spark, sf):
-    """Pages as files of a folder, read back by their names."""
+    """Every page as a file named after its key, read back by its name."""
     to = scratch_path(spark, "pages")
-    table(spark, sf, "region").select(F.col("r_name").alias("value"), F.col("r_regionkey").alias("k")).write.partitionBy("k").text(to)
-    return tables.read_pages(spark, to, "*.txt")
+    tables.write_pages(table(spark, sf, "pages"), to)
+    return tables.read_pages(spark, to)
+
+
+_CARRIED, _ODDS = "50 + umaban % 4 + 0.5", "1 + (horse_id % 100) / 10.0"
+
+
+@query(f"""WITH {RUN}, kept AS (SELECT * FROM run WHERE flag <> 'N') SELECT race_id::VARCHAR AS race_id, umaban AS position, (umaban < 4)::INTEGER AS rank, wakuban, umaban,
+  CASE flag WHEN 'A' THEN '牡' ELSE '牝' END AS sex, (quantity::INTEGER % 9)::INTEGER AS age, ({_CARRIED})::DOUBLE AS carried, round({_ODDS}, 1)::DOUBLE AS odds, (horse_id % 18 + 1)::INTEGER AS popularity,
+  (quantity::INTEGER + 400)::INTEGER AS weight, (umaban - 4)::INTEGER AS weight_change, count(*) OVER (PARTITION BY race_id)::INTEGER AS n_horses, horse_id::VARCHAR AS horse_id FROM kept""")
+def result_pages(spark, sf):
+    """The chain from pages: a result page for each order, its table's rows, named columns, cleaned results."""
+    names = ["position", "wakuban", "umaban", "sex_age", "carried", "odds", "popularity", "weight_text", "horse_id"]
+    q, u = F.col("quantity").cast("int"), F.col("umaban")
+    cells = [
+        F.when(F.col("flag") == "N", "除外").otherwise(u.cast("string")), F.col("wakuban"), u, F.concat(F.when(F.col("flag") == "A", "牡").otherwise("牝"), (q % 9).cast("string")),
+        F.expr(_CARRIED).cast("double"), F.round(F.expr(_ODDS), 1).cast("double"), F.col("horse_id") % 18 + 1, F.concat((q + 400).cast("string"), F.lit("("), F.format_string("%+d", u - 4), F.lit(")")), F.col("horse_id"),
+    ]
+    row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td> <td>", *[c.cast("string") for c in cells]), F.lit("</td></tr>"))
+    head = F.lit("<html><p>x</p><table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>")
+    rows = F.array_join(F.array_sort(F.collect_list(F.struct("umaban", row.alias("r"))))["r"], "\n")  # runners of one race
+    built = runners(spark, sf).groupBy(F.col("race_id").cast("string").alias("page_id")).agg(F.concat(head, rows, F.lit("</table></html>")).alias("html"))
+    raw = pages.main_table(pages.pages_to_tables(built), names).withColumnRenamed("page_id", "race_id")
+    return cleaning.clean_results(raw)
+
+
+@query(f"WITH {PAY} SELECT race_id::VARCHAR AS race_id, ticket_type, seq, array_to_string(win, ',') AS win, payout FROM pay")
+def payout_pages(spark, sf):
+    """The chain from pages: a payout page for each order, its tables' rows, parsed payouts."""
+    texts = payout_texts(runners(spark, sf))
+    cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("br"), F.lit("<br/>"))
+    row = F.concat(F.lit("<tr><th>"), F.col("kind"), F.lit("</th><td>"), cell(F.col("win")), F.lit("</td><td>"), cell(F.col("payout")), F.lit("</td></tr>"))
+    built = texts.groupBy(F.col("race_id").cast("string").alias("page_id")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
+    paid = parse_payouts(pages.create_return_rows(pages.pages_to_tables(built)))
+    return paid.withColumn("win", F.concat_ws(",", F.transform("win", lambda x: x.cast("string"))))
 
 
 NEW = "(SELECT o_orderkey, 'new' AS tag, o_totalprice * 2 AS price FROM orders WHERE o_orderkey % 3 = 0)"
