@@ -117,6 +117,8 @@ class Model:
     def shares(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Mean distribution over the words of every text (zeros without words), and the word counts."""
         total, counts = np.zeros((len(column), len(self.languages))), np.zeros(len(column), np.int64)
+        if not self.languages:
+            return total, np.diff(tokens(column)[2])
         for row, to, begins, p, _ in self.words(column):
             sums = np.zeros((len(p) + 1, p.shape[1]))
             np.cumsum(p, axis=0, out=sums[1:])
