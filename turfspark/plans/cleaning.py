@@ -4,10 +4,15 @@ from pyspark.sql import functions as F
 
 from ..functions import header, parsing
 from ..operators import cleaning
-from ..vocab import CONDITIONS, GROUND, PLACES, WEATHER
+from ..vocab import CLASSES, CONDITIONS, GROUND, PLACES, SEXES, WEATHER
 from .mapping import RUN, query, races, runners, table
 
 
+def _of(values, index: str):
+    """One of a list of texts by a number."""
+    return F.get(F.array(*map(F.lit, values)), F.expr(index).cast("int"))
+
+
 def _raw(spark, sf):
     q = F.col("l_quantity").cast("int")
     sign = F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-")
@@ -100,20 +105,34 @@ def clean_results(spark, sf):
     return cleaning.clean_results(raw).drop("carried", "odds", "popularity")
 
 
-@query("""SELECT l_orderkey, l_partkey, l_linenumber AS position, l_shipdate::DATE AS date, (l_linenumber < 4)::INTEGER AS rank, CASE q % 3 WHEN 0 THEN '芝' WHEN 1 THEN 'ダート' END AS race_type,
-  ((q * 50 + 1000) // 100)::INTEGER AS course_len, round((q % 3 + 1) * 60.0::DOUBLE + q % 60 + l_linenumber / 10.0::DOUBLE, 4) AS time, 0.0::DOUBLE AS margin, 0.0::DOUBLE AS prize, '05' AS place_code
-  FROM (SELECT *, l_quantity::INTEGER AS q FROM lineitem) WHERE l_returnflag <> 'N'""")
+def _history_sql() -> str:
+    code = "CASE o.p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in list(PLACES.items())[:10]) + " END"
+    return f"""WITH o AS (SELECT *, l_quantity::INTEGER AS q, l_linenumber AS u, {list(PLACES)[:10]}[l_orderkey % 10 + 1] AS p FROM lineitem),
+  c AS (SELECT *, {code} AS place_code, CASE WHEN q % 5 > 0 THEN (q % 17 + 1)::INTEGER END AS a, CASE WHEN q % 5 > 0 THEN (q % 11 + 1)::INTEGER END AS b FROM o)
+  SELECT l_partkey AS horse_id, l_shipdate::DATE AS date, l_orderkey::INTEGER AS R, place_code, {list(WEATHER)}[l_orderkey % 6 + 1] AS weather, (u + 9)::INTEGER AS n_horses, CASE WHEN u % 3 > 0 THEN u END::INTEGER AS wakuban,
+    (u * 2)::INTEGER AS umaban, round(1 + l_discount * 10, 1) AS odds, CASE WHEN u <> 5 THEN u END::INTEGER AS popularity, u::INTEGER AS position, (u < 4)::INTEGER AS rank, (50 + u * 0.5)::DOUBLE AS carried,
+    CASE q % 3 WHEN 0 THEN '芝' WHEN 1 THEN 'ダート' END AS race_type, ((q * 50 + 1000) // 100)::INTEGER AS course_len, {list(GROUND)}[l_orderkey % 4 + 1] AS ground_state,
+    round((q % 3 + 1) * 60.0::DOUBLE + q % 60 + u / 10.0::DOUBLE, 4) AS time, CASE WHEN u <> 6 THEN greatest(round(l_tax - 0.04, 2), 0) END::DOUBLE AS margin, a AS first_corner, b AS final_corner,
+    (b - u)::INTEGER AS final_to_rank, (a - u)::INTEGER AS first_to_rank, a - b AS first_to_final, round(30 + q / 10.0, 1)::DOUBLE AS last_3f, CASE WHEN q >= 20 THEN l_extendedprice ELSE 0 END::DOUBLE AS prize
+  FROM c WHERE l_returnflag <> 'N'"""
+
+
+@query(_history_sql())
 def clean_history(spark, sf):
-    raw = table(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("horse_id"), F.date_format("l_shipdate", "yyyy/MM/dd").alias("date_text"), F.lit("1東京3").alias("place_text"), F.lit("晴").alias("weather"),
-        F.col("l_orderkey").cast("int").alias("R"), F.lit(9).alias("n_horses"), F.lit(float("nan")).alias("wakuban"), F.lit(1).alias("umaban"), F.lit(2.5).alias("odds"), F.lit(float("nan")).alias("popularity"),
-        F.when(F.col("l_returnflag") == "N", "中止").otherwise(F.col("l_linenumber").cast("string")).alias("position"), F.lit(55.0).alias("carried"),
-        F.concat(F.when(F.col("l_quantity").cast("int") % 3 == 0, "芝").when(F.col("l_quantity").cast("int") % 3 == 1, "ダ").otherwise("謎"), (F.col("l_quantity").cast("int") * 50 + 1000).cast("string")).alias("course_text"),
-        F.lit("良").alias("ground_state"), F.concat((F.col("l_quantity").cast("int") % 3 + 1).cast("string"), F.lit("."), F.lpad((F.col("l_quantity").cast("int") % 60).cast("string"), 2, "0"), F.lit("."), F.col("l_linenumber").cast("string")).alias("time_text"),
-        F.lit(-0.2).alias("margin"), F.lit("3-2").alias("corner_text"), F.lit(34.5).alias("last_3f"), F.lit(float("nan")).alias("prize"),
+    q, u, nan = F.col("q"), F.col("l_linenumber"), F.lit(float("nan"))
+    more = table(spark, sf, "lineitem").withColumn("q", F.col("l_quantity").cast("int"))
+    raw = more.select(
+        F.col("l_partkey").alias("horse_id"), F.date_format("l_shipdate", "yyyy/MM/dd").alias("date_text"), F.concat(F.lit("1"), _of(list(PLACES)[:10], "l_orderkey % 10"), F.lit("3")).alias("place_text"),
+        _of(WEATHER, "l_orderkey % 6").alias("weather"), F.col("l_orderkey").cast("int").alias("R"), (u + 9).cast("int").alias("n_horses"), F.when(u % 3 > 0, u.cast("double")).otherwise(nan).alias("wakuban"),
+        (u * 2).cast("int").alias("umaban"), F.round(F.lit(1.0) + F.col("l_discount") * 10, 1).alias("odds"), F.when(u == 5, nan).otherwise(u.cast("double")).alias("popularity"),
+        F.when(F.col("l_returnflag") == "N", "中止").otherwise(u.cast("string")).alias("position"), (50 + u * 0.5).alias("carried"),
+        F.concat(F.when(q % 3 == 0, "芝").when(q % 3 == 1, "ダ").otherwise("謎"), (q * 50 + 1000).cast("string")).alias("course_text"), _of(GROUND, "l_orderkey % 4").alias("ground_state"),
+        F.concat((q % 3 + 1).cast("string"), F.lit("."), F.lpad((q % 60).cast("string"), 2, "0"), F.lit("."), u.cast("string")).alias("time_text"),
+        F.when(u == 6, nan).otherwise(F.round(F.col("l_tax") - 0.04, 2)).alias("margin"),
+        F.when(q % 5 > 0, F.concat_ws("-", (q % 17 + 1).cast("string"), (q % 13 + 1).cast("string"), (q % 11 + 1).cast("string"))).alias("corner_text"), F.round(F.lit(30.0) + q / 10, 1).alias("last_3f"),
+        F.when(q < 20, nan).otherwise(F.col("l_extendedprice")).alias("prize"),
     )
-    out = cleaning.clean_history(raw)
-    return out.select(F.col("R").cast("long").alias("l_orderkey"), F.col("horse_id").alias("l_partkey"), "position", "date", "rank", "race_type", "course_len", F.round("time", 4).alias("time"), "margin", "prize", "place_code")
+    return cleaning.clean_history(raw).withColumn("time", F.round("time", 4))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS date, ((1000 + o_orderkey % 1500) // 100)::INTEGER AS course_len, (o_orderkey % 10 + 1)::INTEGER AS place_id FROM orders")
@@ -169,15 +188,43 @@ def race_class_label(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", header.race_class(text, grade).alias("race_class"))
 
 
-@query("""SELECT o_orderkey, (1000 + 100 * (o_orderkey % 20))::INTEGER AS course_len, CASE o_orderkey % 2 WHEN 0 THEN '晴' ELSE '小雨' END AS weather, '10:05' AS time, o_orderdate::DATE AS date,
-  3 AS days, 1 AS times, '東京' AS place, '05' AS place_id, '右' AS around, '良' AS ground_state1, '良' AS ground_state2, CASE WHEN o_orderkey % 2 = 0 THEN '3' ELSE '4+' END AS age, '牝' AS sex,
-  '未勝利' AS race_class, 0 AS kokusai, 1 AS shitei, 1 AS kongo, 1 AS barei FROM orders""")
+_AGES, _SURFACES, _HEADER_WORDS = ("2歳", "3歳", "4歳以上"), ("芝", "ダート", "障芝"), ["(国際)", "[指]", "(特指)", "ハンデ", "定量", "牝", "(混)", "九州産馬"]
+_PLACE_NAMES = list(PLACES)[:10]
+
+
+def _sql_of(values, index: str) -> str:
+    return f"({list(values)})[({index.replace(' div ', ' // ')}) + 1]"
+
+
+def _header_sql() -> str:
+    words = " || ".join(f"CASE WHEN ((o_orderkey // 3) & {1 << i}) > 0 THEN '{w}' ELSE '' END" for i, w in enumerate(_HEADER_WORDS))
+    names, inner = [], f"""SELECT *, {_sql_of(_AGES, 'o_orderkey % 3')} || {_sql_of(CLASSES, 'o_orderkey % 11')} || ' ' || {words} AS t, t AS whole FROM orders"""
+    for word, name in CONDITIONS.items():
+        inner = f"SELECT * EXCLUDE (t), contains(t, '{word}')::INTEGER AS {name}, replace(t, '{word}', '') AS t FROM ({inner})"
+        names.append(name)
+    rest = "regexp_replace(trim(t), '[0-9]+歳(以上)?', '', 'g')"
+    for w in (*SEXES, *sorted(CLASSES, key=len, reverse=True), "()", "[]"):
+        rest = f"replace({rest}, '{w}', '')"
+    return f"""SELECT o_orderkey, (1000 + 100 * (o_orderkey % 20))::INTEGER AS course_len, {_sql_of(WEATHER, 'o_orderkey % 6')} AS weather, {_sql_of(_SURFACES, 'o_orderkey % 3')} AS race_type,
+      (9 + o_orderkey % 8)::VARCHAR || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS time, o_orderdate::DATE AS date, (1 + o_orderkey % 12)::INTEGER AS days, (1 + o_orderkey % 5)::INTEGER AS times,
+      {_sql_of(_PLACE_NAMES, 'o_orderkey % 10')} AS place, lpad((1 + o_orderkey % 10)::VARCHAR, 2, '0') AS place_id, CASE WHEN o_orderkey % 3 = 2 THEN '直線' WHEN o_orderkey % 2 = 0 THEN '右' ELSE '左' END AS around,
+      {_sql_of(GROUND, 'o_orderkey % 4')} AS ground_state1, CASE WHEN o_orderkey % 3 = 2 THEN {_sql_of(GROUND, '(o_orderkey // 4) % 4')} ELSE {_sql_of(GROUND, 'o_orderkey % 4')} END AS ground_state2,
+      {_sql_of(('2', '3', '4+'), 'o_orderkey % 3')} AS age, CASE WHEN contains(whole, '牝') THEN '牝' END AS sex, {_sql_of(CLASSES, 'o_orderkey % 11')} AS race_class, {", ".join(names)},
+      nullif(trim(regexp_replace({rest}, '\\s+', ' ', 'g')), '') AS race_condition FROM ({inner})"""
+
+
+@query(_header_sql())
 def parse_race_header(spark, sf):
     k = F.col("o_orderkey")
-    one = F.concat(F.lit("芝右"), (1000 + 100 * (k % 20)).cast("string"), F.lit("m / 天候 : "), F.when(k % 2 == 0, "晴").otherwise("小雨"), F.lit(" / 芝 : 良 / 発走 : 10:05"))
-    two = F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit(" 1回東京3日目 "), F.when(k % 2 == 0, "3歳").otherwise("4歳以上"), F.lit("未勝利 牝(混)[指](馬齢)"))
-    out = header.parse_race_header(table(spark, sf, "orders").select("o_orderkey", one.alias("text1"), two.alias("text2")))
-    return out.select("o_orderkey", "course_len", "weather", "time", "date", "days", "times", "place", "place_id", "around", "ground_state1", "ground_state2", "age", "sex", "race_class", "kokusai", "shitei", "kongo", "barei")
+    surface, ground = _of(_SURFACES, "o_orderkey % 3"), _of(GROUND, "o_orderkey % 4")
+    course = F.concat(_of(("芝", "ダ", "障芝"), "o_orderkey % 3"), _of(("右", "左"), "o_orderkey % 2"), (1000 + 100 * (k % 20)).cast("string"), F.lit("m"))
+    state = F.concat(surface, F.lit(" : "), ground, F.when(k % 3 == 2, F.concat(F.lit(" ダート : "), _of(GROUND, "(o_orderkey div 4) % 4"))).otherwise(""))
+    post = F.concat((9 + k % 8).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))
+    words = [F.when(F.expr(f"(o_orderkey div 3) & {1 << i}") > 0, w) for i, w in enumerate(_HEADER_WORDS)]
+    one = F.concat(course, F.lit(" / 天候 : "), _of(WEATHER, "o_orderkey % 6"), F.lit(" / "), state, F.lit(" / 発走 : "), post)
+    meeting = F.concat((1 + k % 5).cast("string"), F.lit("回"), _of(_PLACE_NAMES, "o_orderkey % 10"), (1 + k % 12).cast("string"), F.lit("日目"))
+    two = F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit(" "), meeting, F.lit(" "), _of(_AGES, "o_orderkey % 3"), _of(CLASSES, "o_orderkey % 11"), F.lit(" "), F.concat_ws("", *words))
+    return header.parse_race_header(table(spark, sf, "orders").select("o_orderkey", one.alias("text1"), two.alias("text2"))).drop("text1", "text2")
 
 
 @query("""SELECT o_orderkey, (1000 + 100 * (o_orderkey % 20))::INTEGER AS course_len, '曇' AS weather, CASE WHEN o_orderkey % 2 = 0 THEN '稍重' ELSE '良' END AS ground_state,
