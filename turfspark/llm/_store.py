@@ -43,9 +43,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes, since texts may be long: where the session leaves the
-    bound at Spark's own 64 MB, it's lowered, so that what a task holds stays small beside its heap."""
-    conf = df.sparkSession.conf
-    if conf.get(_LIMIT, "64MB").lower() in ("64mb", "64m", "67108864b", "67108864"):
-        conf.set(_LIMIT, BATCH_BYTES)
+    """``mapInArrow`` with batches bounded by bytes, since texts may be long: where neither the cluster nor the session
+    sets another bound than Spark's own 64 MB, the session's is lowered to ``BATCH_BYTES``, so that what a task holds
+    stays small beside its heap. A bound given when the session's context was started is left alone."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(_LIMIT) and spark.conf.get(_LIMIT, "64MB").lower() in ("64mb", "64m", "67108864b", "67108864"):
+        spark.conf.set(_LIMIT, BATCH_BYTES)
     return df.mapInArrow(run, schema)
