@@ -80,21 +80,23 @@ def threshold_sweep(scores: DataFrame, payouts: DataFrame, thresholds: list[floa
     each threshold and ticket type. The deviation comes from sums of squares."""
     thresholds = sorted(threshold_grid() if thresholds is None else thresholds)
     grid, n_grid = F.array(*map(F.lit, thresholds)), len(thresholds)
+    upto = lambda score: F.size(F.filter(grid, lambda t: t <= score))
     runner = F.struct("umaban", "wakuban", F.col("score").cast("double").alias("score"))
     races = scores.filter(F.col("score").isNotNull()).groupBy("race_id").agg(F.collect_list(runner).alias("runners"), F.max("wakuban_flag").alias("flag"))
     levels = F.array_sort(F.filter(F.array_distinct(F.transform("runners", lambda r: r["score"])), lambda s: s >= min(thresholds)))
-    reached = F.transform(levels, lambda s: F.size(F.filter(grid, lambda t: t <= s)))  # thresholds up to each level
-    races = races.withColumns({"levels": levels, "reached": reached}).filter(F.size("levels") > 0)
+    races = races.withColumn("levels", levels).filter(F.size("levels") > 0)
     wins = payouts.groupBy("race_id", "ticket_type").agg(F.collect_list(F.struct("win", "payout")).alias("won"))
     wins = wins.groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct("ticket_type", "won"))).alias("all_won"))
     none = F.array().cast(wins.schema["all_won"].dataType.valueType)
-    step = F.explode(F.sequence(F.lit(0), F.size("levels") - 1))
-    steps = races.join(wins, "race_id", "left").select("runners", "flag", "all_won", "levels", "reached", step.alias("k"))
-    from_, to = F.when(F.col("k") == 0, 0).otherwise(F.get("reached", F.col("k") - 1)), F.get("reached", F.col("k"))
-    steps = steps.select("runners", "flag", "all_won", F.get("levels", F.col("k")).alias("level"), from_.alias("begin"), to.alias("end")).filter("begin < end")
+    pair = F.transform("levels", lambda s, i: F.struct(s.alias("level"), F.when(i > 0, F.get("levels", i - 1)).alias("below")))
+    steps = races.join(wins, "race_id", "left").select("runners", "flag", "all_won", F.explode(pair).alias("s"))
+    below = F.when(F.col("s.below").isNull(), 0).otherwise(upto(F.col("s.below")))
+    steps = steps.select("runners", "flag", "all_won", F.col("s.level").alias("level"), below.alias("begin"), upto(F.col("s.level")).alias("end")).filter("begin < end")
+    picked = {f"_{c}": picks_from(F.col("runners"), F.col("level"), t) for c, t in (("umaban", "tansho"), ("wakuban", "wakuren"))}
+    steps = steps.withColumns(picked).drop("runners", "level")
     settled = []
     for t in tickets:
-        picks = picks_from(F.col("runners"), F.col("level"), t)
+        picks = F.col("_wakuban" if t == "wakuren" else "_umaban")
         won = F.coalesce(F.get(F.array(F.element_at("all_won", F.lit(t))), F.lit(0)), none)
         n = n_tickets(F.lit(t), picks)
         back = (returned(won, lambda win, picks=picks: covers(picks, win)) * amount / 100).cast("double")
@@ -106,8 +108,8 @@ def threshold_sweep(scores: DataFrame, payouts: DataFrame, thresholds: list[floa
     sign, values = F.col("sign"), {"n_bets": F.col("n"), "n_races": F.lit(1), "n_hits": (F.col("back") > 0).cast("int"), "_back": F.col("back"), "_squares": F.col("back") * F.col("back")}
     moved = moved.groupBy("ticket_type", "i").agg(*[F.sum(sign * v).alias(c) for c, v in values.items()])
     every = scores.sparkSession.createDataFrame([(t, i, thresholds[i]) for t in tickets for i in range(n_grid)], "ticket_type string, i int, threshold double")
-    upto = Window.partitionBy("ticket_type").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # a row for each threshold
-    sums = every.join(moved, ["ticket_type", "i"], "left").select("ticket_type", "threshold", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in values])
+    so_far = Window.partitionBy("ticket_type").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # a row for each threshold
+    sums = every.join(moved, ["ticket_type", "i"], "left").select("ticket_type", "threshold", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in values])
     total, n = F.col("n_bets") * amount, F.col("n_races")
     variance = F.try_divide(F.col("_squares") - F.try_divide(F.col("_back") * F.col("_back"), n), n - 1)
     deviation = F.sqrt(F.when(variance < 0, 0.0).otherwise(variance))
