@@ -74,6 +74,7 @@ def test_long_segments_windows_and_blocks(monkeypatch):
     for x in runs:
         check(x)
     monkeypatch.setattr(S, "BLOCK", 50)
+    monkeypatch.setattr(S, "BATCH", 20)
     monkeypatch.setattr(S, "WINDOW", 7)
     monkeypatch.setattr(S, "LONG", 9)
     for x in [*runs, *ODD]:

@@ -10,8 +10,8 @@ the vocabulary. What is compiled and composed:
 * for BPE models the pairs P: an acceptor of pieces that remembers the last one.
 
 N and L are composed beforehand: wherever L reads a space mark, the machine reads a space as well. Texts are
-composed with it array-wise: all states of all distinct segments advance together, a byte at a step, which
-gives the lattice of a batch; the tropical shortest path is found for all segments together too, by end
+composed with it array-wise: all states of the distinct segments of a batch advance together, a byte at a step,
+which gives their lattice; the tropical shortest path is found for all segments together too, by end
 position. An arc of a unigram model weighs minus its piece's score. The encoding of a BPE model isn't a path
 with the best sum of scores but the one on which merging leaves every two adjacent pieces apart; so P gives
 such pairs weight 0 and others infinity. Whether a pair stays apart follows from undoing its merges from the
@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from ._store import map_batches
 from ._text import SpanHasher, buffers, sliced
 
-SPACE, LONG, BLOCK, SLICE, WINDOW = "▁", 255, 4 << 20, 4 << 20, 1 << 16
+SPACE, LONG, BLOCK, SLICE, BATCH, WINDOW = "▁", 255, 2 << 20, 2 << 20, 512 << 10, 1 << 16
 _BPE, _UNIGRAM = 2, 1
 _MEMO = 19
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -389,7 +389,13 @@ class Transducer:
         _, one, number = np.unique(SpanHasher(data)(starts, bounds[1:]), return_index=True, return_inverse=True)
         short = sizes[one] <= LONG
         s, n = starts[one[short]], sizes[one[short]]
-        flat, counts = self.paths(data[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())], n)
+        ends, at, found = np.cumsum(n), 0, [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        while at < len(n):  # lattices take a hundred bytes or so for each of their text
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + BATCH, "right")))
+            m = n[at:to]
+            found.append(self.paths(data[np.repeat(s[at:to] - (np.cumsum(m) - m), m) + np.arange(m.sum())], m))
+            at = to
+        flat, counts = (np.concatenate(x) for x in zip(*found, strict=True))
         size = np.zeros(len(one), np.int64)
         size[short] = counts
         begin = np.zeros(len(one), np.int64)
