@@ -28,6 +28,38 @@ def test_encoder_equals_library(texts):
         assert got.tolist() == TOK.encode(t, add_special_tokens=False).ids
 
 
+#: Texts that end in white space, before texts that begin with anything.
+ENDS = ["\n\n", "1", "a \n\n", "b", "  ", "c\t\t", " d", "e\u3000\u3000", "é", "\r\n\r\n", "'s", "f\n \n", "", "g  ", "!", " \n"]
+
+
+def test_white_space_at_text_ends():
+    e = T.Encoder(PATH)
+    for got, t in zip(e(["\n\n", "1"]), ["\n\n", "1"], strict=True):
+        assert got.tolist() == TOK.encode(t, add_special_tokens=False).ids
+    for texts in (ENDS, ENDS[::-1], [x for pair in zip(ENDS, ENDS[5:] + ENDS[:5], strict=True) for x in pair]):
+        for got, t in zip(e(texts), texts, strict=True):
+            assert got.tolist() == TOK.encode(t, add_special_tokens=False).ids, t
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab's1 \n\t\r.é\u3000"), max_size=8), max_size=8))
+def test_texts_encode_alike_together_and_singly(texts):
+    for got, t in zip(ENCODER(texts), texts, strict=True):
+        assert got.tolist() == ENCODER([t])[0].tolist() == TOK.encode(t, add_special_tokens=False).ids
+
+
+def test_text_ends_over_slices_and_partitions(spark):
+    texts = [("w" * (i % 7) + e) * (1 + i % 3) for i in range(40) for e in ENDS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for part_bytes in (300, 1 << 20):
+        got = {r.doc_id: r for r in T.read(T.write(docs, scratch_path(spark, "tokens"), PATH, part_bytes=part_bytes)).collect()}
+        start = 0
+        for i, t in enumerate(texts):
+            ids = np.array([*TOK.encode(t, add_special_tokens=False).ids, 2], "<u4")
+            assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+            start += len(ids)
+
+
 def test_files_and_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     extra = spark.createDataFrame([(10_000_000, t, "s") for t in ODD] + [(None, None, "t"), (-5, None, "t")], docs.schema)

@@ -154,8 +154,8 @@ class Encoder:
             cut[1:-1] = (a != b) & (a > 0) & (b > 0) & (a != 3) & (b != 3) & (data[:-1] != 39)
             begins = space[1:] & ~space[:-1]  # white space is a pre-token's beginning
             cut[1:-1] |= begins
-            # of white space before a word the last character stands alone, or with the word if it's a space
-            last = np.flatnonzero(space[:-1] & ~space[1:] & (a == 3))
+            # of white space before a word of the same text the last character stands alone, or with the word if it's a space
+            last = np.setdiff1d(np.flatnonzero(space[:-1] & ~space[1:] & (a == 3)), offsets - 1)
             cut[last[data[last] != 32] + 1] = True
             cut[last[(last > 0) & space[np.maximum(last - 1, 0)]]] = True
         for token in self.added:
