@@ -100,3 +100,17 @@ def test_long_texts_and_templates_of_a_folder(spark, tmp_path):
     docs = spark.createDataFrame([(1, text, 5), (1, text, 5), (2, None, 5)], "doc_id long, text string, row int")
     assert [tuple(r)[:4] for r in L.scan(docs, own).collect()] == [(1, "Own-1.0", "full", 1.0)]
     assert L.scan(docs, []).count() == 0
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    """Each by its own text; rows equal in id and text count once."""
+    a, b = L._MIT + " " + L._MIT_AS_IS, "This project is released under the MIT License. And more follow, at length."
+    rows = [(None, a), (None, b), (None, b), (None, None), (7, a), (7, a), (7, b), (8, "nothing")]
+    got = L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, *r[1:]) for i, t in [(None, a), (None, b), (7, a), (7, b)] for r in brute([(1, t)])]
+    key = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and len({x[0] for x in want}) == 2
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(con.sql(L.ORACLE_SQL).fetchall(), key=key) == sorted(want, key=key)

@@ -19,9 +19,10 @@ t / (2 - t) and (2 - t) / t times the template's, which prunes units by the numb
 list, are read from a folder by ``read_templates``.
 
 Edge cases: null, empty and word-less texts match nothing; a unit or template of one word has no bigram and
-matches nothing; repeated rows and equal units of a document count once; a document may match several
-templates, each a row with its best unit; an empty table gives no rows. Other columns, whatever their names, are
-ignored. Ids must be numbers, or texts of numbers.
+matches nothing; rows equal in id and text, and equal units of a document, count once; rows without an id are
+documents of their own where their texts differ, and so are rows that share an id but not a text; a document may
+match several templates, each a row with its best unit; an empty table gives no rows. Other columns, whatever their
+names, are ignored. Ids must be numbers, or texts of numbers.
 """
 
 import re
@@ -194,8 +195,8 @@ def scan(
     long, short = [w for w in words if len(w) > 3], [w for w in words if len(w) < 4]
     tests = [lambda t, w=w: F.contains(t, F.lit(w)) for w in long] + ([lambda t: t.rlike(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])")] if short else [])
     possible = let(F.lower(text), lambda t: reduce(lambda a, b: a | b, [f(t) for f in tests]))
-    rows = docs.filter(possible).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = materialise(rows, "licences")  # the few texts that may match, under fixed row numbers
+    rows = docs.filter(possible).select(F.col(id_col).cast("long").alias("id"), text.alias("text")).distinct()
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "licences")  # the few texts that may match, under fixed row numbers
     grams = rows.select("row", F.explode_outer(bigrams(F.split(normalised(F.col("text")), " "))).alias("gram")).withColumn("hash", F.xxhash64("gram"))
     each = known.select("number", "size", F.explode("grams").alias("known_gram")).withColumn("known_hash", F.xxhash64("known_gram"))
     few = sum(len(t.split()) for _, _, t in given) <= MAX_BROADCAST  # a bound on the bigrams
@@ -203,10 +204,10 @@ def scan(
     enough = F.col("shared") >= threshold / (2 - threshold) * F.col("size") - 1e-9
     found = hits.groupBy("row", "number", "size").agg(F.count("*").alias("shared")).filter(enough).select("row", "number")
     cut = rows.join(found, "row").withColumn("segments", segments(F.col("text"))).drop("text")
-    cut = cut.select("id", "number", "segments", beginnings(F.col("segments")).alias("begins"))
+    cut = cut.select("row", "id", "number", "segments", beginnings(F.col("segments")).alias("begins"))
     pairs = cut.join(F.broadcast(known) if few else known, "number")
-    best = pairs.select("id", "license", "part", best_unit(F.col("segments"), F.col("begins"), F.col("grams"), F.col("size"), threshold).alias("b"))
-    best = best.filter(F.col("b.dice") >= threshold).groupBy("id", "license", "part").agg(F.max("b").alias("b"))
+    best = pairs.select("row", "id", "license", "part", best_unit(F.col("segments"), F.col("begins"), F.col("grams"), F.col("size"), threshold).alias("b"))
+    best = best.filter(F.col("b.dice") >= threshold).groupBy("row", "id", "license", "part").agg(F.max("b").alias("b"))
     return best.select(F.col("id").alias(id_col), "license", "part", "b.dice", "b.unit_bigrams")
 
 
@@ -227,11 +228,11 @@ gram AS (SELECT DISTINCT r, unnest(list_transform(range(1, len(w)), lambda i: w[
 each_gram AS (SELECT license, part, len(g) AS m, unnest(g) AS x FROM template),
 cand AS (SELECT r, license, part FROM gram JOIN each_gram USING (x) GROUP BY r, license, part, m HAVING count(*) >= {THRESHOLD / (2 - THRESHOLD)} * m - 1e-9),
 run AS (
-  SELECT doc_id, license, part, g, w, begins.a, ends.z
+  SELECT r, doc_id, license, part, g, w, begins.a, ends.z
   FROM cand JOIN word USING (r) JOIN template USING (license, part), unnest(b[:len(b) - 1]) AS begins(a), unnest(b[2:]) AS ends(z)
   WHERE ends.z - begins.a - 1 BETWEEN {THRESHOLD / (2 - THRESHOLD)} * len(g) - 1e-9 AND {(2 - THRESHOLD) / THRESHOLD} * len(g) + 1e-9),
-unit AS (SELECT doc_id, license, part, g, list_distinct(list_transform(range(a + 1, z), lambda i: w[i] || ' ' || w[i + 1])) AS u FROM run),
-pair AS (SELECT doc_id, license, part, round(2.0 * len(list_intersect(u, g)) / (len(u) + len(g)), 6) AS dice, len(u) AS n FROM unit)
+unit AS (SELECT r, doc_id, license, part, g, list_distinct(list_transform(range(a + 1, z), lambda i: w[i] || ' ' || w[i + 1])) AS u FROM run),
+pair AS (SELECT r, doc_id, license, part, round(2.0 * len(list_intersect(u, g)) / (len(u) + len(g)), 6) AS dice, len(u) AS n FROM unit)
 SELECT doc_id, license, part, max(dice)::DOUBLE AS dice, arg_max(n, dice * 1e6 + n / 1e6)::INTEGER AS unit_bigrams
-FROM pair WHERE dice >= {THRESHOLD} GROUP BY doc_id, license, part
+FROM pair WHERE dice >= {THRESHOLD} GROUP BY r, doc_id, license, part
 """
