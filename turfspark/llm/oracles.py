@@ -23,4 +23,15 @@ SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN payloa
   CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to, url FROM best
 """
 
-SQL = {"op1_decontam": DECONTAM, "op5_warc": WARC, "op6_licenses": licenses.ORACLE_SQL}
+FIM = """
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+drawn AS (SELECT doc_id, t, n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS h FROM doc),
+cut AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS z,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+part AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, z - a) AS middle, substring(t, z + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN z - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM part
+"""
+
+SQL = {"op1_decontam": DECONTAM, "op5_warc": WARC, "op6_licenses": licenses.ORACLE_SQL, "op13_fim": FIM}
