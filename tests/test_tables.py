@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from turfspark.functions.ordering import numbered, ranged, running_totals
+from turfspark.functions.ordering import grouped_totals, numbered, ranged, running_totals
 from turfspark.operators import features, ml, policies, splitting
 from turfspark.sources import pages, tables
 from turfspark.streaming import raceday
@@ -170,3 +170,16 @@ def test_thresholds_come_from_the_scores(spark):
     s = spark.createDataFrame([(1.0,), (3.0,), (None,)], "score double")
     assert [r.threshold for r in policies.thresholds_of(s, 4).orderBy("i").collect()] == [1.0, 1.5, 2.0, 2.5]
     assert policies.thresholds_of(s.filter("score > 9"), 4).count() == 0
+
+
+def test_sums_within_groups_that_cross_ranges(spark):
+    """Also with null groups and orders, and groups that fill many ranges."""
+    rows = [(None if i % 7 == 0 else 5 if i % 3 else i, None if i % 11 == 0 else i * 37 % 101, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, o int, v long").repartition(7)
+    got = {r.v: (r.n, r.s) for r in grouped_totals(df, ["g"], ["o", "v"], {"n": F.lit(1), "s": F.col("v")}, part_rows=20).collect()}
+    seen = {}
+    for g, _, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        n, s = seen.get(g, (0, 0))
+        assert got[v] == (n, s)
+        seen[g] = (n + 1, s + v)
+    assert len(got) == 300 and grouped_totals(df.limit(0), ["g"], ["o"], {"n": F.lit(1)}).count() == 0
