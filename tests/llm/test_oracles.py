@@ -7,7 +7,7 @@ from turfspark.llm import queries as Q
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = Q.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)

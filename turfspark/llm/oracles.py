@@ -34,4 +34,21 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(t) AS restored_sha256 FROM part
 """
 
-SQL = {"op1_decontam": DECONTAM, "op5_warc": WARC, "op6_licenses": licenses.ORACLE_SQL, "op13_fim": FIM}
+TRIE = """
+WITH turn AS (SELECT conv_id AS c, {'r': r, 'x': x} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || x)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+conv AS (SELECT c, list(t ORDER BY i) AS s FROM turn GROUP BY c),
+byte AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS crc FROM range(256) t(i)),
+hashed AS (SELECT c, s, xor(list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+  lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM conv, byte),
+built AS (SELECT a.c, coalesce(b.s[1:a.h], []) || a.s[a.h + 1:] AS s FROM hashed a LEFT JOIN conv b ON b.c = a.c - a.c % 5),
+member AS (SELECT c, s[1:d] AS p, d, d = len(s) AS ends FROM built, unnest(range(0, len(s) + 1)) AS u(d)),
+node AS (SELECT p, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS e FROM member GROUP BY p, d),
+child AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+own AS (SELECT node.*, coalesce(child.n, 0) AS kids, CASE WHEN d = 0 THEN 0 ELSE (node.n - 1) * strlen(p[d].x) END AS gain FROM node LEFT JOIN child USING (p)),
+below AS (SELECT p[1:u.e] AS p, sum((kids = 0)::BIGINT)::BIGINT AS leaves, sum(gain)::BIGINT AS saved FROM own, unnest(range(0, d + 1)) AS u(e) GROUP BY 1)
+SELECT own.c AS conv_id, own.d AS depth, up.c AS parent_conv_id, own.n AS n_convs, own.kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, own.e AS ends_sha256
+FROM own JOIN below USING (p) LEFT JOIN node up ON own.d > 0 AND up.p = own.p[1:own.d - 1]
+"""
+
+SQL = {"op1_decontam": DECONTAM, "op5_warc": WARC, "op6_licenses": licenses.ORACLE_SQL, "op12_trie": TRIE, "op13_fim": FIM}

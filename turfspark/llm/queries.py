@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, digest, fim, langid, licenses, oracles, quality, sentencepiece_fst, sharding, simhash, tokenbin, toxicity, warc
+from . import decontam, digest, fim, langid, licenses, oracles, quality, sentencepiece_fst, sharding, simhash, tokenbin, toxicity, trie, warc
 from ._store import scratch_path
 
 
@@ -56,6 +56,10 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), trie.spliced)
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.round_trip(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     registered = (
         op1_decontam, op2_sharding, op3_sentencepiece, op4_langid, op5_warc, op6_licenses, op7_simhash, op8_toxicity, op9_token_files, op10_digest,
-        op11_quality, op13_fim,
+        op11_quality, op12_trie, op13_fim,
     )
     return {f.__name__: f for f in registered}
 
