@@ -1,10 +1,11 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from turfspark.functions.ordering import grouped_totals, numbered, ranged, running_totals
 from turfspark.operators import features, ml, policies, splitting
-from turfspark.sources import pages, tables
+from turfspark.sources import page_files, pages, tables
 from turfspark.streaming import raceday
 
 HTML = """<table><tr><th>着順</th><th>馬名</th></tr><tr><td>1</td><td><a href="/horse/2019101234/">A &amp; B</a><table><tr><td>in</td></tr></table></td></tr></table>
@@ -24,7 +25,7 @@ def test_page_tables(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "2024").mkdir()
     (tmp_path / "2024" / "202401010101.bin").write_bytes("<p>é</p>".encode())
-    assert [tuple(r) for r in tables.read_pages(spark, str(tmp_path)).collect()] == [("202401010101", "<p>é</p>")]
+    assert [tuple(r) for r in tables.read_pages(spark, str(tmp_path)).collect()] == [("202401010101", "<p>é</p>", "utf-8", False)]
     (tmp_path / "s.txt").write_text("14:15,202410020109\n09:50,202410020101\n")
     assert {r.race_id for r in tables.read_schedule(spark, str(tmp_path / "s.txt")).collect()} == {"202410020109", "202410020101"}
     df = spark.createDataFrame([("00666", 1)], "jockey_id string, `0` int")
@@ -119,10 +120,80 @@ def test_stream_scores_new_cards_once(spark, tmp_path):
 
 
 def test_pages_are_files_named_by_their_key(spark, tmp_path):
-    df = spark.createDataFrame([(12, "<p>é</p>"), (13, None), (14, "x\ny")], "page_id long, html string").repartition(2)
+    df = spark.createDataFrame([(12, "<p>é</p>"), (13, None), (14, "x\ny"), (14, "x"), (14, None), (15, "")], "page_id long, html string").repartition(2)
     to = str(tmp_path / "a folder" / "pages")
-    assert tables.write_pages(df, to) == 3 == tables.write_pages(df, to)
-    assert sorted(map(tuple, tables.read_pages(spark, to).collect())) == [("12", "<p>é</p>"), ("14", "x\ny")]  # Spark skips empty files
+    assert tables.write_pages(df, to) == 4 == tables.write_pages(df, to)
+    got = sorted(map(tuple, tables.read_pages(spark, to).select("page_id", "html").collect()))
+    assert got == [("12", "<p>é</p>"), ("13", ""), ("14", "x\ny"), ("15", "")]
+    with pytest.raises(Exception, match="no key"):
+        tables.write_pages(df.union(spark.createDataFrame([(None, "x")], df.schema)), to)
+
+
+JP = "<html><head>{}</head><td>馬番 着順 ｱｲｳ</td></html>"
+SAVED = {
+    "bom8": (b"\xef\xbb\xbf" + JP.encode(), "utf-8", False), "bom16": (b"\xff\xfe" + JP.encode("utf-16-le"), "utf-16-le", False),
+    "euc": (JP.format("<meta charset='EUC-JP'>").encode("euc_jp"), "euc_jp", False),
+    "sjis": (JP.format('<META http-equiv="Content-Type" content="text/html; charset=Shift_JIS">').encode("cp932"), "cp932", False),
+    "tried_euc": (JP.replace("ｱｲｳ", "").encode("euc_jp"), "euc_jp", False), "tried_sjis": (JP.encode("cp932"), "cp932", False),
+    "latin": (JP.replace("馬番 着順 ｱｲｳ", "é").format('<meta charset="iso-8859-1">').encode("latin1"), "cp1252", False),
+    "unknown": (JP.format("<meta charset=none-such>").encode(), "utf-8", False), "wide": (JP.format("<meta charset=utf-16>").encode(), "utf-8", False),
+    "bad": (b"<meta charset=utf-8>ok \xff\xfe end", "utf-8", True), "worse": (b"a \xff\x81", "utf-8", True), "empty": (b"", "utf-8", False),
+    "two.dots": (b"x", "utf-8", False),
+}
+
+
+def saved(folder, names=None):
+    for name in names or SAVED:
+        to = folder / ("deep" if len(name) % 2 else ".") / f"{name}.bin"
+        to.parent.mkdir(parents=True, exist_ok=True)
+        to.write_bytes(SAVED[name][0])
+
+
+def test_pages_of_several_charsets(spark, tmp_path):
+    saved(tmp_path)
+    (tmp_path / "other.txt").write_text("not a page")
+    rows = {r.page_id: r for r in tables.read_pages(spark, str(tmp_path)).collect()}
+    assert {k: (r.charset, r.damaged) for k, r in rows.items()} == {k: v[1:] for k, v in SAVED.items()}
+    assert all("馬番" in rows[k].html for k in ("bom8", "bom16", "euc", "sjis", "tried_euc", "tried_sjis", "unknown"))
+    assert rows["bad"].html.startswith("<meta charset=utf-8>ok ") and rows["bad"].html.endswith(" end") and rows["latin"].html.count("é") == 1
+    assert rows["empty"].html == "" and rows["bom8"].html[0] == "<"
+    told = {r.page_id: r for r in tables.read_pages(spark, str(tmp_path), charset="EUC-JP").collect()}
+    assert told["tried_euc"].charset == "euc_jp" and not told["tried_euc"].damaged and told["tried_sjis"].damaged
+    (tmp_path / "none").mkdir()
+    assert tables.read_pages(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_small_pages_share_partitions(spark):
+    files = [(f"f{i}", 10) for i in range(100)] + [("big", 1 << 30), ("next", 0)]
+    parts = page_files.packed(files, 1 << 20)
+    assert [len(p.paths) for p in parts] == [16] * 6 + [4, 1, 1] and sum((p.paths for p in parts), []) == [f for f, _ in files]
+
+
+def test_pages_as_a_stream(spark, tmp_path):
+    folder, out = tmp_path / "pages", str(tmp_path / "out")
+    names = list(SAVED)
+    for some in (names[:5], names[5:]):
+        saved(folder, some)
+        stream = tables.stream_pages(spark, str(folder), settle_seconds=0)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(60)
+        got = sorted(r.page_id for r in spark.read.parquet(out).collect())
+        assert got == sorted(names[: names.index(some[-1]) + 1])
+    assert {r.page_id: (r.charset, r.damaged) for r in spark.read.parquet(out).collect()} == {k: v[1:] for k, v in SAVED.items()}
+
+
+def test_cells_that_span_rows_and_columns():
+    grid = lambda html: [(t, r, "|".join(c)) for t, r, c in pages.table_rows(html)]
+    assert grid("<table><tr><td rowspan=2>a<td>b</tr><tr><td>c</table>") == [(0, 0, "a|b"), (0, 1, "a|c")]
+    head = "<thead><tr><th colspan=2>h<th rowspan=5>i</tr><tr><th>j<th>k</tr></thead>"
+    body = "<tbody><tr><td rowspan='0'>x<td colspan=' 2 '>y</tr><tr><td>z</tr><tr></tr></tbody><tfoot><tr><td>f</tr></tfoot>"
+    assert grid(f"<table>{head}{body}</table>") == [(0, 0, "h|h|i"), (0, 1, "j|k|i"), (0, 2, "x|y|y"), (0, 3, "x|z"), (0, 4, "x"), (0, 5, "f")]
+    inner = "<table><tr><td rowspan=2>1</td><td>2</td></tr><tr><td>3</td></tr></table>"
+    nested = f"<table><tr><td rowspan=2>a{inner}b</td><td>c</td></tr><tr><td>d</td></tr></table>"
+    assert grid(nested) == [(0, 0, "ab|c"), (0, 1, "ab|d"), (1, 0, "1|2"), (1, 1, "1|3")]
+    # a cell beside one that hangs down; gaps are empty; odd spans count as 1
+    assert grid("<table><tr><td>a<td>b<td rowspan=2>c<tr><td>d<tr><td colspan=x>e<td rowspan=-3>f</table>") == [(0, 0, "a|b|c"), (0, 1, "d||c"), (0, 2, "e|f")]
+    assert grid("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>") == [(0, 0, "a|b|b|c"), (0, 1, "d|b|b|e")]
+    assert len(pages.table_rows("<table><tr><td colspan=99999>a</table>")[0][2]) == 1000
 
 
 def test_a_key_that_changes_its_partition_is_moved(spark, tmp_path):

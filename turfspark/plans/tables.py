@@ -58,7 +58,7 @@ def pages_to_tables(spark, sf):
     return pages.pages_to_tables(built).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query("SELECT page_id::VARCHAR AS page_id, html FROM pages WHERE html <> ''")
+@query("SELECT page_id::VARCHAR AS page_id, coalesce(html, '') AS html, 'utf-8' AS charset, false AS damaged FROM pages")
 def read_pages(spark, sf):
     """Every page as a file named after its key, read back by its name."""
     to = scratch_path(spark, "pages")
@@ -66,6 +66,18 @@ def read_pages(spark, sf):
     return tables.read_pages(spark, to)
 
 
+@query("""SELECT page_id::VARCHAR AS page_id, '<meta charset="' || m || '"><td>馬番 ' || page_id || ' 着順</td>' AS html, CASE m WHEN 'x-sjis' THEN 'cp932' WHEN 'EUC-JP' THEN 'euc_jp' ELSE 'utf-8' END AS charset,
+  false AS damaged FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'EUC-JP' WHEN 1 THEN 'x-sjis' ELSE 'UTF-8' END AS m FROM pages)""")
+def read_pages_charsets(spark, sf):
+    """Pages in three charsets in one folder, each found from what the page declares."""
+    to, declared = scratch_path(spark, "pages"), {"EUC-JP": "euc_jp", "x-sjis": "cp932", "UTF-8": "utf-8"}
+    for at, (name, charset) in enumerate(declared.items()):
+        some = table(spark, sf, "pages").filter(F.col("page_id") % 3 == at)
+        text = F.concat(F.lit(f'<meta charset="{name}"><td>馬番 '), F.col("page_id").cast("string"), F.lit(" 着順</td>"))
+        tables.write_pages(some.select("page_id", text.alias("html")), to, charset=charset)
+    return tables.read_pages(spark, to)
+
+
 _CARRIED, _ODDS = "50 + umaban % 4 + 0.5", "1 + (horse_id % 100) / 10.0"
 
 
@@ -99,6 +111,22 @@ def payout_pages(spark, sf):
     return paid.withColumn("win", F.concat_ws(",", F.transform("win", lambda x: x.cast("string"))))
 
 
+_SPANNED = [[("{r}", 2, 1), ("1", 1, 1), ("2", 1, 2)], [("3", 1, 1), ("4", 2, 1), ("5", 1, 1)], [("6", 1, 2), ("7", 1, 1)]]
+
+
+@query(f"""WITH {RUN} SELECT race_id::VARCHAR AS page_id, 0 AS table_no, row_no,
+  CASE row_no WHEN 0 THEN race_id || '|h|h|h' WHEN 1 THEN race_id || '|1|2|2' WHEN 2 THEN race_id || '|3|4|5' ELSE '6|6|4|7' END AS cells
+  FROM (SELECT DISTINCT race_id FROM run), unnest([0, 1, 2, 3]) AS u(row_no)""")
+def spanned_tables(spark, sf):
+    """A page for each order whose table has cells over several rows and columns, in its head and its body."""
+    cell = lambda text, down, right: f'<td rowspan="{down}" colspan={right}>{text}</td>'
+    body = "".join("<tr>" + "".join(cell(*c) for c in row) + "</tr>" for row in _SPANNED)
+    html = "<table><thead><tr><th>{r}</th><th colspan='3' rowspan=9>h</th></tr></thead><tbody>" + body + "</tbody></table>"
+    built = runners(spark, sf).select(F.col("race_id").cast("string").alias("page_id")).distinct()
+    built = built.withColumn("html", F.replace(F.lit(html), F.lit("{r}"), F.col("page_id")))
+    return pages.pages_to_tables(built).withColumn("cells", F.array_join("cells", "|"))
+
+
 NEW = "(SELECT o_orderkey, 'new' AS tag, o_totalprice * 2 AS price FROM orders WHERE o_orderkey % 3 = 0)"
 
 

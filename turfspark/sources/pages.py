@@ -1,5 +1,6 @@
 """Tables and links out of HTML pages."""
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,8 +20,50 @@ def extract_links(pages: DataFrame, pattern: str, key: str = "page_id", html: st
     return pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), 1)).alias("pos", name))
 
 
+#: The largest spans that count, as browsers have it.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
+_SECTIONS = ("thead", "tbody", "tfoot")
+
+
+def _span(attrs: dict, name: str, most: int) -> int:
+    """A span as given; what isn't a number is 1, and 0 (for rows: up to the section's end) stays."""
+    found = re.match(r"\s*(\d+)", attrs.get(name) or "")
+    return min(int(found[1]), most) if found else 1
+
+
+class _Grid:
+    """The rows of one table as a grid: for each column the text that still covers it and for how many rows."""
+
+    def __init__(self, no: int):
+        self.no, self.row, self.cells, self.open, self.covered = no, -1, None, None, {}
+
+    def begin_row(self):
+        self.row, self.cells = self.row + 1, {}
+        for column, (text, left) in list(self.covered.items()):
+            self.cells[column] = text
+            if left > 1:
+                self.covered[column] = (text, left - 1)
+            else:
+                del self.covered[column]
+        self.at = 0
+
+    def place(self, text: str, down: int, right: int):
+        """A cell goes to the first column that isn't taken, and over the next ones, taken or not."""
+        while self.at in self.cells:
+            self.at += 1
+        for column in range(self.at, self.at + max(right, 1)):
+            self.cells[column] = text
+            if down != 1:
+                self.covered[column] = (text, down - 1 if down else MAX_ROWSPAN)
+        self.at += max(right, 1)
+
+    def line(self) -> list[str]:
+        return [self.cells.get(i, "") for i in range(max(self.cells) + 1)]
+
+
 class _Tables(HTMLParser):
-    """Cells of all tables; a nested table's cells are its own; ``<br>`` in a cell is kept as ``br``."""
+    """Cells of all tables; a nested table's cells are its own; ``<br>`` in a cell is kept as ``br``. A cell that spans rows or
+    columns is repeated in each of them, but not beyond its section (head, body or foot)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -28,24 +71,27 @@ class _Tables(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.open.append({"no": self.tables, "row": -1, "cells": None, "cell": None})
+            self.open.append(_Grid(self.tables))
             self.tables += 1
         elif self.open:
             t = self.open[-1]
             if tag == "tr":
                 self._end_row(t)
-                t["row"], t["cells"] = t["row"] + 1, []
+                t.begin_row()
             elif tag in ("td", "th"):
                 self._end_cell(t)
-                if t["cells"] is None:
-                    t["row"], t["cells"] = t["row"] + 1, []
-                t["cell"] = []
-            elif tag == "br" and t["cell"] is not None:
-                t["cell"].append("br")
+                if t.cells is None:
+                    t.begin_row()
+                given = dict(attrs)
+                t.open = ([], _span(given, "rowspan", MAX_ROWSPAN), _span(given, "colspan", MAX_COLSPAN))
+            elif tag in _SECTIONS:
+                self._end_section(t)
+            elif tag == "br" and t.open is not None:
+                t.open[0].append("br")
 
     def handle_data(self, data):
-        if self.open and self.open[-1]["cell"] is not None:
-            self.open[-1]["cell"].append(data)
+        if self.open and self.open[-1].open is not None:
+            self.open[-1].open[0].append(data)
 
     def handle_endtag(self, tag):
         if not self.open:
@@ -55,20 +101,27 @@ class _Tables(HTMLParser):
             self._end_cell(t)
         elif tag == "tr":
             self._end_row(t)
+        elif tag in _SECTIONS:
+            self._end_section(t)
         elif tag == "table":
             self._end_row(t)
             self.open.pop()
 
     def _end_cell(self, t):
-        if t["cell"] is not None:
-            t["cells"].append(" ".join("".join(t["cell"]).split()))
-            t["cell"] = None
+        if t.open is not None:
+            text, down, right = t.open
+            t.place(" ".join("".join(text).split()), down, right)
+            t.open = None
 
     def _end_row(self, t):
         self._end_cell(t)
-        if t["cells"]:
-            self.rows.append((t["no"], t["row"], t["cells"]))
-        t["cells"] = None
+        if t.cells:
+            self.rows.append((t.no, t.row, t.line()))
+        t.cells = None
+
+    def _end_section(self, t):
+        self._end_row(t)
+        t.covered.clear()
 
     def finish(self):
         self.close()

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEDULE, TEXT_IDS
+from .page_files import PageSource
 from .scratch import store_of
 
 
@@ -32,16 +33,24 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEDULE).csv(path)
 
 
-def read_pages(spark: SparkSession, folder: str, glob: str = "*.bin", encoding: str = "UTF-8") -> DataFrame:
-    """(page_id, html) of a folder of pages; the key is all of the file's name before its ending.
-    Spark skips empty files, so empty pages aren't among them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("page_id"), F.decode("content", encoding).alias("html"))
+def read_pages(spark: SparkSession, folder: str, glob: str = "*.bin", charset: str | None = None) -> DataFrame:
+    """(page_id, html, charset, damaged) of a folder of pages, empty ones too; ``page_files`` tells how."""
+    spark.dataSource.register(PageSource)
+    reader = spark.read.format("pages").option("glob", glob)
+    return (reader.option("charset", charset) if charset else reader).load(folder)
 
 
-def write_pages(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html", ending: str = "bin") -> int:
+def stream_pages(spark: SparkSession, folder: str, glob: str = "*.bin", charset: str | None = None, settle_seconds: float = 1) -> DataFrame:
+    """The same as pages are saved."""
+    spark.dataSource.register(PageSource)
+    reader = spark.readStream.format("pages").option("glob", glob).option("settleSeconds", str(settle_seconds))
+    return (reader.option("charset", charset) if charset else reader).load(folder)
+
+
+def write_pages(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html", ending: str = "bin", charset: str = "UTF-8") -> int:
     """A file ``<key>.<ending>`` for each page, written by the tasks; returns the number of files. A task that runs again
-    writes the same files; of several rows of a key one is kept."""
+    writes the same files; of several rows of a key the page that comes last by its characters is kept, a null one only
+    if there's no other. A page without a key is an error."""
     store, base = store_of(folder)
     store.create_dir(base, recursive=True)
 
@@ -50,10 +59,11 @@ def write_pages(pages: DataFrame, folder: str, key: str = "page_id", html: str =
         for b in batches:
             for k, content in zip(b.column(0), b.column(1), strict=True):
                 with store.open_output_stream(f"{base}/{k.as_py()}.{ending}", compression=None) as out:
-                    out.write(content.as_buffer() if content.is_valid else b"")
+                    out.write((content.as_py() or "").encode(charset))
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
-    rows = pages.select(F.col(key).cast("string"), F.encode(F.col(html), "UTF-8"))
+    keys = F.col(key).cast("string")
+    rows = pages.select(F.coalesce(keys, F.raise_error(F.lit("a page has no key"))).alias("k"), F.col(html).alias("h")).groupBy("k").agg(F.max("h").alias("h"))
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
