@@ -34,39 +34,46 @@ def ground_states(field: Column) -> tuple[Column, Column]:
 def condition_flags(df: DataFrame, text: str = "condition", rest: str | None = None) -> DataFrame:
     """A 0/1 column for each condition word; a word found is taken out before the next is looked for, so
     ``指`` hides ``特指``. ``rest`` names a column for what is left of the text. One pass over the words, which carries
-    the rest of the text and the flags so far."""
-    begin = F.struct(F.coalesce(F.col(text), F.lit("")).alias("rest"), F.array().cast("array<int>").alias("flags"))
-    taken = lambda x, w: F.struct(F.replace(x["rest"], w, F.lit("")).alias("rest"), F.concat(x["flags"], F.array(x["rest"].contains(w).cast("int"))).alias("flags"))
-    done = df.withColumn("_words", F.aggregate(F.array(*map(F.lit, CONDITIONS)), begin, taken))
-    flags = {name: F.get("_words.flags", F.lit(i)) for i, name in enumerate(CONDITIONS.values())}
+    the rest of the text and a bit for each word found; a word that isn't there changes nothing."""
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(1 << i).alias("bit")) for i, w in enumerate(CONDITIONS)])
+    begin = F.struct(F.coalesce(F.col(text), F.lit("")).alias("rest"), F.lit(0).alias("bits"))
+    taken = lambda x, w: F.struct(F.replace(x["rest"], w["word"], F.lit("")).alias("rest"), (x["bits"] + w["bit"]).alias("bits"))
+    done = df.withColumn("_words", F.aggregate(words, begin, lambda x, w: F.when(x["rest"].contains(w["word"]), taken(x, w)).otherwise(x)))
+    flags = {name: (F.col("_words.bits").bitwiseAND(F.lit(1 << i)) > 0).cast("int") for i, name in enumerate(CONDITIONS.values())}
     return done.withColumns(flags | ({rest: F.trim("_words.rest")} if rest else {})).drop("_words")
 
 
 def race_class(text: Column, grade: Column | None = None, hurdle: Column | None = None) -> Column:
     """Class label of a condition text: full-width digits and names of before 2019 count; of several words
     the last of the list; a grade in the title or a hurdle race overrides."""
-    plain = ascii_digits(text)
-    old = F.coalesce(*[F.when(plain.contains(k), F.lit(v)) for k, v in sorted(OLD_CLASSES.items(), key=lambda x: -len(x[0]))])
-    label = F.coalesce(last_listed(plain, CLASSES), old)
+    label = _class_of(ascii_digits(text))
     if grade is not None:
         label = F.coalesce(first_listed(grade, ("G3", "G2", "G1")), label)
     return label if hurdle is None else F.when(hurdle, F.lit("障害")).otherwise(label)
 
 
+def _class_of(plain: Column) -> Column:
+    old = F.coalesce(*[F.when(plain.contains(k), F.lit(v)) for k, v in sorted(OLD_CLASSES.items(), key=lambda x: -len(x[0]))])
+    return F.coalesce(last_listed(plain, CLASSES), old)
+
+
 def parse_race_header(df: DataFrame, text1: str = "text1", text2: str = "text2") -> DataFrame:
     """Adds every field of the header texts ``芝右1600m / 天候 : 晴 / 芝 : 良 / 発走 : 10:05`` and
     ``2024年2月3日 1回東京3日目 3歳未勝利 牝(混)[指](馬齢)``."""
     one, two = F.col(text1), F.col(text2)
-    course, surface = _part(one, "/", 0), _part(one, "/", 2)
+    # parts that several fields use are columns of their own, so that none is worked out for each use
+    parts = {
+        "_course": _part(one, "/", 0), "_weather": _part(one, "/", 1), "_surface": _part(one, "/", 2), "_meeting": _part(two, " ", 1),
+        "_condition": F.trim(F.regexp_replace(two, r"^\S+\s+\S+\s*", "")),
+    }
+    df = df.withColumns(parts).withColumns({"_plain": ascii_digits(F.col("_condition")), "_place": last_listed(F.col("_meeting"), PLACES)})
+    course, surface, meeting, condition, place = (F.col(f"_{c}") for c in ("course", "surface", "meeting", "condition", "place"))
     jump = F.startswith(course, F.lit("障"))
-    meeting = _part(two, " ", 1)
-    condition = F.trim(F.regexp_replace(two, r"^\S+\s+\S+\s*", ""))
     state1, state2 = ground_states(surface)
-    place = last_listed(meeting, PLACES)
     codes = F.create_map(*[F.lit(x) for p in PLACES.items() for x in p])
     fields = {
         "course_len": found(course, r"(\d+)\D*$").try_cast("int"),
-        "weather": _part(_part(one, "/", 1), ":", 1),
+        "weather": _part(F.col("_weather"), ":", 1),
         "race_type": _part(surface, ":", 0),
         "time": found(one, r"(\d{1,2}\s*:\s*\d{2})\s*$"),
         "date": japanese_date(two),
@@ -79,9 +86,9 @@ def parse_race_header(df: DataFrame, text1: str = "text1", text2: str = "text2")
         "ground_state2": state2,
         "age": F.concat(found(condition, r"(\d+)歳"), F.when(condition.contains("歳以上"), F.lit("+")).otherwise(F.lit(""))),
         "sex": last_listed(condition, SEXES),
-        "race_class": race_class(condition),
+        "race_class": _class_of(F.col("_plain")),
     }
-    out = condition_flags(df.withColumns(fields).withColumn("_condition", condition), "_condition", "_rest")
+    out = condition_flags(df.withColumns(fields).drop("_course", "_weather", "_surface", "_meeting", "_plain", "_place"), "_condition", "_rest")
     rest = F.regexp_replace("_rest", r"\d+歳(以上)?", "")
     rest = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), (*SEXES, *sorted(CLASSES, key=len, reverse=True), "()", "[]"), rest)
     return out.withColumn("race_condition", F.nullif(F.trim(F.regexp_replace(rest, r"\s+", " ")), F.lit(""))).drop("_condition", "_rest")
