@@ -1,9 +1,12 @@
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from turfspark.operators import history as H
+from turfspark.operators import history_state as S
 
 
 def brute(runners, hist, targets, windows=(5, 9)):
@@ -71,3 +74,71 @@ def test_a_large_entity_takes_the_linear_path(spark):
     h = spark.range(H.FANOUT_ROWS + 1).selectExpr("1 horse_id", "date_add(date '2020-01-01', cast(id AS int)) date", "id R", "cast(id AS double) t")
     plan = lambda rows: H.history_features(r, rows, ["t"])._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan(h) and "collect_list" not in plan(h.limit(50))
+
+
+@pytest.mark.parametrize("kind", ["int", "float", "decimal(10,2)", "double"])
+def test_both_paths_give_the_same_types(spark, kind):
+    h = spark.createDataFrame([(1, dt.date(2024, 1, i), i, float(i)) for i in (1, 2, 3)], "horse_id int, date date, R int, t double").withColumn("t", F.col("t").cast(kind))
+    r = spark.createDataFrame([(1, dt.date(2024, 2, 1))], "horse_id int, date date")
+    fanout, linear = (H.history_features(r, h, ["t"], path=p) for p in ("fanout", "linear"))
+    assert fanout.schema == linear.schema and fanout.schema["t_5R"].dataType.typeName() == "double"
+    assert fanout.collect() == linear.collect() and fanout.first().t_allR == 2.0
+
+
+def _some(seed, n=150):
+    rnd = random.Random(seed)
+    day = lambda: dt.date(2023, 1, 1) + dt.timedelta(rnd.randrange(40))
+    value = lambda: rnd.choice([None, float("nan"), 1.0, 2.5, 7.0, 3.25])
+    rows = [(rnd.choice([1, 2, 3, 4, 6, 6, 6, None]), day(), rnd.choice(["a", "b", None]), i, value(), value()) for i in range(n)]
+    return rows + [(1, None, "a", 1, 1.0, 1.0)]
+
+
+def _same(got, want):
+    key = lambda r: (r[0] or -1, str(r[1:3]))
+    fix = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    assert sorted(map(fix, got), key=key) == sorted(map(fix, want), key=key)
+
+
+def test_state_after_every_merge_gives_the_full_features(spark, tmp_path):
+    schema, path = "horse_id int, date date, g string, R int, t1 double, t2 double", str(tmp_path / "state")
+    hist = spark.createDataFrame(_some(5), schema).cache()
+    cuts = [dt.date(2023, 1, 1) + dt.timedelta(k) for k in (0, 9, 10, 25, 41)]
+    none = S.state_of(hist.limit(0), ["t1", "t2"], ["g"])
+    S.save(none, path, buckets=4)
+    runners = lambda d: spark.createDataFrame([(h, d, g) for h in (1, 2, 3, 4, 5, 6, None) for g in ("a", "b", None)], "horse_id int, date date, g string")
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        day = hist.filter(F.col("date") >= begin).filter(F.col("date") < end)
+        for _ in range(2):  # a day that comes twice counts once
+            S.advance(spark, path, day, ["t1", "t2"], ["g"], buckets=4)
+        r = runners(end)
+        state = S.load(spark, path, none.schema, r, buckets=4)
+        want = H.history_features(r, hist.filter(F.col("date") < end), ["t1", "t2"], ["g"], path="linear")
+        got = S.features(r, state, ["t1", "t2"], ["g"])
+        assert got.columns == want.columns
+        _same(got.collect(), want.collect())
+    with pytest.raises(Exception, match="earlier days"):
+        S.features(runners(dt.date(2023, 1, 12)), state, ["t1", "t2"], ["g"]).collect()
+
+
+def test_merging_is_the_same_in_any_order(spark):
+    schema = "horse_id int, date date, g string, R int, t1 double, t2 double"
+    parts = [S.state_of(spark.createDataFrame(_some(s, 60), schema), ["t1", "t2"], ["g"]) for s in (7, 8, 9)]
+    rows = lambda df: [(r.horse_id, r.kind or "", r.category or "", r.n_t1, r.n_t2, round(r.s_t1 or 0, 6), r.last) for r in df.orderBy("horse_id", "kind", "category").collect()]
+    a = rows(S.merge([S.merge([parts[0], parts[1]]), parts[2]]))
+    assert a == rows(S.merge([parts[2], S.merge([parts[1], parts[0]])])) == rows(S.merge(parts))
+    whole = S.state_of(spark.createDataFrame(_some(7, 60) + _some(8, 60) + _some(9, 60), schema), ["t1", "t2"], ["g"])
+    assert [r[:6] for r in a] == [r[:6] for r in rows(whole)]
+    assert all(len(r[6]) <= 9 for r in a if r[6] is not None)
+
+
+def test_a_day_reads_only_the_buckets_of_its_entities(spark, tmp_path):
+    path = str(tmp_path / "state")
+    hist = spark.range(2000).selectExpr("cast(id as int) horse_id", "date'2023-01-01' date", "1 R", "1.0d t")
+    S.save(S.state_of(hist, ["t"]), path, buckets=32)
+    state = S.load(spark, path, S.state_of(hist, ["t"]).schema, hist.filter("horse_id in (3, 4)"), buckets=32)
+    assert len(state.inputFiles()) == 32 and state.count() == 2
+    assert "PartitionFilters: [bucket" in state._jdf.queryExecution().toString().replace("isnotnull(bucket", "x")
+    before = {f: Path(f).stat().st_mtime_ns for f in map(str, Path(path).glob("bucket=*/*.parquet"))}
+    S.advance(spark, path, hist.filter("horse_id in (3, 4)").withColumn("date", F.lit(dt.date(2023, 1, 2))), ["t"], buckets=32)
+    after = {f: Path(f).stat().st_mtime_ns for f in map(str, Path(path).glob("bucket=*/*.parquet"))}
+    assert sum(before.get(f) == t for f, t in after.items()) >= 30 and spark.read.parquet(path).count() == 2000

@@ -3,7 +3,8 @@
 For every target column the mean over the last n earlier rows, over those of them whose category equals the
 runner's, and over all earlier rows, plain and by category; and the date of the latest. Rows of the same day
 never count, also where both tables have instants: days are compared. Ties within a day are ordered by ``order``
-columns, the larger the newer. A mean skips nulls and NaN, and is null without a row.
+columns, the larger the newer. A mean is a double whatever the target's type, skips nulls and NaN, and is null
+without a row.
 
 Two physical paths with equal results, of which ``auto`` takes ``fanout`` if no entity has more than
 ``FANOUT_ROWS`` rows of history, by a count of them all, and else ``linear``:
@@ -78,7 +79,7 @@ def _attached(rows: DataFrame, found: DataFrame, keys: list[str], groups: list[s
 
 
 def _fanout(keys, history, targets, groups, windows, entity, when, order, latest) -> DataFrame:
-    values = {f"_t_{c}": _value(history, c) for c in targets} | {f"_g_{c}": F.col(c) for c in groups} | {f"_o_{c}": F.col(c) for c in order}
+    values = {f"_t_{c}": _value(history, c).cast("double") for c in targets} | {f"_g_{c}": F.col(c) for c in groups} | {f"_o_{c}": F.col(c) for c in order}
     h = pruned_history(history, keys, entity).select(F.col(entity).alias("_e"), F.col(when).alias("_w"), *[v.alias(n) for n, v in values.items()])
     joined = keys.join(h, (F.col(entity) == F.col("_e")) & (F.col("_w") < F.col(when)))
     joined = joined.withColumn("_rn", recent_rank([entity, when, *groups], F.col("_w"), [F.col(f"_o_{c}") for c in order]))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import features, history, ml, scoring, splitting
+from ..functions.ordering import stored
+from ..operators import features, history, history_state as history_states, ml, scoring, splitting
+from ..sources.scratch import scratch_path
 from .mapping import RUN, day_rows, day_sql, query, races, runners, table
 
 # One target row per entity and day; history is the same table, strictly earlier days.
@@ -13,7 +15,7 @@ def _keys(rows):
     return rows.select("horse_id", "date", "flag").distinct()
 
 
-def _history_sql(entity: str, group: bool, lastn: bool) -> str:
+def _history_sql(entity: str, group: bool, lastn: bool, key: str = _KEY) -> str:
     columns = []
     for t in ("quantity", "discount"):
         for n in (5, 9) if lastn else ():
@@ -23,7 +25,7 @@ def _history_sql(entity: str, group: bool, lastn: bool) -> str:
         columns.append(f'round(avg(h.{t}), 9) AS "{t}_allR"')
         if group:
             columns.append(f'round(avg(h.{t}) FILTER (WHERE h.flag = k.flag), 9) AS "{t}_flag_allR"')
-    return f"""WITH {day_sql(entity)}, key AS ({_KEY}),
+    return f"""WITH {day_sql(entity)}, key AS ({key}),
   joined AS (SELECT k.horse_id AS e, k.date AS d, k.flag AS f, h.*, row_number() OVER (PARTITION BY k.horse_id, k.date, k.flag ORDER BY h.date DESC, h.R DESC) AS rn
     FROM key k JOIN hist h ON h.horse_id = k.horse_id AND h.date < k.date)
   SELECT k.horse_id, k.date, k.flag, {", ".join(columns)}, max(h.date) AS latest
@@ -52,6 +54,32 @@ def history_group_supplier(spark, sf):
     return _rounded(history.history_features(_keys(rows), rows, ["quantity", "discount"], ["flag"], path="linear"))
 
 
+_CUTS = ("1997-01-01", "1999-07-01", "2002-01-01")
+
+
+@query(_history_sql("l_partkey", True, True, f"SELECT DISTINCT horse_id, c::DATE AS date, flag FROM hist, unnest({list(_CUTS)}) AS u(c)"))
+def history_state(spark, sf):
+    """Features of every entity on three days, each out of the stored state after the days before were added to it."""
+    rows, path = day_rows(spark, sf, "l_partkey").withColumn("R", F.ascii("flag")), scratch_path(spark, "state")
+    targets, asked = ["quantity", "discount"], rows.select("horse_id", "flag").distinct()
+    none = history_states.state_of(rows.limit(0), targets, ["flag"])
+    history_states.save(none, path)
+    out, begin = None, "0001-01-01"
+    for cut in _CUTS:
+        history_states.advance(spark, path, rows.filter((F.col("date") >= begin) & (F.col("date") < cut)), targets, ["flag"])
+        state = stored(history_states.load(spark, path, none.schema), "state")  # as it is after these days
+        found = history_states.features(asked.select("horse_id", F.lit(cut).cast("date").alias("date"), "flag"), state, targets, ["flag"])
+        out, begin = found if out is None else out.unionByName(found), cut
+    return _rounded(out)
+
+
+@query(_history_sql("l_suppkey", False, True).replace("sum(l_quantity)", "sum(l_quantity)::DECIMAL(12, 2)::DOUBLE"))
+def history_decimal(spark, sf):
+    """A decimal target: means are doubles."""
+    rows = day_rows(spark, sf, "l_suppkey").withColumn("quantity", F.col("quantity").cast("decimal(12,2)"))
+    return _rounded(history.history_features(_keys(rows), rows, ["quantity", "discount"], path="linear"))
+
+
 _ASOF = f"""WITH {day_sql('l_partkey')}, key AS ({_KEY}), joined AS (SELECT k.horse_id AS e, k.date AS d, k.flag AS f, h.*,
   row_number() OVER (PARTITION BY k.horse_id, k.date, k.flag ORDER BY h.date DESC, h.R DESC) AS rn FROM key k JOIN hist h ON h.horse_id = k.horse_id AND h.date < k.date)
   SELECT k.horse_id, k.date, k.flag, {{}} FROM key k LEFT JOIN joined h ON h.e = k.horse_id AND h.d = k.date AND h.f = k.flag GROUP BY k.horse_id, k.date, k.flag"""

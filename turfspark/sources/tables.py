@@ -81,11 +81,12 @@ def upsert_by_key(old: DataFrame, new: DataFrame, key: str = "race_id") -> DataF
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
-def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, key: str = "race_id", partition: str = "year", staging: str | None = None) -> None:
+def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, key: str = "race_id", partition: str = "year", staging: str | None = None, schema=None) -> None:
     """The same for a partitioned table: only partitions that the batch touches, or that hold an older row of its keys,
     are rewritten, and only those that lose or gain rows. The new partitions are written to ``staging`` first; should
-    the swap fail, they're complete there, and running it again gives the same table."""
-    stored = spark.read.parquet(path)
+    the swap fail, they're complete there, and running it again gives the same table. ``schema`` is needed where the
+    table may have no rows yet."""
+    stored = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     touched = new.select(partition).unionByName(stored.join(new.select(key).distinct(), key, "left_semi").select(partition))
     touched = [r[0] for r in touched.distinct().collect()]  # partition values
     kept = F.lit(False)
@@ -95,7 +96,8 @@ def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, key: str =
     staging = staging or path.rstrip("/") + "_staging"
     merged.write.mode("overwrite").partitionBy(partition).parquet(staging)  # what is rewritten must not be read meanwhile
     fresh = spark.read.schema(merged.schema).parquet(staging)
-    emptied = [v for v in touched if fresh.filter(F.col(partition).eqNullSafe(F.lit(v))).isEmpty()]
+    left = {r[0] for r in fresh.select(partition).distinct().collect()}
+    emptied = [v for v in touched if v not in left]
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     for value in emptied:  # dynamic overwriting leaves partitions without new rows as they were
         _drop_partition(spark, path, partition, value)
