@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import stored
 from ..operators import features, history, history_state as history_states, ml, scoring, splitting
 from ..sources.scratch import scratch_path
+from ..streaming import history_stream as history_streams
 from .mapping import RUN, day_rows, day_sql, query, races, runners, table
 
 # One target row per entity and day; history is the same table, strictly earlier days.
@@ -73,6 +74,24 @@ def history_state(spark, sf):
     return _rounded(out)
 
 
+@query(_history_sql("l_partkey", True, True))
+def history_stream(spark, sf):
+    """Two streams, of runners and of results, which arrive period by period; the state of each entity is all that is
+    kept of the past."""
+    cards, results, out, checkpoint = (scratch_path(spark, x) for x in ("cards", "results", "features", "stream"))
+    rows, begin = day_rows(spark, sf, "l_partkey"), "0001-01-01"
+    for cut in _CUTS:
+        some = stored(rows.filter((F.col("date") >= begin) & (F.col("date") < cut)), "period")
+        _keys(some).write.mode("append").parquet(cards)
+        some.write.mode("append").parquet(results)
+        arriving = [spark.readStream.schema(schema).parquet(path) for schema, path in ((_keys(some).schema, cards), (some.schema, results))]
+        found = history_streams.history_feature_stream(*arriving, ["quantity", "discount"], ["flag"])
+        with history_streams.state_store(spark):
+            found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        begin = cut
+    return _rounded(spark.read.schema(found.schema).parquet(out).drop("late"))
+
+
 @query(_history_sql("l_suppkey", False, True).replace("sum(l_quantity)", "sum(l_quantity)::DECIMAL(12, 2)::DOUBLE"))
 def history_decimal(spark, sf):
     """A decimal target: means are doubles."""
