@@ -229,9 +229,8 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, penalties:
     share = (total.pos or 0) / max(total.n, 1)
     if not 0 < share < 1:
         return Model(share)
-    # a bounded sample in an order of its own, so that a refit gives the same trees
-    rows = stats.select("id", "label", array_to_vector(F.array(*STATS)).alias("features")).repartitionByRange(2, "id").sortWithinPartitions("id")
-    rows = cut(rows)
+    # a bounded sample, in an order of its own so that a refit gives the same trees; each step of a fit is a job over it
+    rows = cut(stats.select("id", "label", array_to_vector(F.array(*STATS)).alias("features")).coalesce(2).sortWithinPartitions("id"))
     grown = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=4, seed=1).fit(rows)
     rules = distinct([r for t in grown.trees for r in paths(t.toDebugString)])
     if not rules:
