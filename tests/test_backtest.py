@@ -122,3 +122,32 @@ def test_scores(spark):
     assert {r.fold: r.auc for r in scoring.auc(rows, by="fold").collect()} == {"x": 3.5 / 4, "y": None}
     assert policies.threshold_grid(0.5, 3.5, 3) == [0.5, 1.5, 2.5] and len(policies.threshold_grid_2d(1, 2, 2, 0, 3)) == 6
     assert scoring.top_runners(df, 1).filter("race_id = 'b'").select(F.first("umaban")).first()[0] == 1
+
+
+def test_two_thresholds_equal_brute_force(spark):
+    """Also dead heats, equal scores, winners without a score, races without payouts, and a grid that isn't a product."""
+    rnd = random.Random(6)
+    levels = [0.0, 0.5, 1.0, 1.5, 2.0, None]
+    runners = {r: {u: rnd.choice(levels) for u in range(1, rnd.randint(1, 6) + 1)} for r in range(40)}
+    paid = {r: [((rnd.randint(1, 6), rnd.randint(1, 6)), rnd.choice([150, 2300, 0])) for _ in range(rnd.choice([0, 1, 1, 2]))] for r in runners}
+    paid = {r: [w for w in v if w[0][0] != w[0][1]] for r, v in paid.items()}
+    grid = [(a, b) for a in (0.25, 0.5, 1.2, 2.0, 9.0) for b in (-1.0, 0.5, 1.5)][:-2]
+    scores = spark.createDataFrame([(r, u, s) for r, x in runners.items() for u, s in x.items()], "race_id int, umaban int, score double")
+    payouts = spark.createDataFrame([(r, "umatan", list(w), p) for r, v in paid.items() for w, p in v] + [(0, "tansho", [1], 9)], "race_id int, ticket_type string, win array<int>, payout long")
+    got = {(x.t1, x.t2): x for x in settlement.axis_sweep(scores, payouts, grid).collect()}
+    for t1, t2 in grid:
+        bets, backs = [], []
+        for r, x in runners.items():
+            pairs = {(a, b) for a, s in x.items() for b, z in x.items() if a != b and s is not None and z is not None and s >= t1 and z >= t2}
+            if pairs:
+                bets.append(len(pairs))
+                backs.append(float(sum(p for w, p in paid[r] if w in pairs)))
+        if not bets:
+            assert (t1, t2) not in got
+            continue
+        x = got.pop((t1, t2))
+        assert (x.n_bets, x.n_races, x.n_hits, x.total_bet_amount) == (sum(bets), len(bets), sum(b > 0 for b in backs), 100 * sum(bets))
+        assert abs(x.return_rate - sum(backs) / (100 * sum(bets))) < 1e-9
+        if len(backs) > 1:
+            assert abs(x["std"] - stdev(backs) * len(backs) ** 0.5 / (100 * sum(bets))) < 1e-9
+    assert not got

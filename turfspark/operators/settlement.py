@@ -120,19 +120,55 @@ def threshold_sweep(scores: DataFrame, payouts: DataFrame, thresholds: list[floa
 
 
 def axis_sweep(scores: DataFrame, payouts: DataFrame, grid: list[tuple[float, float]], amount: int = 100) -> DataFrame:
-    """Two thresholds: ordered pairs of an axis and a partner, for every (t1, t2) of the grid."""
-    runner = F.struct("umaban", F.col("score").cast("double").alias("score"))
-    races = scores.filter(F.col("score").isNotNull()).groupBy("race_id").agg(F.collect_list(runner).alias("runners"))
+    """Two thresholds: ordered pairs of an axis and a partner, for every (t1, t2) of the grid.
+
+    A runner is an axis at the i lowest values of t1 and a partner at the j lowest of t2, so what a pair of runners bets
+    or wins counts in a rectangle of thresholds from the lowest on, of which only the far corner is kept; so do the square
+    of a race's return (pairs of winners), whether it wins (the union of the winners' rectangles, as steps), and whether
+    it's bet on (the union of two rectangles: the best partner with the others as axis, and the best partner as axis).
+    Corners are added up over races, and thresholds come in at the end only: a two-dimensional sum over the grid."""
+    firsts, seconds = sorted({a for a, _ in grid}), sorted({b for _, b in grid})
+    upto = lambda values: F.size(F.filter(F.array(*map(F.lit, values)), lambda t: t <= F.col("score").cast("double")))
+    rows = scores.filter(F.col("score").isNotNull()).select("race_id", "umaban", upto(firsts).alias("i"), upto(seconds).alias("j"))
+    # by partner, the best one first
+    races = rows.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("j")).alias("_by"), "umaban", "i", "j"))).alias("runners"))
     wins = payouts.filter("ticket_type = 'umatan'").groupBy("race_id").agg(F.collect_list(F.struct("win", "payout")).alias("won"))
-    points = F.array(*[F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2")) for a, b in grid])
-    rows = races.join(wins, "race_id", "left").select("runners", "won", F.explode(points).alias("t"))
-    score_of = lambda n: F.get(F.filter("runners", lambda r: r["umaban"] == n), F.lit(0))["score"]
-    a = F.size(F.filter("runners", lambda r: r["score"] >= F.col("t.t1"))).cast("long")
-    p = F.size(F.filter("runners", lambda r: r["score"] >= F.col("t.t2"))).cast("long")
-    both = F.size(F.filter("runners", lambda r: (r["score"] >= F.col("t.t1")) & (r["score"] >= F.col("t.t2")))).cast("long")
-    won = F.filter(F.coalesce("won", F.array().cast(wins.schema["won"].dataType)), lambda w: F.size(w["win"]) == 2)
-    hit = lambda win: F.coalesce((score_of(win[0]) >= F.col("t.t1")) & (score_of(win[1]) >= F.col("t.t2")), F.lit(False))
-    n = a * p - both
-    rows = rows.select("t", n.alias("n_bets"), (n * amount).alias("bet_amount"), (returned(won, hit) * amount / 100).cast("double").alias("return_amount"))
-    rows = rows.filter("n_bets > 0").withColumn("hit_or_not", (F.col("return_amount") > 0).cast("int"))
-    return portfolio_returns(rows.select("t.t1", "t.t2", "n_bets", "bet_amount", "return_amount", "hit_or_not"), ("t1", "t2"))
+    place = lambda n, k: F.coalesce(F.get(F.filter("runners", lambda r: r["umaban"] == n), F.lit(0))[k], F.lit(0))
+    ordered = F.filter("won", lambda w: (F.size(w["win"]) == 2) & (w["win"][0] != w["win"][1]))
+    corner = F.transform(ordered, lambda w: F.struct(place(w["win"][0], "i").alias("i"), place(w["win"][1], "j").alias("j"), (w["payout"] * amount / 100).cast("double").alias("back")))
+    reached = F.reverse(F.array_sort(F.filter(corner, lambda w: (w["i"] > 0) & (w["j"] > 0))))
+    races = races.join(wins, "race_id", "left").select("runners", F.coalesce(reached, F.array().cast("array<struct<i:int,j:int,back:double>>")).alias("won"))
+
+    names = ("n_bets", "n_races", "n_hits", "_back", "_squares")
+    point = lambda i, j, name, value: F.struct(i.alias("i"), j.alias("j"), F.lit(names.index(name)).alias("what"), value.cast("double").alias("value"))
+    one, zero = F.lit(1), F.lit(0)
+    axes, partners = F.filter("runners", lambda r: r["i"] > 0), F.filter("runners", lambda r: r["j"] > 0)
+    bets = F.flatten(F.transform(axes, lambda a: F.transform(partners, lambda b: point(a["i"], b["j"], "n_bets", one))))
+    selves = F.transform(axes, lambda a: point(a["i"], a["j"], "n_bets", -one))
+    best = lambda n, k: F.coalesce(F.get("runners", F.lit(n))[k], zero)
+    others = F.coalesce(F.array_max(F.transform(F.slice("runners", 2, 1 << 30), lambda r: r["i"])), zero)
+    bet_on = F.array(
+        point(others, best(0, "j"), "n_races", one), point(best(0, "i"), best(1, "j"), "n_races", one), point(F.least(others, best(0, "i")), best(1, "j"), "n_races", -one)
+    )
+    backs = F.transform("won", lambda w: point(w["i"], w["j"], "_back", w["back"]))
+    squares = F.flatten(F.transform("won", lambda v: F.transform("won", lambda w: point(F.least(v["i"], w["i"]), F.least(v["j"], w["j"]), "_squares", v["back"] * w["back"]))))
+    paying = F.filter("won", lambda w: w["back"] > 0)  # the largest i first
+    before = lambda n: F.coalesce(F.array_max(F.transform(F.slice(paying, 1, n), lambda x: x["j"])), zero)
+    steps = F.flatten(F.transform(paying, lambda w, n: F.array(point(w["i"], F.greatest(w["j"], before(n)), "n_hits", one), point(w["i"], before(n), "n_hits", -one))))
+    corners = races.select(F.explode(F.concat(bets, selves, bet_on, backs, squares, steps)).alias("p")).select("p.*").filter("i > 0 and j > 0")
+    sums = corners.groupBy("i", "j").agg(*[F.sum(F.when(F.col("what") == n, F.col("value")).otherwise(0.0)).alias(c) for n, c in enumerate(names)])
+
+    cells = [(i + 1, j + 1, a, b) for i, a in enumerate(firsts) for j, b in enumerate(seconds)]
+    every = scores.sparkSession.createDataFrame(cells, "i int, j int, t1 double, t2 double").join(sums, ["i", "j"], "left")
+    for along, across in (("i", "j"), ("j", "i")):  # corners beyond a cell in both directions; windows over rows of the grid
+        beyond = Window.partitionBy(across).orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, 0)
+        every = every.select("i", "j", "t1", "t2", *[F.coalesce(F.sum(c).over(beyond), F.lit(0.0)).alias(c) for c in names])
+    if len(set(grid)) < len(cells):
+        every = every.join(scores.sparkSession.createDataFrame(sorted(set(grid)), "t1 double, t2 double"), ["t1", "t2"], "left_semi")
+    total, n = (F.col("n_bets") * amount).cast("long"), F.col("n_races")
+    variance = F.try_divide(F.col("_squares") - F.try_divide(F.col("_back") * F.col("_back"), n), n - 1)
+    deviation = F.sqrt(F.when(variance < 0, 0.0).otherwise(variance))
+    return every.filter(n > 0).select(
+        "t1", "t2", *[F.col(c).cast("long").alias(c) for c in ("n_bets", "n_races", "n_hits")], total.alias("total_bet_amount"),
+        F.try_divide(F.col("_back"), total).alias("return_rate"), F.try_divide(deviation * F.sqrt(n), total).alias("std"),
+    )
