@@ -254,3 +254,24 @@ def test_sums_within_groups_that_cross_ranges(spark):
         assert got[v] == (n, s)
         seen[g] = (n + 1, s + v)
     assert len(got) == 300 and grouped_totals(df.limit(0), ["g"], ["o"], {"n": F.lit(1)}).count() == 0
+
+
+def test_a_hot_id_and_rows_without_one_are_spread(spark, monkeypatch):
+    """A third of all rows has one id and a third none; the same codes as by broadcast, and no task with a third of the rows."""
+    df = spark.range(9000).selectExpr("id o", "case id % 3 when 0 then 'hot' when 1 then null else cast(id % 500 as string) end k", "cast(id % 7 as string) m")
+    want = {r.o: (r.k, r.k_code, r.m_code) for r in features.label_encode_masters(df, ["k", "m"], ["o"])[0].collect()}
+    monkeypatch.setattr(features, "BROADCAST_IDS", 20)
+    monkeypatch.setattr(features, "HOT_ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = features.label_encode_masters(df, ["k", "m"], ["o"])[0]
+        assert {r.o: (r.k, r.k_code, r.m_code) for r in rows.collect()} == want
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        sizes = [r["count"] for r in features.label_encode_masters(df, ["k"], ["o"])[0].groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 9000 and max(sizes) < 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert want[0][1] == 0 and want[1][1] is None

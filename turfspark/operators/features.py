@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import PART_ROWS, numbered
+from ..functions.ordering import PART_ROWS, numbered, stored
 from ..sources.scratch import scratch_path
 from ..vocab import CLASSES, DIRECTIONS, GROUND, PLACES, RACE_TYPES, SEXES, WEATHER
 
@@ -21,6 +21,7 @@ ONE_HOT = {
     "race_class": (list(CLASSES), ["race_class"]),
 }
 
+BROADCAST_IDS, HOT_ROWS, NULL_KEYS = 200_000, 1_000_000, 10_000
 IDS = ("horse_id", "jockey_id", "trainer_id", "owner_id", "breeder_id")
 
 
@@ -51,13 +52,17 @@ def label_encode_masters(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(rows with ``{column}_code`` for every column, new masters (id, encoded_id)). Known ids keep their code; new ones
     get the following numbers in order of first appearance by ``order``, then by id. A null id has no code. The first
-    appearances of all columns come from one aggregate, and are numbered together."""
+    appearances of all columns come from one aggregate, which is stored and numbered for all together.
+
+    A column's codes are broadcast while its master has at most ``BROADCAST_IDS`` ids. A larger one is joined by id, with the
+    rows of an id of more than ``HOT_ROWS`` rows, and those without an id, spread over several keys."""
     spark, masters = df.sparkSession, masters or {}
     known = [m.select(F.lit(c).alias("column"), F.col("id").cast("string").alias("id"), F.col("encoded_id").cast("long").alias("encoded_id")) for c, m in masters.items() if m is not None and c in columns]
     known = reduce(DataFrame.unionByName, known) if known else spark.createDataFrame([], "column string, id string, encoded_id long")
     ids = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("id")) for c in columns]))
     first = df.select(F.struct(*order).alias("_f"), ids.alias("_i")).select("_f", "_i.*").filter("id is not null")
-    first = first.groupBy("column", "id").agg(F.min("_f").alias("_f")).join(known, ["column", "id"], "left_anti")
+    seen = stored(first.groupBy("column", "id").agg(F.min("_f").alias("_f"), F.count("*").alias("_rows")), "ids")
+    first = seen.join(known, ["column", "id"], "left_anti")
     first = first.select("column", "id", *[F.col(f"_f.{c}").alias(f"_o_{c}") for c in order])
     numbers = numbered(first, ["column", *[f"_o_{c}" for c in order], "id"], "_n", 0, part_rows).select("column", "id", "_n")
     # a column's numbers follow each other; each begins after its largest known code: a row for each column
@@ -68,13 +73,29 @@ def label_encode_masters(
     path = scratch_path(spark, "masters")
     known.unionByName(codes).write.partitionBy("column").parquet(path)
     every = spark.read.schema("id string, encoded_id long, column string").parquet(path)
+    sizes = {r["column"]: r["count"] for r in every.groupBy("column").count().collect()}  # a row for each column
+    hot = seen.filter(F.col("_rows") > HOT_ROWS).select("column", "id", F.ceil(F.col("_rows") / HOT_ROWS).alias("_keys"))
     out, updated = df, {c: every.filter(F.col("column") == c).select("id", "encoded_id") for c in columns}
     for c in columns:
         named = updated[c].select(F.col("id").alias("_id"), F.col("encoded_id").alias(f"{c}_code"))
-        out = out.join(named, F.col(c).cast("string") == F.col("_id"), "left").drop("_id")
+        if sizes.get(c, 0) <= BROADCAST_IDS:
+            out = out.join(F.broadcast(named), F.col(c).cast("string") == F.col("_id"), "left").drop("_id")
+        else:
+            out = _joined_by_id(out, named, hot.filter(F.col("column") == c).select(F.col("id").alias("_hot"), "_keys"), c, order)
     return out, updated
 
 
+def _joined_by_id(rows: DataFrame, named: DataFrame, hot: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Rows with the code of their id. ``hot`` ids, fewer than one for each ``HOT_ROWS`` rows, have several keys."""
+    hot = F.broadcast(hot)
+    lot = F.xxhash64(*order)
+    keyed = rows.join(hot, F.col(column).cast("string") == F.col("_hot"), "left")
+    key = F.when(F.col(column).isNull(), -1 - F.pmod(lot, F.lit(NULL_KEYS))).otherwise(F.pmod(lot, F.coalesce("_keys", F.lit(1).cast("long"))))
+    keyed = keyed.withColumn("_key", key).drop("_hot", "_keys")
+    copies = named.join(hot, F.col("_id") == F.col("_hot"), "left").select("_id", f"{column}_code", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_keys", F.lit(1).cast("long")) - 1)).alias("_copy"))
+    return keyed.join(copies, (F.col(column).cast("string") == F.col("_id")) & (F.col("_key") == F.col("_copy")), "left").drop("_id", "_key", "_copy")
+
+
 def label_encode_master(df: DataFrame, column: str, order: list[str], master: DataFrame | None = None, drop: bool = False) -> tuple[DataFrame, DataFrame]:
     """The same for one column."""
     out, updated = label_encode_masters(df, [column], order, {column: master})
