@@ -275,3 +275,35 @@ def test_a_hot_id_and_rows_without_one_are_spread(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert want[0][1] == 0 and want[1][1] is None
+
+
+def test_stepwise_search_finds_the_best_of_the_grid(spark):
+    """A planted rule of three features needs deep trees, whose noise small leaves learn by heart; few of the grid's fits."""
+    rows = spark.range(3000).selectExpr("id", *[f"cast(pmod(xxhash64(id, {i}), 1000) AS double) / 1000 AS x{i}" for i in range(4)], "pmod(xxhash64(id, 9), 100) < 20 AS flipped")
+    rows = rows.selectExpr("*", "cast(((x0 > 0.5) = (x1 > 0.5) AND x2 > 0.3) != flipped AS int) AS rank", "if(id % 10 = 0, null, x3) AS x4")
+    train, valid = rows.filter("id < 2000"), rows.filter("id >= 2000")
+    x = ["x0", "x1", "x2", "x4"]
+    steps = (("size", ({"maxDepth": 1}, {"maxDepth": 2}, {"maxDepth": 4})), ("leaves", ({"minInstancesPerNode": 1}, {"minInstancesPerNode": 20}, {"minInstancesPerNode": 900})))
+    model, table = ml.tune(train, valid, x, steps=steps, trees=8)
+    fits = table.orderBy("fit").collect()
+    area = lambda m: ml.auc(ml.score_runners(m, valid, x), "score", "rank").first().auc
+    best = [r for r in fits if r.taken][-1]
+    assert best.setting["maxDepth"] == "4" and best.setting["minInstancesPerNode"] != "900" and abs(area(model) - best.auc) < 1e-9
+    assert best.auc == max(r.auc for r in fits if r.trees == 8) and best.auc > area(ml.train_classifier(train, x, trees=8, depth=1)) + 0.1
+    assert [r.step for r in fits] == ["start", "size", "size", "size", "leaves", "leaves", "leaves"] and [r.trees for r in fits] == [8, 4, 4, 8, 4, 4, 8]
+    assert all(1 <= r.kept <= r.trees for r in fits)
+
+
+def test_a_search_without_validation_rows_stays_at_the_start(spark):
+    rows = spark.range(60).selectExpr("cast(id % 10 AS double) a", "cast(id % 10 > 5 AS int) rank")
+    steps = (("size", ({"maxDepth": 1}, {"maxDepth": 2})),)
+    for valid in (rows.limit(0), rows.filter("rank = 1")):
+        model, table = ml.tune(rows, valid, ["a"], steps=steps, trees=2)
+        assert [(r.auc, r.taken) for r in table.orderBy("fit").collect()] == [(None, True), (None, False), (None, False)]
+        assert ml.score_runners(model, rows, ["a"]).count() == 60
+
+
+def test_more_trees_than_help_are_not_kept(spark):
+    rows = spark.range(400).selectExpr("cast(pmod(xxhash64(id), 50) AS double) a", "cast(pmod(xxhash64(id, 1), 2) AS int) rank", "id")
+    table = ml.tune(rows.filter("id < 200"), rows.filter("id >= 200"), ["a"], steps=(("size", ({"maxDepth": 5},)),), trees=30)[1]
+    assert table.first().kept < 30

@@ -1,7 +1,5 @@
 """Classifier of the top three with Spark ML; any DataFrame with numeric features and a 0/1 target."""
 
-from itertools import product
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -9,17 +7,24 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import stored
 from .scoring import auc
 
 
+def _doubles(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(f"_d_{c}") for c in features], F.col(target).cast("double").alias("_label"))
+
+
+def _assembly(features: list[str]) -> list:
+    """Missing feature values are the column's median."""
+    doubles = [f"_d_{c}" for c in features]
+    return [Imputer(inputCols=doubles, outputCols=doubles, strategy="median"), VectorAssembler(inputCols=doubles, outputCol="_features", handleInvalid="keep")]
+
+
 def train_classifier(train: DataFrame, features: list[str], target: str = "rank", trees: int = 20, depth: int = 4, step: float = 0.1, seed: int = 1) -> PipelineModel:
     """Boosted trees; missing feature values are the column's median."""
-    doubles = [f"_d_{c}" for c in features]
-    rows = train.select(*[F.col(c).cast("double").alias(d) for c, d in zip(features, doubles, strict=True)], F.col(target).cast("double").alias("_label"))
-    stages = [Imputer(inputCols=doubles, outputCols=doubles, strategy="median"), VectorAssembler(inputCols=doubles, outputCol="_features", handleInvalid="keep")]
-    stages.append(GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed))
-    model = Pipeline(stages=stages).fit(rows)
-    return model
+    boosted = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)
+    return Pipeline(stages=[*_assembly(features), boosted]).fit(_doubles(train, features, target))
 
 
 def score_runners(model: PipelineModel, df: DataFrame, features: list[str], name: str = "score") -> DataFrame:
@@ -54,18 +59,62 @@ def top_features(model: PipelineModel, features: list[str], spark, n: int = 20)
     return feature_importance(model, features, spark).limit(n)
 
 
-def tune(train: DataFrame, valid: DataFrame, features: list[str], target: str = "rank", depths=(3, 5), trees=(10, 20)) -> tuple[PipelineModel, DataFrame]:
-    """The model with the best AUC on the validation slice, which lies after the training slice in time,
-    and the table of all candidates."""
-    spark, found = train.sparkSession, []
-    train, valid = train.persist(), valid.persist()
-    try:
-        for depth, n in product(depths, trees):
-            model = train_classifier(train, features, target, n, depth)
-            area = auc(score_runners(model, valid, features, "_s"), "_s", target).first()[0]
-            found.append((model, depth, n, area))
-    finally:
-        train.unpersist()
-        valid.unpersist()
-    best = max(found, key=lambda x: -1 if x[3] is None else x[3])[0]
-    return best, spark.createDataFrame([(d, n, a) for _, d, n, a in found], "depth int, trees int, auc double")
+#: Groups of parameters in the order of the search: features for a split, tree size, rows for a tree, regularisation.
+STEPS = (
+    ("features", tuple({"featureSubsetStrategy": v} for v in ("all", "0.4", "0.6", "0.8"))),
+    ("size", tuple({"maxDepth": v} for v in (4, 2, 3, 5, 6))),
+    ("rows", tuple({"subsamplingRate": v} for v in (1.0, 0.5, 0.7, 0.9))),
+    ("leaves", tuple({"minInstancesPerNode": v} for v in (1, 5, 25, 100))),
+    ("gain", tuple({"minInfoGain": v} for v in (0.0, 0.0001, 0.001))),
+)
+_FITS = "fit int, step string, setting map<string,string>, trees int, kept int, auc double, taken boolean"
+
+
+def tune(
+    train: DataFrame, valid: DataFrame, features: list[str], target: str = "rank", steps=STEPS, trees: int = 40, halvings: int = 1, tolerance: float = 0.001, seed: int = 1
+) -> tuple[PipelineModel, DataFrame]:
+    """Stepwise search with early stopping: the model with the best AUC on the validation slice, which lies after the
+    training slice in time, and the table of all fits in their order.
+
+    The first setting of every group is what the search starts from. Group after group, the others are tried beside what
+    earlier groups have settled: ``halvings`` times with fewer trees (a half, before that a quarter, ...), after which the
+    better half goes on, then with all. A setting is taken if its AUC is above the best so far; of equal ones, the earlier.
+    Trees are added to a model until the loss on the validation slice no longer falls by ``tolerance``: ``kept`` is how
+    many it has. Rows are imputed and assembled once; all fits of a round are measured in one pass. Where the validation
+    slice is empty or has one class, every AUC is null and the start stays."""
+    spark = train.sparkSession
+    assembled = Pipeline(stages=_assembly(features)).fit(_doubles(train, features, target))
+    rows = _doubles(train, features, target).withColumn("_valid", F.lit(False)).unionByName(_doubles(valid, features, target).withColumn("_valid", F.lit(True)))
+    rows = stored(assembled.transform(rows).select("_features", "_label", "_valid"), "assembled")
+    measured, found = rows.filter("_valid"), []
+    gbt = GBTClassifier(featuresCol="_features", labelCol="_label", stepSize=0.1, validationTol=tolerance, seed=seed)
+    if not measured.isEmpty():
+        gbt.setValidationIndicatorCol("_valid")
+
+    def fit(step: str, settings: list[dict], n: int) -> list[tuple]:
+        maps = [{gbt.getParam(k): v for k, v in (s | {"maxIter": n}).items()} for s in settings]
+        models = gbt.fit(rows, maps)
+        scored = measured
+        for i, m in enumerate(models):
+            scored = m.transform(scored, {m.probabilityCol: f"_p{i}", m.rawPredictionCol: "", m.predictionCol: ""})
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), vector_to_array(f"_p{i}")[1].alias("_s")) for i in range(len(models))]))
+        areas = {r._i: r.auc for r in auc(scored.select("_label", each.alias("_e")).select("_label", "_e.*"), "_s", "_label", by="_i").collect()}  # a row per fit
+        out = [(areas.get(i), s, m, len(found) + i) for i, (s, m) in enumerate(zip(settings, models, strict=True))]
+        found.extend([step, s, n, m.getNumTrees, a, False] for a, s, m, _ in out)
+        return out
+
+    value = lambda f: -1.0 if f[0] is None else f[0]
+    start = {k: v for _, group in steps for k, v in group[0].items()}
+    best = fit("start", [start], trees)[0]
+    found[0][-1] = True
+    for step, group in steps:
+        alive = [best[1] | s for s in group if best[1] | s != best[1]]
+        for rung in range(halvings, -1, -1):
+            tried = fit(step, alive, max(1, trees >> rung)) if alive else []
+            ranked = sorted(tried, key=value, reverse=True)
+            alive = [f[1] for f in ranked[: (len(ranked) + 1) // 2]]
+        if ranked and value(ranked[0]) > value(best):
+            best = ranked[0]
+            found[best[3]][-1] = True
+    table = [(i, step, {k: str(v) for k, v in s.items()}, n, kept, a, taken) for i, (step, s, n, kept, a, taken) in enumerate(found)]
+    return PipelineModel([*assembled.stages, best[2]]), spark.createDataFrame(table, _FITS)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import running_totals
+from ..functions.ordering import grouped_totals, running_totals
 
 
 def _race(race: str) -> Window:
@@ -49,15 +49,12 @@ def top_runners(df: DataFrame, n: int = 3, score: str = "score", race: str = "ra
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", by: str | None = None) -> DataFrame:
-    """Exact area under the ROC curve, ties counting half, from counts per distinct score; by fold if asked.
-    Null where a class is missing."""
+    """Exact area under the ROC curve, ties counting half, from counts per distinct score; by fold if asked,
+    whose scores are spread over ranges like any others. Null where a class is missing."""
     keys = [by] if by else []
     counts = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
     counts = counts.withColumn("neg", F.col("n") - F.col("pos"))
-    if by:  # folds are few; each gets its own running sum
-        below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.withColumn("below", below)
-    else:
-        counts = running_totals(counts, [score], {"below": F.col("neg")})
+    below = {"below": F.col("neg")}
+    counts = grouped_totals(counts, keys, [score], below) if by else running_totals(counts, [score], below)
     area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return counts.groupBy(*keys).agg(F.try_divide(area, F.sum("pos") * F.sum("neg").cast("double")).alias("auc"))
