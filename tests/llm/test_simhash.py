@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from turfspark.llm import simhash as S
 
@@ -112,3 +113,28 @@ def test_a_long_chain_is_one_component(spark):
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
     text = " ".join(f"w{i * i % 977}" for i in range(70_000))
     assert S.fingerprint(text) == brute([text])[0]
+
+
+def test_a_hot_fingerprint_is_spread(spark):
+    """A third of all rows, without help from adaptive execution."""
+    rows = [(i, 7 if i % 3 == 0 else i * 1000) for i in range(3000)]
+    fp = spark.createDataFrame(rows, "id long, fp long").repartition(4)
+    classes = S._classes(fp, spark.createDataFrame([(1000, 2000)], "a long, b long"))
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = S._of_class(fp, classes, hot_rows=50)
+        largest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert {(r.id, r.component_id) for r in got.collect()} == {(i, 0 if f == 7 else 1 if f == 2000 else i) for i, f in rows}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert got.count() == 3000 and largest < 1000
+
+
+def test_of_rows_with_one_id_the_first_by_text_stays(spark):
+    long = " ".join(f"word{i}" for i in range(20))
+    rows = [(5, long, "x"), (5, "a " + long, "y"), (5, None, "z"), (5, None, "z"), (6, long, "other"), (7, "quite another text of some words", "own"), (8, None, "none")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _head string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, None, "z"), (7, "quite another text of some words", "own")], key=str)

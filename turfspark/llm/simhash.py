@@ -38,13 +38,14 @@ from operator import xor
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_sets
 from ._store import cut, fresh, map_batches, materialise
 
 SEED, SHINGLE, MAX_BITS, BLOCK = 42, 3, 3, 16384
+HOT_ROWS = 100_000
 _CHUNK = 1 << 15
 #: Generator polynomial of the binary Golay code [23, 12, 7]: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -279,18 +280,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(fp: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint of (id, fp), linked by ``edges`` if given."""
-    classes = cut(fp.groupBy("fp").agg(F.min("id").alias("least")))
+    """(fp, copies, root, component_id) of every distinct fingerprint of (id, fp), linked by ``edges`` if given."""
+    classes = cut(fp.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(classes.select("fp")) if edges is None else edges)
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(named, "root")
+    return rooted.select("fp", "copies", "root").join(named, "root")
+
+
+def _of_class(fp: DataFrame, classes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows (id, fp) with their class. A fingerprint of more than ``hot_rows`` rows, such as that of empty texts, is
+    spread over several keys; there is less than one such fingerprint for each ``hot_rows`` rows."""
+    parts = F.ceil(F.col("copies") / hot_rows).cast("long")
+    hot = F.broadcast(classes.filter(F.col("copies") > hot_rows).select(F.col("fp").alias("_hot"), parts.alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0))
+    rows = fp.join(hot, F.col("fp") == F.col("_hot"), "left").select("id", "fp", part.alias("_part"))
+    copies = classes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    return rows.join(copies, ["fp", "_part"]).drop("_part", "copies")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id``."""
     fp = materialise(fingerprints(docs, id_col, text_col), "simhash")
-    return fp.join(_classes(fp), "fp").select(
+    return _of_class(fp, cut(_classes(fp))).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -304,11 +316,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stays."""
     fp = materialise(shingle_sets.keyed(docs, id_col, text_col), "shingles")
     classes = cut(_classes(fp, shingle_sets.links(fp, docs, components, text_col)))
-    head, nth, text, print_ = (fresh(docs, c) for c in ("_head", "_nth", "_text", "_fp"))
+    head, text, print_ = (fresh(docs, c) for c in ("_head", "_text", "_fp"))
     heads = classes.filter("component_id is not null").select(F.col("component_id").alias(head)).distinct()
-    first = docs.join(heads, docs[id_col].cast("long") == F.col(head), "left_semi")
-    once = Window.partitionBy(id_col).orderBy(text_col)
-    kept = first.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).drop(nth)
+    number = docs[id_col].cast("long")
+    kept = docs.join(heads, number == F.col(head), "left_semi")
+    again = cut(fp.groupBy(F.col("id").alias(head)).count().filter(f"`{head}` is not null and count > 1").select(head))
+    if not again.isEmpty():  # each task hands on one row of an id, however often it repeats
+        once = kept.join(again, number == F.col(head), "left_semi").groupBy(number.alias(head))
+        once = once.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(text_col).isNotNull(), F.col(text_col))).alias("row"))
+        kept = kept.join(again, number == F.col(head), "left_anti").unionByName(once.select("row.*"))
     nameless = classes.filter("component_id is null and fp = root").select(F.col("fp").alias(print_))
     if nameless.isEmpty():
         return kept
