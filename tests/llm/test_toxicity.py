@@ -123,3 +123,39 @@ def test_long_repeated_and_clashing_rows(spark):
     got = T.score(docs, labels).collect()
     assert len(got) == 70 and all(0 <= r.score <= 1 for r in got)
     assert T.keep_clean(docs, labels).columns == docs.columns
+
+
+def walked(text, x):
+    """The value of a printed tree for one row, line by line: a branch not taken is skipped by its indentation."""
+    lines, at = text.splitlines(), 1
+    while not lines[at].strip().startswith("Predict"):
+        word, *test = lines[at].strip().replace("(", "").replace(")", "").split()
+        assert word == "If"
+        if x[int(test[1])] <= float(test[3]):
+            at += 1
+        else:
+            depth = len(lines[at]) - len(lines[at].lstrip())
+            at = next(i for i in range(at + 1, len(lines)) if lines[i].strip().startswith("Else") and len(lines[i]) - len(lines[i].lstrip()) == depth) + 1
+    return float(lines[at].split()[1])
+
+
+def test_scores_match_trees_and_steps_in_plain_python(spark):
+    """Of the fitted model, over a hundred documents and more; the filter of a stage keeps what scores below its threshold."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = T.fit(T.labelled_rows(docs, labels))
+    rows = T.featurise(docs, model.lexicon, ["doc_id"])
+    want = {r.doc_id: r.score for r in model.score(rows).collect()}
+    found = rows.collect()
+    got = model.scorer()(np.array([r.features for r in found]))
+    assert len(found) > 100 and all(abs(want[r.doc_id] - g) < 1e-9 for r, g in zip(found, got, strict=True))
+    bounds, values = model.calibration.boundaries.toArray().tolist(), model.calibration.predictions.toArray().tolist()
+    for r in found[:100]:
+        raw = 1 / (1 + np.exp(-2 * sum(w * walked(t.toDebugString, r.features) for t, w in zip(model.trees.trees, model.trees.treeWeights, strict=True))))
+        k = sum(b <= raw for b in bounds)  # bounds at or below it
+        if k in (0, len(bounds)):
+            score = values[min(k, len(values) - 1)]
+        else:
+            score = values[k - 1] + (values[k] - values[k - 1]) * (raw - bounds[k - 1]) / (bounds[k] - bounds[k - 1])
+        assert abs(score - want[r.doc_id]) < 1e-9
+    kept = {r.doc_id for r in T.keep_clean(docs, labels).select("doc_id").collect()}
+    assert kept == {i for i, s in want.items() if s < 0.5} and 0 < len(kept) < len(want)

@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, fresh, map_batches
+from ._store import cut, map_batches
 from ._text import LETTERS, SpanHasher, buffers, hash_words, sliced, word_spans
 
 SAMPLE, TREES, DEPTH, NEAR = 20_000, 20, 4, 3
@@ -242,6 +242,48 @@ class Model:
         rows = self.calibration.transform(rows.drop("features", "rawPrediction", "probability", "prediction"))
         return rows.withColumn("score", F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0))).drop("raw", "calibrated")
 
+    def scorer(self) -> "Scorer":
+        """The same scores for arrays of features, within a task that has the rows in hand."""
+        if self.trees is None:
+            return Scorer([], [], np.zeros(1), np.array([float(self.share)]))
+        grown = [tree_of(t.toDebugString) for t in self.trees.trees]
+        return Scorer(grown, list(self.trees.treeWeights), self.calibration.boundaries.toArray(), self.calibration.predictions.toArray())
+
+
+@dataclass
+class Scorer:
+    trees: list
+    weights: list[float]
+    bounds: np.ndarray
+    calibrated: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        margin = sum((w * leaves(t, x) for t, w in zip(self.trees, self.weights, strict=True)), np.zeros(len(x)))
+        return np.clip(np.interp(1 / (1 + np.exp(-2 * margin)), self.bounds, self.calibrated), 0.0, 1.0)
+
+
+def tree_of(described: str):
+    """A leaf's value, or (feature, threshold, tree at or below it, tree above it)."""
+    lines = iter(x for x in map(str.strip, described.splitlines()) if x.startswith(("If ", "Else ", "Predict: ")))
+
+    def node():
+        line = next(lines)
+        if line.startswith("Predict: "):
+            return float(line.split()[1])
+        _, feature, _, at = line.removeprefix("If (").removesuffix(")").split()
+        below = node()
+        next(lines)  # its Else
+        return int(feature), float(at), below, node()
+
+    return node()
+
+
+def leaves(tree, x: np.ndarray) -> np.ndarray:
+    if isinstance(tree, float):
+        return np.full(len(x), tree)
+    feature, at, below, above = tree
+    return np.where(x[:, feature] <= at, leaves(below, x), leaves(above, x))
+
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Model:
     """From rows (id, text, label)."""
@@ -285,20 +327,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, all columns, that score below ``threshold``."""
-    model = fit(labelled_rows(docs, labels))
-    text = "text"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names, added = docs.columns, fresh(docs, "_features")
+    scorer, lexicon = (model := fit(labelled_rows(docs, labels))).scorer(), model.lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in sliced(whole, text):
-                x = features(b.column(text).cast(pa.string()), model_lexicon)
-                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, added])
+            for b in sliced(whole, "text"):
+                yield b.filter(pa.array(scorer(features(b.column("text").cast(pa.string()), lexicon)) < threshold))
 
-    model_lexicon = model.lexicon
-    featured = docs.transform(map_batches, run, f"{schema}, `{added}` array<double>")
-    packed = featured.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(added).alias("features"))
-    kept = model.score(packed).filter(F.col("score") < threshold)
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    return docs.transform(map_batches, run, docs.schema)
