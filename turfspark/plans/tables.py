@@ -1,9 +1,12 @@
 """Queries over sources, sinks, keyed updates, joins and profiles."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from ..functions.ordering import stored
 from ..operators import cleaning, joins, profile
-from ..sources import pages, tables
+from ..sources import known_keys, pages, tables
 from ..sources.scratch import scratch_path
 from .mapping import PAY, RACE, RUN, payout_texts, query, races, runners, table
 from ..operators.payouts import parse_payouts
@@ -144,6 +147,20 @@ def new_keys_only(spark, sf):
     return tables.new_keys_only(table(spark, sf, "customer").select("c_custkey"), done, "c_custkey")
 
 
+_URGENT = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
+
+
+@query(_URGENT)
+def new_keys_by_filter(spark, sf):
+    """The same with a filter kept beside the known keys: of one half first, the other merged into it."""
+    done = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    expected = customers.count()
+    halves = [known_keys.key_filter(done.filter(f"c_custkey % 2 = {i}"), "c_custkey", expected) for i in (0, 1)]
+    keys = stored(known_keys.merged_filter(*halves), "filter")
+    return known_keys.new_keys_by_filter(customers, done, keys, "c_custkey")
+
+
 TOUCHED = """(SELECT coalesce(m.id, b.id) AS id, coalesce(b.stamp, m.updated_at) AS updated_at FROM (SELECT o_custkey AS id, max(o_orderdate) AS updated_at FROM orders
   WHERE o_orderkey % 2 = 0 GROUP BY 1) m FULL JOIN (SELECT DISTINCT o_custkey AS id, TIMESTAMP '2024-02-21 00:00:00' AS stamp FROM orders WHERE o_orderkey % 5 = 0) b ON m.id = b.id)"""
 
@@ -182,6 +199,18 @@ def join_peds(spark, sf):
     return joins.join_peds(runners(spark, sf), peds).select("race_id", "umaban", "horse_id", "peds_0", "peds_1")
 
 
+@query(f"""WITH {RUN}, per AS (SELECT horse_id, count(*) AS starts, max(quantity) AS best FROM run GROUP BY 1)
+  SELECT race_id, umaban, run.horse_id, p_type AS peds_0, p_brand AS breeder_id, starts, best FROM run LEFT JOIN part ON p_partkey = run.horse_id JOIN per ON per.horse_id = run.horse_id""")
+def join_bucketed(spark, sf):
+    """Runners, pedigrees and a total for each horse, of tables cut alike by the horse: joined without a shuffle."""
+    keep = lambda df, name: tables.write_bucketed(df, f"{name}_{uuid4().hex}", "horse_id", 8, scratch_path(spark, name))
+    ran = keep(runners(spark, sf).select("race_id", "umaban", "horse_id", "quantity"), "runners")
+    peds = keep(table(spark, sf, "part").select(F.col("p_partkey").alias("horse_id"), F.col("p_type").alias("peds_0"), F.col("p_brand").alias("breeder_id")), "peds")
+    starts = ran.groupBy("horse_id").agg(F.count("*").alias("starts"), F.max("quantity").alias("best"))
+    rows = joins.join_peds(ran.hint("merge"), peds.hint("merge")).hint("merge").join(starts.hint("merge"), "horse_id")
+    return rows.select("race_id", "umaban", "horse_id", "peds_0", "breeder_id", "starts", "best")
+
+
 @query(f"WITH {PAY} SELECT DISTINCT race_id FROM pay WHERE ticket_type = 'tansho' AND race_id NOT IN (SELECT race_id FROM pay WHERE ticket_type = 'wakuren')")
 def payout_gap(spark, sf):
     return joins.payout_gap(parse_payouts(payout_texts(runners(spark, sf))))
