@@ -142,3 +142,34 @@ def test_a_day_reads_only_the_buckets_of_its_entities(spark, tmp_path):
     S.advance(spark, path, hist.filter("horse_id in (3, 4)").withColumn("date", F.lit(dt.date(2023, 1, 2))), ["t"], buckets=32)
     after = {f: Path(f).stat().st_mtime_ns for f in map(str, Path(path).glob("bucket=*/*.parquet"))}
     assert sum(before.get(f) == t for f, t in after.items()) >= 30 and spark.read.parquet(path).count() == 2000
+
+
+@pytest.mark.parametrize("spread", [1, 4, 16])
+def test_a_hot_entity_is_joined_by_periods(spark, spread):
+    rnd = random.Random(spread)
+    day = lambda: rnd.choice([None, *[dt.date(2023, 1, 1) + dt.timedelta(rnd.randrange(30)) for _ in range(20)]])
+    who = lambda: rnd.choice([7, 7, 7, None, *range(20)])
+    runners = [(i, who(), day()) for i in range(300)] + [(1000, 7, dt.date(2024, 1, 1))] * 2
+    hist = [(who(), day(), i) for i in range(400)] + [(7, dt.date(2023, 1, 5), 1000 + i) for i in range(200)]  # a hot day too
+    r, h = spark.createDataFrame(runners, "race_id int, horse_id int, date date"), spark.createDataFrame(hist, "horse_id int, date date, t int")
+    got = H.asof_history(r, h, ["t"], spread=spread)
+    assert got.columns == ["race_id", "horse_id", "date", "h_date", "h_t"]
+    want = [(i, e, d, hd, t) for i, e, d in runners for he, hd, t in hist if None not in (e, d, hd) and he == e and hd < d]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_pairs_of_a_hot_entity_spread_over_many_keys(spark):
+    n, spread = 2000, 16
+    rows = spark.range(n).selectExpr("cast(1 as int) as horse_id", "date_add(date'2020-01-01', cast(id % 700 as int)) as date", "id as t")
+    keyed = rows.selectExpr("horse_id as _e", "unix_date(date) * 1048576L + pmod(xxhash64(t), 1048576L) as _at", "date", "t")
+    r, h = H._spread_sides(keyed, keyed, "horse_id", spread)
+    cells = r.groupBy("_i", "_j").count().join(h.groupBy("_i", "_j").agg(F.count("*").alias("m")), ["_i", "_j"]).collect()
+    pairs = sorted(c["count"] * c["m"] for c in cells)
+    assert len(cells) == spread * (spread + 1) // 2
+    assert pairs[-1] < 2 * pairs[len(pairs) // 2] and abs(h.count() - n * (spread + 1) / 2) < n / 10
+
+
+def test_asof_history_of_empty_tables(spark):
+    r = spark.createDataFrame([(1, 1, dt.date(2023, 1, 1))], "race_id int, horse_id int, date date")
+    h = spark.createDataFrame([], "horse_id int, date date, t int")
+    assert H.asof_history(r, h, ["t"]).count() == 0 == H.asof_history(r.limit(0), r.select("horse_id", "date"), []).count()

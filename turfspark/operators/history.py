@@ -16,11 +16,15 @@ Two physical paths with equal results, of which ``auto`` takes ``fanout`` if no
   part of all rows costs no more rows than it has days.
 """
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOWS = (5, 9)
 FANOUT_ROWS = 200
+SPREAD = 64
 
 
 def _value(df: DataFrame, c: str) -> Column:
@@ -33,10 +37,67 @@ def pruned_history(history: DataFrame, runners: DataFrame, entity: str = "horse_
     return history.join(runners.select(entity).distinct(), entity, "left_semi")
 
 
-def asof_history(runners: DataFrame, history: DataFrame, carried: list[str], entity: str = "horse_id", when: str = "date", prefix: str = "h_") -> DataFrame:
-    """Every runner with each history row of its entity of an earlier day: when it was, and the carried columns."""
+def _hot_bounds(runners: DataFrame, history: DataFrame, entity: str, spread: int) -> list[tuple]:
+    """(entity, bounds) of the entities that hold more than one ``spread``-th of the rows of either table, so at most twice
+    ``spread`` of them; the bounds cut the entity's rows of both tables, by ``_at``, into as many periods as its share asks for."""
+    share = {}
+    for rows in (runners, history):
+        n = rows.count()
+        counts = rows.filter(F.col("_e").isNotNull()).groupBy("_e").count().filter(F.col("count") * spread > n)
+        for r in counts.collect():  # fewer than ``spread``
+            share[r[0]] = max(share.get(r[0], 0), r[1] / n)
+    if not share:
+        return []
+    both = runners.select("_e", "_at").unionByName(history.select("_e", "_at")).filter(F.col("_e").isin(list(share)))
+    cuts = F.percentile_approx("_at", [k / spread for k in range(1, spread)], 100 * spread)
+    out = []
+    for e, grid in both.groupBy("_e").agg(cuts).collect():  # a row for each of these entities
+        periods = ceil(share[e] * spread)
+        if grid:
+            out.append((e, sorted({grid[min(len(grid) - 1, k * spread // periods - 1)] for k in range(1, periods)})))
+    return out
+
+
+def _spread_sides(runners: DataFrame, history: DataFrame, entity: str, spread: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_i`` and ``_j``, the period of the runner and of the history row. Rows of a hot entity come once for
+    each period of the other side that they can meet: a runner for all up to its own, a history row for all from its own on."""
+    bounds = _hot_bounds(runners, history, entity, spread)
+    if not bounds:
+        return tuple(rows.drop("_at").withColumns({"_i": F.lit(0), "_j": F.lit(0)}) for rows in (runners, history))
+    spark = runners.sparkSession
+    key = history.schema["_e"]
+    table = F.broadcast(spark.createDataFrame(bounds, T.StructType([T.StructField("_hot", key.dataType), T.StructField("_bounds", T.ArrayType(T.LongType()))])))
+    out = []
+    for rows in (runners, history):
+        rows = rows.join(table, F.col("_e") == F.col("_hot"), "left")
+        period = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_at"))), F.lit(0))
+        last = F.coalesce(F.array_size("_bounds"), F.lit(0))
+        out.append(rows.withColumns({"_own": F.greatest(period, F.lit(0)), "_end": last}).drop("_hot", "_bounds", "_at"))
+    r = out[0].withColumn("_i", F.col("_own")).withColumn("_j", F.explode(F.sequence(F.lit(0), "_own")))
+    h = out[1].withColumn("_j", F.col("_own")).withColumn("_i", F.explode(F.sequence("_own", "_end")))
+    return r.drop("_own", "_end"), h.drop("_own", "_end")
+
+
+def asof_history(
+    runners: DataFrame, history: DataFrame, carried: list[str], entity: str = "horse_id", when: str = "date", prefix: str = "h_", spread: int = SPREAD
+) -> DataFrame:
+    """Every runner with each history row of its entity of an earlier day: when it was, and the carried columns. Rows
+    without an entity or a day have no pair.
+
+    An entity with more than one ``spread``-th of the rows of a table is joined by periods: its rows of both tables are cut into
+    periods of like numbers of rows, and every two periods of which one isn't later than the other meet in a join key of their
+    own. Rows of one day may lie in several periods, by a hash of their columns; rows that are alike in all columns stay together."""
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long") * (1 << 20)
+    fine = lambda df: F.pmod(F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind]), F.lit(1 << 20))
     h = history.select(F.col(entity).alias("_e"), *[F.col(c).alias(prefix + c) for c in dict.fromkeys([when, *carried])])
-    return runners.join(h, (runners[entity] == F.col("_e")) & (F.to_date(prefix + when) < F.to_date(runners[when]))).drop("_e")
+    h = h.withColumn("_at", day(F.col(prefix + when)) + fine(h)).withColumnsRenamed({prefix + c: f"_h_{c}" for c in (when, *carried)})
+    kind = h.schema["_e"].dataType
+    r = runners.withColumns({"_e": F.col(entity).cast(kind), "_at": day(F.col(when)) + fine(runners)})
+    r, h = _spread_sides(r, h, entity, spread)
+    h = h.withColumnsRenamed({"_e": "_he", "_i": "_hi", "_j": "_hj"})
+    same = (F.col("_e") == F.col("_he")) & (F.col("_i") == F.col("_hi")) & (F.col("_j") == F.col("_hj"))
+    joined = r.join(h, same & (F.to_date(f"_h_{when}") < F.to_date(when)))
+    return joined.drop("_e", "_i", "_j", "_he", "_hi", "_hj").withColumnsRenamed({f"_h_{c}": prefix + c for c in (when, *carried)})
 
 
 def recent_rank(partition: list[str], when: Column, order: list[Column]) -> Column:

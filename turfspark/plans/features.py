@@ -165,6 +165,15 @@ def asof_history(spark, sf):
     return joined.groupBy("horse_id", "race_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {day_sql('l_linestatus')} SELECT r.horse_id, r.date, r.flag, count(*) AS n, sum(h.discount) AS discounts, max(h.date) AS latest
+  FROM hist r JOIN hist h ON h.horse_id = r.horse_id AND h.date < r.date GROUP BY r.horse_id, r.date, r.flag""")
+def asof_history_hot(spark, sf):
+    """Two entities with all rows between them, so each is joined by periods."""
+    rows = day_rows(spark, sf, "l_linestatus")
+    joined = history.asof_history(rows.select("horse_id", "date", "flag"), rows, ["discount"])
+    return joined.groupBy("horse_id", "date", "flag").agg(F.count("*").alias("n"), F.sum("h_discount").alias("discounts"), F.max("h_date").alias("latest"))
+
+
 @query("""SELECT l_partkey AS horse_id, l_orderkey AS race_id, l_linenumber, rn FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate::DATE DESC, l_orderkey DESC, l_linenumber DESC)::INTEGER AS rn
   FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber, l_shipdate::DATE AS l_shipdate FROM lineitem))""")
 def recent_rank(spark, sf):
