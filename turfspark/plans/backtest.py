@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import features, payouts, policies, scoring, settlement
 from ..operators.joins import union_batches
 from ..streaming import raceday
+from ..streaming.history_stream import state_store
+from ..streaming.race_events import race_events as fired_events
 from ..sources.scratch import scratch_path
 from ..vocab import DIRECTIONS, WEATHER
 from .mapping import PAY, RUN, SCORED, day_rows, day_sql, payout_texts, query, races, runners, table
@@ -215,6 +217,23 @@ def active_races(spark, sf):
     return raceday.active_races(_posts(spark, sf), "2024-01-10 12:00:00").select("race_id")
 
 
+@query(f"""WITH p AS (SELECT *, post_time - INTERVAL 50 MINUTE AS a, lag(post_time) OVER (PARTITION BY date, place_id ORDER BY race_id) AS b FROM {_POSTS}),
+  e AS (SELECT *, 'announced' AS event, a AS t FROM p UNION ALL SELECT *, 'off', post_time FROM p UNION ALL SELECT *, 'next', b FROM p WHERE epoch_ms(b) < epoch_ms(a))
+  SELECT race_id, date, place_id, event, strftime(t, '%Y-%m-%d %H:%M:%S') AS at FROM e""")
+def race_events(spark, sf):
+    """All events of all races, from a stream of the schedule and a clock that runs beyond the last post time."""
+    races, clock, to, check = (scratch_path(spark, x) for x in ("races", "clock", "events", "stream"))
+    posts = _posts(spark, sf).withColumn("seen", F.date_trunc("day", "post_time"))
+    posts.write.parquet(races)
+    end = posts.agg((F.max("post_time") + F.expr("interval 1 day")).alias("seen")).filter("seen is not null")
+    end.write.parquet(clock)
+    stream = spark.readStream
+    events = fired_events(stream.schema(posts.schema).parquet(races), stream.schema(end.schema).parquet(clock))
+    with state_store(spark):
+        events.writeStream.format("parquet").option("path", to).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(to).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("SELECT event_id AS race_id, ts::DATE AS date FROM events")
 def schedule_order(spark, sf):
     return raceday.schedule_order(_posts(spark, sf), "date", "post_time").select("race_id", "date")
