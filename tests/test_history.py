@@ -173,3 +173,33 @@ def test_asof_history_of_empty_tables(spark):
     r = spark.createDataFrame([(1, 1, dt.date(2023, 1, 1))], "race_id int, horse_id int, date date")
     h = spark.createDataFrame([], "horse_id int, date date, t int")
     assert H.asof_history(r, h, ["t"]).count() == 0 == H.asof_history(r.limit(0), r.select("horse_id", "date"), []).count()
+
+
+def test_partitions_follow_the_rows(spark):
+    h = spark.range(4000).selectExpr("cast(id % 300 as int) horse_id", "date_add(date'2020-01-01', cast(id % 700 as int)) date", "id R", "cast(id as double) t")
+    r = h.select("horse_id", "date").distinct()
+    few, many = (H.history_features(r, h, ["t"], path="linear", part_rows=n) for n in (1_000_000, 100))
+    assert few.rdd.getNumPartitions() <= 16 and many.rdd.getNumPartitions() >= 40
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_many_rows_of_small_entities_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(H, "FANOUT_PAIRS", 1000)
+    h = spark.range(400).selectExpr("cast(id % 20 as int) horse_id", "date_add(date'2020-01-01', cast(id % 70 as int)) date", "id R", "cast(id as double) t")
+    got = H.history_features(h.select("horse_id", "date"), h, ["t"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("windows", [(5, 9), ()])
+def test_a_hot_entity_is_reduced_by_day(spark, monkeypatch, windows):
+    h = spark.createDataFrame([x for x in _some(11, 400) if x[0] != 4], "horse_id int, date date, g string, R int, t1 double, t2 double")
+    r = h.select("horse_id", "date", "g")
+    whole = H.history_features(r, h, ["t1", "t2"], ["g"], windows, path="linear")
+    monkeypatch.setattr(H, "HOT_ROWS", 1)
+    reduced = H.history_features(r, h, ["t1", "t2"], ["g"], windows, path="linear")
+    key = lambda x: str(x[:3])
+    fix = lambda x: tuple(round(v, 9) if isinstance(v, float) else v for v in x)
+    assert sorted(map(fix, whole.collect()), key=key) == sorted(map(fix, reduced.collect()), key=key)
+    assert reduced.schema == whole.schema

@@ -6,14 +6,15 @@ never count, also where both tables have instants: days are compared. Ties withi
 columns, the larger the newer. A mean is a double whatever the target's type, skips nulls and NaN, and is null
 without a row.
 
-Two physical paths with equal results, of which ``auto`` takes ``fanout`` if no entity has more than
-``FANOUT_ROWS`` rows of history, by a count of them all, and else ``linear``:
+Two physical paths with equal results, of which ``auto`` takes ``fanout`` if no entity has more than ``FANOUT_ROWS`` rows
+of history and all squares of these numbers add up to ``FANOUT_PAIRS`` at most, by a count of them all, and else ``linear``:
 
+* ``linear``: runners and history of an entity meet in one shuffle, into as many partitions as both tables' rows
+  ask for, and windows over them add up sums and gather the n newest rows. If an entity has more than ``HOT_ROWS`` rows
+  of history, by a count of them all, history is reduced by day before the shuffle, so that such an entity costs no
+  more rows than it has days (and categories), and n rows of a day.
 * ``fanout``: one join on the entity with the date condition, one row number, one grouped aggregate. Its
-  rows grow with the square of the rows per entity; good for entities with a hundred rows or so.
-* ``linear``: per entity and day (and category) sums and counts, added up by window; for the last n, the n
-  newest rows carried along. Sums are pre-aggregated per day before the shuffle, so one entity with a large
-  part of all rows costs no more rows than it has days.
+  rows grow with the square of the rows per entity.
 """
 
 from math import ceil
@@ -22,8 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordering import parts_for
+
 WINDOWS = (5, 9)
-FANOUT_ROWS = 200
+FANOUT_ROWS, FANOUT_PAIRS = 200, 4_000_000
+HOT_ROWS = 100_000
+PART_ROWS = 250_000
 SPREAD = 64
 
 
@@ -113,17 +118,18 @@ def lastn_history(history: DataFrame, n: int, entity: str = "horse_id", when: st
 
 def history_features(
     runners: DataFrame, history: DataFrame, targets: list[str], groups: list[str] = (), windows: tuple[int, ...] = WINDOWS, entity: str = "horse_id",
-    when: str = "date", order: tuple[str, ...] = ("R",), latest: str | None = "latest", path: str = "auto",
+    when: str = "date", order: tuple[str, ...] = ("R",), latest: str | None = "latest", path: str = "auto", part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Runners with ``{target}_{n}R``, ``{target}_allR``, ``{target}_{group}_{n}R``, ``{target}_{group}_allR``
     and the latest earlier date. ``groups`` are columns of both tables."""
     groups = list(groups)
     history = history.withColumn(when, F.to_date(when))
+    known = history.filter(F.col(when).isNotNull() & F.col(entity).isNotNull()).groupBy(entity).count()
+    most, rows, pairs = (x or 0 for x in known.agg(F.max("count"), F.sum("count"), F.sum(F.col("count") * F.col("count"))).first())  # three numbers
+    if path == "linear" or path == "auto" and (most > FANOUT_ROWS or pairs > FANOUT_PAIRS):
+        return _linear(runners, history, list(targets), groups, windows, entity, when, list(order), latest, most, rows, part_rows)
     keys = runners.select(entity, F.to_date(when).alias(when), *groups).filter(F.col(when).isNotNull() & F.col(entity).isNotNull()).distinct()
-    if path == "auto":
-        most = history.groupBy(entity).count().agg(F.max("count")).first()[0] or 0  # one number
-        path = "fanout" if most <= FANOUT_ROWS else "linear"
-    features = {"fanout": _fanout, "linear": _linear}[path](keys, history, list(targets), groups, windows, entity, when, list(order), latest)
+    features = _fanout(keys, history, list(targets), groups, windows, entity, when, list(order), latest)
     return _attached(runners, features, [entity, when], groups, {when: F.to_date(when)})
 
 
@@ -157,58 +163,72 @@ def _fanout(keys, history, targets, groups, windows, entity, when, order, latest
     return joined.groupBy(entity, when, *groups).agg(*out)
 
 
-def _running(keys, days, partition, targets, entity, when, suffix) -> DataFrame:
-    """Means over all earlier days within ``partition`` for every key row."""
-    sums = [F.col(f"{a}_{t}") for t in targets for a in ("s", "n")]
-    blank = [F.lit(None).cast(days.schema[f"{a}_{t}"].dataType).alias(f"{a}_{t}") for t in targets for a in ("s", "n")]
-    rows = days.select(*partition, when, *sums, F.lit(False).alias("_key")).unionByName(keys.select(*partition, when).distinct().select(*partition, when, *blank, F.lit(True).alias("_key")))
-    before = Window.partitionBy(*partition).orderBy(F.unix_date(F.col(when).cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
-    means = [F.try_divide(F.sum(f"s_{t}").over(before), F.sum(f"n_{t}").over(before)).alias(f"{t}_{suffix}allR") for t in targets]
-    return rows.select("*", *means).filter("_key").select(*partition, when, *[f"{t}_{suffix}allR" for t in targets])
-
-
 def _taken(rows: Column, target: str) -> Column:
     return F.array_compact(F.transform(rows, lambda x: x[f"_t_{target}"]))
 
 
 def _of_group(rows: Column, group: str) -> Column:
-    return F.filter(rows, lambda x: x[f"_g_{group}"] == F.col(group))
-
-
-def _linear(keys, history, targets, groups, windows, entity, when, order, latest) -> DataFrame:
-    h = pruned_history(history, keys, entity).filter(F.col(when).isNotNull())
-    h = h.select(entity, when, *groups, *[F.col(c).alias(f"_o_{c}") for c in order], *[_value(h, t).cast("double").alias(f"_t_{t}") for t in targets])
-    per_day = [f(f"_t_{t}").alias(f"{a}_{t}") for t in targets for a, f in (("s", F.sum), ("n", F.count))]
-    out = keys
-    for partition, suffix in [([entity], ""), *([[entity, g], f"{g}_"] for g in groups)]:
-        days = h.groupBy(*partition, when).agg(*per_day)
-        found = _running(keys, days, partition, targets, entity, when, suffix)
-        if suffix:  # a null category equals none
-            found = found.filter(F.col(partition[1]).isNotNull())
-        out = _attached(out, found, [entity, when], partition[1:])
-    # the newest rows of a day, at most the widest window; then those of the days before, carried along
-    n = max(windows, default=1)
-    entry = F.struct(F.col(when).alias("w"), *[F.col(f"_o_{c}") for c in order], *[F.col(f"_t_{t}") for t in targets], *[F.col(g).alias(f"_g_{g}") for g in groups])
-    rank = F.row_number().over(Window.partitionBy(entity, when).orderBy(*[F.desc(f"_o_{c}") for c in order]))
+    return F.filter(rows, lambda x: x[f"_g_{group}"] == F.col(f"_g_{group}"))
+
+
+def _events(h: DataFrame, targets: list[str], groups: list[str], n: int, hot: bool) -> DataFrame:
+    """What counts of history: sums and counts of the targets, and the rows that may be among the newest ``n`` (``_entry``).
+    With a hot entity both are reduced by day before they're shuffled: to a row for each day and category, and ``n`` rows."""
+    entry = F.struct(*[c for c in h.columns if c not in ("_e", "_w")])
+    by, one = ["_e", "_w", *[f"_g_{g}" for g in groups]], {f"_n_{t}": F.col(f"_t_{t}").isNotNull().cast("long") for t in targets}
+    if not hot:
+        return h.select(*by, *[F.col(f"_t_{t}").alias(f"_s_{t}") for t in targets], *[c.alias(k) for k, c in one.items()], entry.alias("_entry"))
+    sums = h.groupBy(*by).agg(*[F.sum(f"_t_{t}").alias(f"_s_{t}") for t in targets], *[F.count(f"_t_{t}").alias(f"_n_{t}") for t in targets])
+    sums = sums.withColumn("_entry", F.lit(None).cast(h.select(entry.alias("x")).schema["x"].dataType))
+    if not n:
+        return sums
+    rank = F.row_number().over(Window.partitionBy("_e", "_w").orderBy(*[F.desc(c) for c in h.columns if c.startswith("_o_")]))
     newest = h.withColumn("_rn", rank).filter(F.col("_rn") <= n)
-    lists = newest.groupBy(entity, when).agg(F.reverse(F.array_sort(F.collect_list(entry))).alias("_rows"))  # n at most
-    day = F.unix_date(F.col(when).cast("date"))
-    upto = Window.partitionBy(entity).orderBy(day).rowsBetween(1 - n, 0)
-    lists = lists.withColumn("_last", F.slice(F.flatten(F.reverse(F.collect_list("_rows").over(upto))), 1, n)).drop("_rows")
-    asked = keys.select(entity, when).distinct()
-    rows = lists.withColumn("_key", F.lit(False)).unionByName(asked.select("*", F.lit(None).cast(lists.schema["_last"].dataType).alias("_last"), F.lit(True).alias("_key")))
-    before = Window.partitionBy(entity).orderBy(day, F.desc("_key")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.withColumn("_last", F.last("_last", ignorenulls=True).over(before)).filter("_key").select(entity, when, "_last")
-    out = out.join(carried, [entity, when], "left")
-    mean = lambda values: F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+    none = [F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in sums.columns if c[:3] in ("_s_", "_n_")]
+    return sums.unionByName(newest.select(*by, *none, entry.alias("_entry")))
+
+
+def _linear(runners, history, targets, groups, windows, entity, when, order, latest, most, rows, part_rows) -> DataFrame:
+    h, n = history.filter(F.col(when).isNotNull() & F.col(entity).isNotNull()), max(windows, default=0)
+    asked = runners.count()
+    if asked * 4 < rows:
+        h = pruned_history(h, runners, entity)
+    h = h.select(
+        F.col(entity).alias("_e"), F.col(when).alias("_w"), *[F.col(c).alias(f"_o_{c}") for c in order], *[_value(h, t).cast("double").alias(f"_t_{t}") for t in targets],
+        *[F.col(g).alias(f"_g_{g}") for g in groups],
+    )
+    events = _events(h, targets, groups, n, most > HOT_ROWS)
+    kind = {f.name: f.dataType for f in events.schema.fields}
+    # rows of no entity or no day have no features: they're spread
+    known = F.col(entity).isNotNull() & F.to_date(when).isNotNull()
+    spread = F.when(known, 0).otherwise(1 + F.pmod(F.xxhash64(*[F.col(c) for c, x in runners.dtypes if "map<" not in x]), F.lit(1 << 20)))
+    keys = runners.select(
+        F.when(known, F.col(entity)).cast(kind["_e"]).alias("_e"), F.to_date(when).alias("_w"), *[F.col(g).cast(kind[f"_g_{g}"]).alias(f"_g_{g}") for g in groups],
+        *[F.lit(None).cast(kind[c]).alias(c) for c in events.columns if c[:3] in ("_s_", "_n_") or c == "_entry"],
+        F.struct(*runners.columns).alias("_row"), F.lit(False).alias("_event"), spread.cast("long").alias("_spread"),
+    )
+    events = events.withColumns({"_row": F.lit(None).cast(keys.schema["_row"].dataType), "_event": F.lit(True), "_spread": F.lit(0).cast("long")})
+    both = keys.unionByName(events).repartition(parts_for(runners, asked + rows, part_rows), "_e", "_spread")
+    # a day's runners stand before its results, so what comes before a runner is of earlier days
+    one = ["_e", "_spread"]
+    upto = Window.partitionBy(*one).orderBy("_w", "_event", *(["_entry"] if n else [])).rowsBetween(Window.unboundedPreceding, 0)
+    mean = lambda t, w: F.try_divide(F.sum(f"_s_{t}").over(w), F.sum(f"_n_{t}").over(w))
+    found = {f"_all_{t}": mean(t, upto) for t in targets} | {"_latest": F.max(F.when(F.col("_event"), F.col("_w"))).over(upto)}
+    both = both.withColumns(found | ({"_p": F.count("_entry").over(upto)} if n else {}))
+    for g in groups:  # a null category equals none
+        of = Window.partitionBy(*one, f"_g_{g}").orderBy("_w", "_event").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumns({f"_all_{t}_{g}": F.when(F.col(f"_g_{g}").isNotNull(), mean(t, of)) for t in targets})
+    if n:  # entries are numbered; a runner has the number of the last one before it
+        both = both.withColumn("_last", F.reverse(F.collect_list("_entry").over(Window.partitionBy(*one).orderBy("_p").rangeBetween(1 - n, 0))))
+    average = lambda values: F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
     columns = []
     for t in targets:
         for k in windows:
             some = F.slice("_last", 1, k)
-            columns.append(mean(_taken(some, t)).alias(f"{t}_{k}R"))
-            columns += [mean(_taken(_of_group(some, g), t)).alias(f"{t}_{g}_{k}R") for g in groups]
-        columns.append(F.col(f"{t}_allR"))
-        columns += [F.col(f"{t}_{g}_allR") for g in groups]
+            columns.append(average(_taken(some, t)).alias(f"{t}_{k}R"))
+            columns += [average(_taken(_of_group(some, g), t)).alias(f"{t}_{g}_{k}R") for g in groups]
+        columns.append(F.col(f"_all_{t}").alias(f"{t}_allR"))
+        columns += [F.col(f"_all_{t}_{g}").alias(f"{t}_{g}_allR") for g in groups]
     if latest:
-        columns.append(F.get(F.col("_last"), F.lit(0))["w"].alias(latest))
-    return out.select(entity, when, *groups, *columns)
+        columns.append(F.col("_latest").alias(latest))
+    return both.filter(~F.col("_event")).select(*[F.col(f"_row.`{c}`").alias(c) for c in runners.columns], *columns)
