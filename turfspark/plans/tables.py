@@ -98,7 +98,8 @@ def result_pages(spark, sf):
     row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td> <td>", *[c.cast("string") for c in cells]), F.lit("</td></tr>"))
     head = F.lit("<html><p>x</p><table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>")
     rows = F.array_join(F.array_sort(F.collect_list(F.struct("umaban", row.alias("r"))))["r"], "\n")  # runners of one race
-    built = runners(spark, sf).groupBy(F.col("race_id").cast("string").alias("page_id")).agg(F.concat(head, rows, F.lit("</table></html>")).alias("html"))
+    built = runners(spark, sf).groupBy("race_id").agg(F.concat(head, rows, F.lit("</table></html>")).alias("html"))  # where the runners are
+    built = built.select(F.col("race_id").cast("string").alias("page_id"), "html")
     raw = pages.main_table(pages.pages_to_tables(built), names).withColumnRenamed("page_id", "race_id")
     return cleaning.clean_results(raw)
 
@@ -109,7 +110,8 @@ def payout_pages(spark, sf):
     texts = payout_texts(runners(spark, sf))
     cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("br"), F.lit("<br/>"))
     row = F.concat(F.lit("<tr><th>"), F.col("kind"), F.lit("</th><td>"), cell(F.col("win")), F.lit("</td><td>"), cell(F.col("payout")), F.lit("</td></tr>"))
-    built = texts.groupBy(F.col("race_id").cast("string").alias("page_id")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
+    built = texts.groupBy("race_id").agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
+    built = built.select(F.col("race_id").cast("string").alias("page_id"), "html")
     paid = parse_payouts(pages.create_return_rows(pages.pages_to_tables(built)))
     return paid.withColumn("win", F.concat_ws(",", F.transform("win", lambda x: x.cast("string"))))
 
@@ -125,7 +127,7 @@ def spanned_tables(spark, sf):
     cell = lambda text, down, right: f'<td rowspan="{down}" colspan={right}>{text}</td>'
     body = "".join("<tr>" + "".join(cell(*c) for c in row) + "</tr>" for row in _SPANNED)
     html = "<table><thead><tr><th>{r}</th><th colspan='3' rowspan=9>h</th></tr></thead><tbody>" + body + "</tbody></table>"
-    built = runners(spark, sf).select(F.col("race_id").cast("string").alias("page_id")).distinct()
+    built = runners(spark, sf).select("race_id").distinct().select(F.col("race_id").cast("string").alias("page_id"))
     built = built.withColumn("html", F.replace(F.lit(html), F.lit("{r}"), F.col("page_id")))
     return pages.pages_to_tables(built).withColumn("cells", F.array_join("cells", "|"))
 
