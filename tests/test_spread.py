@@ -20,3 +20,8 @@ def test_rows_of_many_pages_leave_together(spark):
     want = [(i, 0, r, c) for i in range(50) if i % 3 for r, c in ((0, ["a"]), (1, ["b", "c"]))]
     for n in (1, 7, 1000):
         assert sorted(map(tuple, pages.pages_to_tables(df, rows=n).collect())) == want
+
+
+def test_runners_follow_the_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mapping, "PART_ROWS", 250)
+    assert mapping.runners(spark, sf_dir).rdd.getNumPartitions() >= 20
