@@ -151,3 +151,11 @@ def test_two_thresholds_equal_brute_force(spark):
         if len(backs) > 1:
             assert abs(x["std"] - stdev(backs) * len(backs) ** 0.5 / (100 * sum(bets))) < 1e-9
     assert not got
+
+
+def test_scores_that_differ_by_rounding_have_no_deviation(spark):
+    ulp = 31.916666666666668, 31.91666666666667
+    rows = [(1, u, 1, s) for u, s in enumerate(ulp)] + [(2, u, 1, s) for u, s in enumerate((0.1 + 0.2, 0.3, 0.3))] + [(3, u, 1, s) for u, s in enumerate((1.0, 1.0 + 1e-9))]
+    df = spark.createDataFrame(rows, "race_id int, umaban int, wakuban int, score double")
+    got = {(r.race_id, r.umaban): r.score and round(r.score, 6) for r in scoring.score_std(df).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (2, 0): None, (2, 1): None, (2, 2): None, (3, 0): -1.0, (3, 1): 1.0}
