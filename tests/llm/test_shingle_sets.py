@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline as P
@@ -75,3 +76,18 @@ def test_stage_matches_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, sf_dir).collect()) == want
+
+
+def test_only_wanted_sets_leave_their_task(spark):
+    """Two texts of 400 are wanted, one of them 100 times: few rows meet the join by set, whatever the number of texts."""
+    texts = [f"text {i} of words {i * 7} and {i * 11} more" for i in range(300)] + ["one text that comes often in here"] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    prints = N.keyed(docs)
+    nodes = prints.filter("id in (5, 350)").select("fp").distinct()
+    assert {r.fp for r in nodes.collect()} <= {r.fp for r in N._contents(docs, "text", N._sieve(nodes)).collect()}
+    assert N._contents(docs, "text", N._sieve(nodes)).count() < 10
+    want = sorted((r.fp, bytes(r.hashes)) for r in N._wanted(nodes, docs, "text").collect())
+    full = N._contents(docs, "text", np.full(1 << 10, -1, np.int64).view(np.uint64))
+    assert want == sorted((r.fp, bytes(r.hashes)) for r in full.join(nodes, "fp", "left_semi").collect()) and full.count() == 301
+    some = np.array([0, -1, 1 << 62, -(1 << 62), 12345], np.int64)
+    assert N._sieved(some, N._sieve(spark.createDataFrame([(int(x),) for x in some], "fp long"), 10)).all()
