@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from turfspark.operators import history as H
@@ -65,3 +66,22 @@ def test_results_of_the_day_enter_the_next_one_and_late_rows_are_told(spark, run
     rows = {r.race_id: r for r in run([(7, 7, d(1), "a"), (8, 7, d(4), "b")], [(7, d(3), "b", 1, 6.0, 1.0)]).collect()}
     assert rows[7].late and rows[7].t1_allR is None
     assert (rows[8].t1_allR, rows[8].t1_g_allR, rows[8].t1_5R) == (5.0, 4.0, 5.0)
+
+
+def test_one_call_takes_a_bucket_of_entities():
+    class States(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    class Handle:
+        def getMapState(self, *_):
+            return states
+
+    states, names = States(), HS.feature_names(["t1"], ["g"], (5,))
+    processor = HS._Processor(names, 1, (5,))
+    processor.init(Handle())
+    columns = ["entity", "day", "is_result", "groups", "card", "ordering", "values"]
+    rows = [(str(e), f"2024-03-0{d}", r, '["a"]', None if r else f"{e} {d}", f"[{e}]" if r else None, f"[{e}.0]" if r else None) for d in (2, 1) for r in (True, False) for e in range(50)]
+    frames = list(processor.handleInputRows((7,), iter([pd.DataFrame(rows, columns=columns)])))
+    assert len(frames) == 1 and len(frames[0]) == 100 and len(states) == 50
+    got = {r.card: (r.t1_allR, r.t1_g_5R, r.latest) for r in frames[0].itertuples()}
+    assert got["30 2"] == (30.0, 30.0, "2024-03-01") and got["30 1"][2] is None
