@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from ..vocab import OTHER_PLACE, PLACES, RACE_TYPES
 
 
+_END = "\x01"  # ends a part of a text; texts that have it themselves fit no pattern
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -15,6 +18,11 @@ def found(text: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(_col(text), pattern, group), F.lit(""))
 
 
+def number(text: Column | str, pattern: str, group: int = 1) -> Column:
+    """First match of a group as an integer, null without one."""
+    return F.regexp_extract(_col(text), pattern, group).try_cast("int")
+
+
 def code_map(codes: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
 
@@ -45,34 +53,35 @@ def weight_change(text: Column | str) -> Column:
 
 
 def first_corner(passing: Column | str) -> Column:
-    return found(passing, r"(\d+)").try_cast("int")
+    return number(passing, r"(\d+)")
 
 
 def final_corner(passing: Column | str) -> Column:
-    return found(passing, r"(\d+)\D*$").try_cast("int")
+    return number(passing, r"(\d+)\D*$")
 
 
 def place_code(text: Column | str) -> Column:
     """``05`` of ``1東京3``; 99 for a place that has no code."""
-    return F.coalesce(F.element_at(code_map(PLACES), found(text, r"(\D+)")), F.lit(OTHER_PLACE))
+    return F.coalesce(F.element_at(code_map(PLACES), F.regexp_extract(_col(text), r"(\D+)", 1)), F.lit(OTHER_PLACE))
 
 
 def race_type(course: Column | str) -> Column:
     """``ダート`` of ``ダ1150``."""
-    return F.element_at(code_map(RACE_TYPES), found(course, r"(\D+)"))
+    return F.element_at(code_map(RACE_TYPES), F.regexp_extract(_col(course), r"(\D+)", 1))
 
 
 def hundreds(distance: Column | str) -> Column:
     """Distance in whole hundreds of metres: 11 of 1150 or of ``ダ1150``."""
-    return F.floor(found(_col(distance).cast("string"), r"(\d+)").try_cast("int") / 100).cast("int")
+    return F.floor(number(_col(distance).cast("string"), r"(\d+)") / 100).cast("int")
 
 
 def race_seconds(time: Column | str) -> Column:
     """94.5 of ``1:34.5``, ``1.34.5`` or ``1:34:5``."""
     pattern = r"^\s*(\d+)(?::(\d{1,2})[.:]|\.(\d{1,2})\.)(\d+)\s*$"
-    minutes, seconds = found(time, pattern, 1), F.coalesce(found(time, pattern, 2), found(time, pattern, 3))
-    fraction = found(time, pattern, 4)
-    return minutes.try_cast("double") * 60 + seconds.try_cast("double") + F.concat(F.lit("0."), fraction).try_cast("double")
+    parts = F.split(F.regexp_replace(_col(time), pattern, f"$1{_END}$2$3{_END}$4{_END}"), _END)  # matched once; what doesn't fit is left as it is
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+    fraction = F.concat(F.lit("0."), F.get(parts, F.lit(2))).try_cast("double")
+    return F.when(~F.contains(_col(time), F.lit(_END)), part(0) * 60 + part(1) + fraction)
 
 
 def japanese_date(text: Column | str) -> Column:
