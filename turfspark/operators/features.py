@@ -36,7 +36,7 @@ def add_agedays(df: DataFrame, date: str = "date", birthday: str = "birthday") -
 def one_hot_columns(column: str, values: list[str], prefix: str | None = None) -> list[Column]:
     """A 0/1 column for each value, unseen ones too; an unknown or null value has none set."""
     prefix = column if prefix is None else prefix
-    return [F.coalesce((F.col(column).cast("string") == v).cast("int"), F.lit(0)).alias(f"{prefix}__{v}") for v in values]
+    return [F.col(column).cast("string").eqNullSafe(v).cast("int").alias(f"{prefix}__{v}") for v in values]
 
 
 def one_hot_fixed(df: DataFrame, specs: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
@@ -61,7 +61,8 @@ def label_encode_masters(
     known = reduce(DataFrame.unionByName, known) if known else spark.createDataFrame([], "column string, id string, encoded_id long")
     ids = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("id")) for c in columns]))
     first = df.select(F.struct(*order).alias("_f"), ids.alias("_i")).select("_f", "_i.*").filter("id is not null")
-    seen = stored(first.groupBy("column", "id").agg(F.min("_f").alias("_f"), F.count("*").alias("_rows")), "ids")
+    first = first.groupBy("id", "column").agg(F.min("_f").alias("_f"), F.count("*").alias("_rows"))  # sorted, so ids lead: columns are alike
+    seen = stored(first.select("column", "id", "_f", "_rows"), "ids")
     first = seen.join(known, ["column", "id"], "left_anti")
     first = first.select("column", "id", *[F.col(f"_f.{c}").alias(f"_o_{c}") for c in order])
     numbers = numbered(first, ["column", *[f"_o_{c}" for c in order], "id"], "_n", 0, part_rows).select("column", "id", "_n")
@@ -129,6 +130,10 @@ def featurize(df: DataFrame, masters: dict[str, DataFrame | None] | None = None,
         df = add_interval(df)
     if "birthday" in df.columns:
         df = add_agedays(df)
-    df = one_hot_fixed(df)
     ids = [c for c in IDS if c in df.columns]
-    return label_encode_masters(df, ids, list(order), masters) if ids else (df, {})
+    if not ids:
+        return one_hot_fixed(df), {}
+    # codes first: a join moves rows without the one-hot columns, which are made where the rows end up
+    coded, updated = label_encode_masters(df, ids, list(order), masters)
+    out, codes = one_hot_fixed(coded), [f"{c}_code" for c in ids]
+    return out.select(*[c for c in out.columns if c not in codes], *codes), updated
