@@ -307,3 +307,13 @@ def test_more_trees_than_help_are_not_kept(spark):
     rows = spark.range(400).selectExpr("cast(pmod(xxhash64(id), 50) AS double) a", "cast(pmod(xxhash64(id, 1), 2) AS int) rank", "id")
     table = ml.tune(rows.filter("id < 200"), rows.filter("id >= 200"), ["a"], steps=(("size", ({"maxDepth": 5},)),), trees=30)[1]
     assert table.first().kept < 30
+
+
+def test_a_rewritten_partition_is_gathered(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    new = spark.range(400).select(F.col("id").alias("race_id"), (F.col("id") % 3).cast("int").alias("year")).repartition(8, "race_id")
+    new.limit(0).write.partitionBy("year").parquet(path)
+    upsert = dict(key="race_id", partition="year", staging=f"file://{tmp_path}/staging", schema=new.schema)
+    tables.upsert_partitions(spark, path, new, **upsert)
+    assert spark.read.schema(new.schema).parquet(path).count() == 400
+    assert [len(list((tmp_path / "staging" / f"year={y}").glob("*.parquet"))) for y in range(3)] == [1, 1, 1]

@@ -104,9 +104,10 @@ def advance(spark: SparkSession, path: str, day: DataFrame, targets: list[str],
     """Adds a day, or several, to the stored state: of the entities that ran the state is read, merged and replaced, in
     their buckets. Days come in ascending order for each entity; what was added before, by a run that failed or ran
     again, isn't added twice."""
-    new = state_of(day, targets, groups, windows, entity, when, order)
-    old = load(spark, path, new.schema, day, entity, buckets)
-    new = state_of(unseen(old, day, entity, when), targets, groups, windows, entity, when, order)
+    schema = state_of(day, targets, groups, windows, entity, when, order).schema
+    old = load(spark, path, schema, day, entity, buckets)
+    fresh = stored(unseen(old, day, entity, when), "fresh")  # sums, newest rows and each group read it
+    new = state_of(fresh, targets, groups, windows, entity, when, order)
     merged = merge([old, new], windows).select(*new.columns)
     merged = stored(_bucketed(merged, entity, buckets), "state")  # it's used for the partitions, the keys and the rows
     tables.upsert_partitions(spark, path, merged, entity, "bucket", schema=merged.schema)
@@ -127,15 +128,17 @@ def features(
     last = F.when(ahead, F.raise_error(F.lit("the state isn't of earlier days only"))).otherwise(F.col("_all.last"))
     rows = rows.withColumn("_last", F.when(F.to_date(when).isNotNull(), last))
     mean = lambda values: F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
-    taken = lambda some, t: F.array_compact(F.transform(some, lambda x: x[f"_t_{t}"]))
-    of_group = lambda some, g: F.filter(some, lambda x: x[f"_g_{g}"] == F.col(g).cast("string"))
+    of_group = lambda newest, g: F.filter(newest, lambda x: x[f"_g_{g}"] == F.col(g).cast("string"))
+    some = {f"_some_{k}": F.slice("_last", 1, k) for k in windows}  # found once for all targets
+    some |= {f"_some_{g}_{k}": of_group(F.slice("_last", 1, k), g) for g in groups for k in windows}
+    rows = rows.withColumns(some)
+    taken = lambda name, t: F.array_compact(F.col(name)[f"_t_{t}"])
     known = F.col("_last").isNotNull()
     columns = []
     for t in targets:
         for k in windows:
-            some = F.slice("_last", 1, k)
-            columns.append(mean(taken(some, t)).alias(f"{t}_{k}R"))
-            columns += [mean(taken(of_group(some, g), t)).alias(f"{t}_{g}_{k}R") for g in groups]
+            columns.append(mean(taken(f"_some_{k}", t)).alias(f"{t}_{k}R"))
+            columns += [mean(taken(f"_some_{g}_{k}", t)).alias(f"{t}_{g}_{k}R") for g in groups]
         whole = lambda v, t=t: F.when(known, F.try_divide(v[f"s_{t}"], v[f"n_{t}"]))
         columns.append(whole(F.col("_all.v")).alias(f"{t}_allR"))
         columns += [whole(F.col("_by")[F.struct(F.lit(g).alias("kind"), F.col(g).cast("string").alias("category"))]).alias(f"{t}_{g}_allR") for g in groups]

@@ -111,7 +111,8 @@ def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, key: str =
         kept = kept | F.col(partition).eqNullSafe(F.lit(value))
     merged = upsert_by_key(stored.filter(kept), new, key)
     staging = staging or path.rstrip("/") + "_staging"
-    merged.write.mode("overwrite").partitionBy(partition).parquet(staging)  # what is rewritten must not be read meanwhile
+    gathered = merged.hint("rebalance", F.col(partition))  # else every task has a file of every partition
+    gathered.write.mode("overwrite").partitionBy(partition).parquet(staging)  # what is rewritten must not be read meanwhile
     fresh = spark.read.schema(merged.schema).parquet(staging)
     left = {r[0] for r in fresh.select(partition).distinct().collect()}
     emptied = [v for v in touched if v not in left]
