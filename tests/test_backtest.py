@@ -159,3 +159,12 @@ def test_scores_that_differ_by_rounding_have_no_deviation(spark):
     df = spark.createDataFrame(rows, "race_id int, umaban int, wakuban int, score double")
     got = {(r.race_id, r.umaban): r.score and round(r.score, 6) for r in scoring.score_std(df).collect()}
     assert got == {(1, 0): None, (1, 1): None, (2, 0): None, (2, 1): None, (2, 2): None, (3, 0): -1.0, (3, 1): 1.0}
+
+
+def test_thresholds_are_reached_by_blocks(spark):
+    rnd = random.Random(3)
+    for n in (1, 2, 3, 10, 100):
+        grid = sorted(rnd.choice([rnd.uniform(0, 4), 1.0, 2.5]) for _ in range(n))
+        scores = [*grid, 0.999, 1.0, 2.5, -1.0, 9.0]
+        rows = spark.createDataFrame([(s,) for s in scores], "s double").select("s", settlement.reached(grid, F.col("s")).alias("n"))
+        assert [(r.s, r.n) for r in rows.collect()] == [(s, sum(t <= s for t in grid)) for s in scores]

@@ -1,6 +1,8 @@
 """Settlement of picks against payouts. Combinations are counted in closed form; only the few winning
 combinations are tested against the picks."""
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,25 +75,33 @@ def return_band(portfolio: DataFrame) -> DataFrame:
     return portfolio.withColumns({"lower": F.col("return_rate") - F.col("std"), "upper": F.col("return_rate") + F.col("std")})
 
 
+def reached(thresholds: list[float], score: Column) -> Column:
+    """How many of the sorted thresholds a score reaches: first by blocks of them, then within the one block."""
+    block = max(1, isqrt(len(thresholds)))
+    count = lambda some: F.size(F.filter(some, lambda t: t <= score))
+    blocks = count(F.array(*map(F.lit, thresholds[::block])))
+    within = count(F.slice(F.array(*map(F.lit, thresholds)), (blocks - 1) * block + 1, F.lit(block)))
+    return F.when(blocks == 0, 0).otherwise((blocks - 1) * block + within)
+
+
 def threshold_sweep(scores: DataFrame, payouts: DataFrame, thresholds: list[float] | None = None, tickets: tuple[str, ...] = tuple(LEAST), amount: int = 100) -> DataFrame:
     """A portfolio row for every threshold and ticket type, in one job. A race's picks change only at its runners'
     scores: each such step is settled once, against the winners of one ticket type, and adds to a run of thresholds.
     Of a run only its two ends move, as a gain and a loss; the sums over thresholds are taken at the end, over a row for
     each threshold and ticket type. The deviation comes from sums of squares."""
     thresholds = sorted(threshold_grid() if thresholds is None else thresholds)
-    grid, n_grid = F.array(*map(F.lit, thresholds)), len(thresholds)
-    upto = lambda score: F.size(F.filter(grid, lambda t: t <= score))
+    n_grid = len(thresholds)
     runner = F.struct("umaban", "wakuban", F.col("score").cast("double").alias("score"))
     races = scores.filter(F.col("score").isNotNull()).groupBy("race_id").agg(F.collect_list(runner).alias("runners"), F.max("wakuban_flag").alias("flag"))
     levels = F.array_sort(F.filter(F.array_distinct(F.transform("runners", lambda r: r["score"])), lambda s: s >= min(thresholds)))
     races = races.withColumn("levels", levels).filter(F.size("levels") > 0)
+    races = races.withColumn("upto", F.transform("levels", lambda s: reached(thresholds, s)))
     wins = payouts.groupBy("race_id", "ticket_type").agg(F.collect_list(F.struct("win", "payout")).alias("won"))
     wins = wins.groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct("ticket_type", "won"))).alias("all_won"))
     none = F.array().cast(wins.schema["all_won"].dataType.valueType)
-    pair = F.transform("levels", lambda s, i: F.struct(s.alias("level"), F.when(i > 0, F.get("levels", i - 1)).alias("below")))
-    steps = races.join(wins, "race_id", "left").select("runners", "flag", "all_won", F.explode(pair).alias("s"))
-    below = F.when(F.col("s.below").isNull(), 0).otherwise(upto(F.col("s.below")))
-    steps = steps.select("runners", "flag", "all_won", F.col("s.level").alias("level"), below.alias("begin"), upto(F.col("s.level")).alias("end")).filter("begin < end")
+    pair = F.transform("levels", lambda s, i: F.struct(s.alias("level"), F.when(i > 0, F.get("upto", i - 1)).otherwise(0).alias("begin"), F.get("upto", i).alias("end")))
+    steps = races.join(wins, "race_id", "left").select("runners", "flag", "all_won", F.explode(F.filter(pair, lambda s: s["begin"] < s["end"])).alias("s"))
+    steps = steps.select("runners", "flag", "all_won", "s.*")
     picked = {f"_{c}": picks_from(F.col("runners"), F.col("level"), t) for c, t in (("umaban", "tansho"), ("wakuban", "wakuren"))}
     steps = steps.withColumns(picked).drop("runners", "level")
     settled = []
