@@ -309,6 +309,38 @@ def test_more_trees_than_help_are_not_kept(spark):
     assert table.first().kept < 30
 
 
+def test_equal_rows_are_learned_once_with_the_same_result(spark, monkeypatch):
+    """Every fit but the one on a part of the rows gets the different rows only; least numbers of rows on a side, one of
+    them exactly that of a value's rows and some beyond all rows, settle as they do row by row."""
+    rows = spark.range(3000).selectExpr("id", "cast(if(id % 11 = 0, null, id % 5) AS double) a", "if(id % 100 < 7, -1, cast(pmod(xxhash64(id), 4) AS int)) b", "pmod(xxhash64(id, 9), 100) < 20 AS flipped")
+    rows = rows.selectExpr("*", "cast((a > 2 AND b < 2 OR b = -1) != flipped AS int) AS r").selectExpr("*", "coalesce(r, 0) AS rank")
+    train, valid = rows.filter("id < 2000"), rows.filter("id >= 2000")
+    leaves = tuple({"minInstancesPerNode": n} for n in (1, 140, 141, 1000, 1001))
+    steps = (("size", ({"maxDepth": 2}, {"maxDepth": 3})), ("leaves", leaves), ("rows", ({"subsamplingRate": 1.0}, {"subsamplingRate": 0.7})))
+    assert train.filter("b = -1").count() == 140
+    seen, plain = [], ml.GBTClassifier._fit
+
+    def spy(self, data):
+        seen.append((self.getSubsamplingRate(), data.count()))
+        return plain(self, data)
+
+    monkeypatch.setattr(ml.GBTClassifier, "_fit", spy)
+    found = []
+    for least in (ml.DIFFERENT_ROWS, -1):
+        monkeypatch.setattr(ml, "DIFFERENT_ROWS", least)
+        model, table = ml.tune(train, valid, ["a", "b"], steps=steps, trees=4)
+        scores = {(r.a, r.b): r.score for r in ml.score_runners(model, rows.select("a", "b").distinct(), ["a", "b"]).collect()}
+        single = ml.train_classifier(train, ["a", "b"], trees=4)
+        found.append((table.orderBy("fit").collect(), scores, ml.score_runners(single, train, ["a", "b"]).orderBy("id").collect()))
+    (fits, scores, ones), (fits_of_rows, scores_of_rows, ones_of_rows) = found
+    drop = lambda r: [r[c] for c in ("fit", "step", "setting", "trees", "kept", "taken")]
+    assert [drop(r) for r in fits] == [drop(r) for r in fits_of_rows] and len({round(r.auc, 6) for r in fits}) > 4
+    assert all(abs(a.auc - b.auc) < 1e-9 for a, b in zip(fits, fits_of_rows, strict=True))
+    assert all(abs(scores[k] - v) < 1e-9 for k, v in scores_of_rows.items()) and all(abs(a.score - b.score) < 1e-9 for a, b in zip(ones, ones_of_rows, strict=True))
+    half = len(seen) // 2
+    assert all((n <= 120) == (rate == 1.0) for rate, n in seen[:half]) and all(n >= 2000 for _, n in seen[half:])
+
+
 def test_a_rewritten_partition_is_gathered(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     new = spark.range(400).select(F.col("id").alias("race_id"), (F.col("id") % 3).cast("int").alias("year")).repartition(8, "race_id")
