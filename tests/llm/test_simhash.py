@@ -138,3 +138,18 @@ def test_of_rows_with_one_id_the_first_by_text_stays(spark):
     rows = [(5, long, "x"), (5, "a " + long, "y"), (5, None, "z"), (5, None, "z"), (6, long, "other"), (7, "quite another text of some words", "own"), (8, None, "none")]
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _head string"))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, None, "z"), (7, "quite another text of some words", "own")], key=str)
+
+
+def test_a_row_of_a_repeated_id_stays_where_the_id_names_its_component(spark):
+    """The texts of id 5 have a component each: of one it's the smallest id, of the other it isn't."""
+    one, two = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    rows = [(3, "z " + one, 0), (5, one, 1), (5, two, 2), (5, two, 3), (9, two + " z", 4), (None, two, 5), (12, None, 6)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _named int"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, "z " + one), (5, two), (12, None)]
+
+
+def test_of_a_component_without_ids_the_first_by_text_stays(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "bcdefghi"]
+    rows = [(None, x) for t in texts for x in (t, "a " + t, t + " z")] + [(None, None), (None, ""), (None, " ")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.text or "" for r in kept.collect()) == sorted(["", *("a " + t for t in texts)])

@@ -311,26 +311,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their near copies: texts with 0.8 or more of their five-word shingles in common
-    are linked, and of each component the row with the smallest id stays (of repeated rows with that id, the
-    first by text). A row without an id stays only where none of its component has one; then one such row
-    stays."""
+    are linked, and of each component the row with the smallest id stays. An id that several rows have stays once, with the
+    first by text of those rows that are of a component which it names. A row without an id stays only where none of its
+    component has one; then one such row stays, the first by text."""
     fp = materialise(shingle_sets.keyed(docs, id_col, text_col), "shingles")
     classes = cut(_classes(fp, shingle_sets.links(fp, docs, components, text_col)))
-    head, text, print_ = (fresh(docs, c) for c in ("_head", "_text", "_fp"))
+    head, text, print_, row = (fresh(docs, c) for c in ("_head", "_text", "_fp", "_row"))
     heads = classes.filter("component_id is not null").select(F.col("component_id").alias(head)).distinct()
     number = docs[id_col].cast("long")
     kept = docs.join(heads, number == F.col(head), "left_semi")
+
+    def prints(rows: DataFrame) -> DataFrame:
+        """(text, fp) of the rows' distinct texts, null as the empty one."""
+        texts = rows.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text)).distinct()
+        found = shingle_sets.keyed(texts.withColumn("id", F.xxhash64(text)), "id", text).select("id", F.col("fp").alias(print_))
+        return texts.join(found, F.xxhash64(text) == F.col("id")).drop("id")
+
     again = cut(fp.groupBy(F.col("id").alias(head)).count().filter(f"`{head}` is not null and count > 1").select(head))
-    if not again.isEmpty():  # each task hands on one row of an id, however often it repeats
-        once = kept.join(again, number == F.col(head), "left_semi").groupBy(number.alias(head))
-        once = once.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(text_col).isNotNull(), F.col(text_col))).alias("row"))
-        kept = kept.join(again, number == F.col(head), "left_anti").unionByName(once.select("row.*"))
-    nameless = classes.filter("component_id is null and fp = root").select(F.col("fp").alias(print_))
+    if not again.isEmpty():  # each task hands on one row of an id and text, however often it repeats
+        several = kept.join(again, number == F.col(head), "left_semi")
+        named = prints(several).join(classes.select(F.col("fp").alias(print_), F.col("component_id").alias("_named")), print_).drop(print_)
+        once = several.groupBy(number.alias(head), F.col(text_col).cast("string").alias(print_)).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+        once = once.join(named, (F.col(head) == F.col("_named")) & (F.coalesce(F.col(print_), F.lit("")) == F.col(text)), "left_semi")
+        once = once.groupBy(head).agg(F.min_by(row, F.struct(F.col(print_).isNotNull(), F.col(print_))).alias(row))
+        kept = kept.join(again, number == F.col(head), "left_anti").unionByName(once.select(f"{row}.*"))
+    nameless = classes.filter("component_id is null").select(F.col("fp").alias(print_), "root")
     if nameless.isEmpty():
         return kept
     lost = docs.filter(F.col(id_col).cast("long").isNull())
-    texts = lost.select(F.col(text_col).alias(text)).distinct()
-    prints = shingle_sets.keyed(texts.withColumn("id", F.xxhash64(text)), "id", text).select("id", F.col("fp").alias(print_))
-    one = texts.join(prints.join(nameless, print_), F.xxhash64(text) == F.col("id")).groupBy(print_).agg(F.min(F.coalesce(text, F.lit(""))).alias(text))
-    found = lost.join(one, F.coalesce(lost[text_col], F.lit("")) == F.col(text), "left_semi")
-    return kept.unionByName(found.dropDuplicates([text_col]))
+    one = prints(lost).join(nameless, print_).groupBy("root").agg(F.min(text).alias(text))
+    lost = lost.withColumn(head, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return kept.unionByName(lost.join(one, F.col(head) == F.col(text), "left_semi").dropDuplicates([head]).drop(head))
