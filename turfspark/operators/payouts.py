@@ -12,11 +12,12 @@ def parse_payouts(df: DataFrame, race: str = "race_id", kind: str = "kind", win:
     numbers of one by ``-`` or, where their order counts, ``→``; a trailing empty part and thousands
     commas are dropped, rows of an unknown kind go."""
     ticket = F.element_at(code_map(TICKETS), F.trim(kind))
-    parts = F.arrays_zip(F.split(win, "br").alias("w"), F.split(payout, "br").alias("p"))
+    numbers = lambda w: F.transform(F.split(w, "[-→]"), lambda n: F.trim(n).try_cast("int"))
+    amount = lambda p: F.nullif(F.replace(F.trim(p), F.lit(",")), F.lit("")).try_cast("long")  # noqa: E731  (a cast that fails is slow)
+    # numbers before rows: what a filter on rows asks for isn't worked out again
+    parts = F.arrays_zip(F.transform(F.split(win, "br"), numbers).alias("w"), F.transform(F.split(payout, "br"), amount).alias("p"))
     rows = df.select(race, ticket.alias("ticket_type"), F.posexplode(parts).alias("seq", "x")).filter(F.col("ticket_type").isNotNull())
-    numbers = F.transform(F.split(F.col("x.w"), "[-→]"), lambda n: F.trim(n).try_cast("int"))
-    amount = F.regexp_replace(F.trim(F.col("x.p")), ",", "").try_cast("long")
-    rows = rows.select(race, "ticket_type", F.col("seq").cast("int").alias("seq"), numbers.alias("win"), amount.alias("payout"))
+    rows = rows.select(race, "ticket_type", F.col("seq").cast("int").alias("seq"), F.col("x.w").alias("win"), F.col("x.p").alias("payout"))
     return rows.filter(F.forall("win", lambda n: n.isNotNull()) & (F.size("win") > 0))
 
 

@@ -8,7 +8,7 @@ from ..functions.ordering import stored
 from ..operators import cleaning, joins, profile
 from ..sources import known_keys, pages, tables
 from ..sources.scratch import scratch_path
-from .mapping import PAY, RACE, RUN, payout_texts, query, races, runners, table
+from .mapping import PAY, RACE, RUN, payout_kinds, payout_texts, query, races, runners, table
 from ..operators.payouts import parse_payouts
 
 
@@ -93,7 +93,7 @@ def result_pages(spark, sf):
     q, u = F.col("quantity").cast("int"), F.col("umaban")
     cells = [
         F.when(F.col("flag") == "N", "除外").otherwise(u.cast("string")), F.col("wakuban"), u, F.concat(F.when(F.col("flag") == "A", "牡").otherwise("牝"), (q % 9).cast("string")),
-        F.expr(_CARRIED).cast("double"), F.round(F.expr(_ODDS), 1).cast("double"), F.col("horse_id") % 18 + 1, F.concat((q + 400).cast("string"), F.lit("("), F.format_string("%+d", u - 4), F.lit(")")), F.col("horse_id"),
+        F.expr(_CARRIED).cast("double"), F.round(F.expr(_ODDS), 1).cast("double"), F.col("horse_id") % 18 + 1, F.concat((q + 400).cast("string"), F.when(u >= 4, "(+").otherwise("("), (u - 4).cast("string"), F.lit(")")), F.col("horse_id"),
     ]
     row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td> <td>", *[c.cast("string") for c in cells]), F.lit("</td></tr>"))
     head = F.lit("<html><p>x</p><table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>")
@@ -107,10 +107,10 @@ def result_pages(spark, sf):
 @query(f"WITH {PAY} SELECT race_id::VARCHAR AS race_id, ticket_type, seq, array_to_string(win, ',') AS win, payout FROM pay")
 def payout_pages(spark, sf):
     """The chain from pages: a payout page for each order, its tables' rows, parsed payouts."""
-    texts = payout_texts(runners(spark, sf))
     cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("br"), F.lit("<br/>"))
-    row = F.concat(F.lit("<tr><th>"), F.col("kind"), F.lit("</th><td>"), cell(F.col("win")), F.lit("</td><td>"), cell(F.col("payout")), F.lit("</td></tr>"))
-    built = texts.groupBy("race_id").agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
+    row = lambda k: F.concat(F.lit("<tr><th>"), k["kind"], F.lit("</th><td>"), cell(k["win"]), F.lit("</td><td>"), cell(k["payout"]), F.lit("</td></tr>"))
+    html = F.concat(F.lit("<table>"), F.array_join(F.transform("kinds", row), ""), F.lit("</table>"))
+    built = payout_kinds(runners(spark, sf)).withColumn("html", html)
     built = built.select(F.col("race_id").cast("string").alias("page_id"), "html")
     paid = parse_payouts(pages.create_return_rows(pages.pages_to_tables(built)))
     return paid.withColumn("win", F.concat_ws(",", F.transform("win", lambda x: x.cast("string"))))
